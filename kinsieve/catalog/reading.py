@@ -1 +1,89 @@
-"""Queries."""
+"""Sources and sinks. Text inputs are written from the given tables first, then read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kinsieve.catalog import query
+from kinsieve.catalog.standins import table
+from kinsieve.session import scratch_path
+from kinsieve.sources import tables as readers
+from kinsieve.sources import writers
+
+C = F.col
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_mktsegment END AS segment FROM customer")
+def scan_csv(spark, d):
+    path = scratch_path(spark, "csv")
+    segment = F.when(C("c_mktsegment") != "MACHINERY", C("c_mktsegment")).alias("segment")
+    writers.write_delimited(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", segment), path)
+    fields = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, segment string"
+    return readers.read_delimited(spark, path, fields)
+
+
+@query("SELECT p_partkey AS marker_key, p_type AS chip FROM part")
+def scan_projected(spark, d):
+    """Two of five fields of a manifest whose trailing control section must not be read as data."""
+    path = scratch_path(spark, "manifest")
+    part = table(spark, d, "part")
+    text = F.concat_ws(",", C("p_partkey"), "p_name", "p_brand", "p_type", C("p_size"))
+    body = part.select(text.alias("value"), F.lit(0).alias("block"), C("p_partkey").alias("at"))
+    control = part.select(
+        F.when(C("p_partkey") == 0, "[Controls]").otherwise(F.concat_ws(",", C("p_partkey"), F.lit("control"))).alias("value"),
+        F.lit(1).alias("block"),
+        C("p_partkey").alias("at"),
+    )
+    # one ordered file, as the manifest is delivered
+    body.unionByName(control).repartition(1).sortWithinPartitions("block", "at").select("value").write.text(path)
+    return readers.read_before_trailer(
+        spark, path, {"marker_key": (0, "bigint"), "chip": (3, "string")}, C("value") == "[Controls]"
+    )
+
+
+@query("SELECT s_suppkey AS snp_id, s_nationkey AS chr, CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS score FROM supplier")
+def scan_whitespace(spark, d):
+    path = scratch_path(spark, "whitespace")
+    supplier = table(spark, d, "supplier")
+    score = F.when(C("s_acctbal") >= 0, C("s_acctbal").cast("string")).otherwise("NA")
+    line = F.concat(F.lit("  "), C("s_suppkey").cast("string"), F.lit("\t"), C("s_nationkey").cast("string"), F.lit("   "), score)
+    header = supplier.agg(F.lit("snp_id chr score").alias("value"))
+    writers.write_lines(header.unionByName(supplier.select(line.alias("value"))), path)
+    return readers.read_whitespace(spark, path, {"snp_id": "bigint", "chr": "int", "score": "double"})
+
+
+@query(
+    """SELECT o_orderkey AS specimen_id, o_custkey AS subject_key, o_orderpriority AS tissue FROM orders
+    WHERE o_orderstatus = 'P' AND o_orderkey <> 4053 AND o_orderkey <> 4038"""
+)
+def scan_filtered(spark, d):
+    orders = table(spark, d, "orders")
+    return orders.filter((C("o_orderstatus") == "P") & (C("o_orderkey") != 4053) & (C("o_orderkey") != 4038)).select(
+        C("o_orderkey").alias("specimen_id"), C("o_custkey").alias("subject_key"), C("o_orderpriority").alias("tissue")
+    )
+
+
+@query("SELECT n_name, r_name, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+def scan_parquet(spark, d):
+    """Several tables saved as one snapshot, loaded by name."""
+    folder = scratch_path(spark, "snapshot")
+    names = ("supplier", "nation", "region")
+    writers.write_snapshot({n: table(spark, d, n) for n in names}, folder)
+    t = readers.read_snapshot(spark, folder)
+    joined = t["supplier"].join(t["nation"], C("s_nationkey") == C("n_nationkey")).join(t["region"], C("n_regionkey") == C("r_regionkey"))
+    return joined.groupBy("n_name", "r_name").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT o_orderkey, v.description AS consent FROM orders LEFT JOIN (VALUES (0, 'this project only'), (1, 'any project'),
+    (2, 'any project, no genetics'), (3, 'ask first')) v(code, description) ON o_orderkey % 5 = v.code"""
+)
+def lookup_literal(spark, d):
+    consent = readers.literal_table(
+        spark,
+        [(0, "this project only"), (1, "any project"), (2, "any project, no genetics"), (3, "ask first")],
+        "code long, consent string",
+    )
+    coded = table(spark, d, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(5)).alias("code"))
+    # four rows written in code
+    return coded.join(F.broadcast(consent), "code", "left").select("o_orderkey", "consent")

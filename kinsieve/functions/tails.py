@@ -6,10 +6,16 @@ These run on results of a distributed aggregate (one row per group or per test),
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+# executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def beta_share(x: float, a: float, b: float) -> float:
@@ -96,21 +102,21 @@ def _rowwise(function, *series: pd.Series) -> pd.Series:
     return pd.Series([one(v) for v in zip(*series)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return _rowwise(lambda a, b: t_two_sided(a, b) if b > 0 else None, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_p_value(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return _rowwise(lambda a, b, c: f_upper(a, b, c) if b > 0 and c > 0 else None, f, df1, df2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_quantile(level: pd.Series, df: pd.Series) -> pd.Series:
     return _rowwise(lambda a, b: t_critical(a, b) if b > 0 else None, level, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def range_p_value(q: pd.Series, groups: pd.Series, df: pd.Series) -> pd.Series:
     return _rowwise(lambda a, b, c: range_upper(a, int(b), c) if c > 0 else None, q, groups, df)
