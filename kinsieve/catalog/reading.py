@@ -26,16 +26,18 @@ def scan_csv(spark, d):
 def scan_projected(spark, d):
     """Two of five fields of a manifest whose trailing control section must not be read as data."""
     path = scratch_path(spark, "manifest")
-    part = table(spark, d, "part")
+    shards = spark.sparkContext.defaultParallelism
+    shard = F.pmod(F.xxhash64("p_partkey"), F.lit(shards))
+    part = table(spark, d, "part").withColumn("shard", shard)
     text = F.concat_ws(",", C("p_partkey"), "p_name", "p_brand", "p_type", C("p_size"))
-    body = part.select(text.alias("value"), F.lit(0).alias("block"), C("p_partkey").alias("at"))
-    control = part.select(
-        F.when(C("p_partkey") == 0, "[Controls]").otherwise(F.concat_ws(",", C("p_partkey"), F.lit("control"))).alias("value"),
-        F.lit(1).alias("block"),
-        C("p_partkey").alias("at"),
+    body = part.select("shard", F.lit(0).alias("block"), "p_partkey", text.alias("value"))
+    marker = part.select("shard").distinct().select(
+        "shard", F.lit(1).alias("block"), F.lit(0).alias("p_partkey"), F.lit("[Controls]").alias("value")
     )
-    # one ordered file, as the manifest is delivered
-    body.unionByName(control).repartition(1).sortWithinPartitions("block", "at").select("value").write.text(path)
+    control = part.select("shard", F.lit(2).alias("block"), "p_partkey", F.concat_ws(",", C("p_partkey"), F.lit("control")).alias("value"))
+    # every file ends in its own control section
+    sections = body.unionByName(marker).unionByName(control).repartition(shards, "shard")
+    sections.sortWithinPartitions("block", "p_partkey").select("value").write.text(path)
     return readers.read_before_trailer(
         spark, path, {"marker_key": (0, "bigint"), "chip": (3, "string")}, C("value") == "[Controls]"
     )

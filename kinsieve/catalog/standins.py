@@ -80,7 +80,7 @@ def patient_log(spark: SparkSession, folder: str) -> DataFrame:
         F.when(m(17) != 0, F.when(m(2) == 0, "Female").otherwise("Male")).alias("sex"),
         F.when(m(11) != 0, F.get(F.array(*[F.lit(v) for v in ("White", "Black", "Asian", "Other")]), h(4).cast("int"))).alias("race"),
         F.when(h(9) != 0, F.when(h(3) == 0, "Hispanic").otherwise("Not Hispanic")).alias("ethnicity"),
-        F.when(m(13) != 0, days_after("1975-01-01", m(8000))).alias("dob"),
+        F.when(m(13) != 0, days_after("1975-01-01", m(7300))).alias("dob"),
         F.when(h(10) != 0, days_after("1999-01-01", h(900))).alias("spec_date"),
         partial_date(year, month).alias("dx_date"),
         F.when(h(5) != 0, days_after("1950-01-15", h(7000))).alias("mother_dob"),
@@ -106,7 +106,7 @@ patient_log AS (SELECT subject_code, c_mktsegment AS site_code,
   CASE WHEN c % 17 <> 0 THEN CASE WHEN c % 2 = 0 THEN 'Female' ELSE 'Male' END END AS sex,
   CASE WHEN c % 11 <> 0 THEN list_extract(['White','Black','Asian','Other'], (h % 4 + 1)::BIGINT) END AS race,
   CASE WHEN h % 9 <> 0 THEN CASE WHEN h % 3 = 0 THEN 'Hispanic' ELSE 'Not Hispanic' END END AS ethnicity,
-  CASE WHEN c % 13 <> 0 THEN DATE '1975-01-01' + (c % 8000)::INT END AS dob,
+  CASE WHEN c % 13 <> 0 THEN DATE '1975-01-01' + (c % 7300)::INT END AS dob,
   CASE WHEN h % 10 <> 0 THEN DATE '1999-01-01' + (h % 900)::INT END AS spec_date,
   make_date(year_dx::BIGINT, coalesce(month_dx, 6)::BIGINT, 15::BIGINT) AS dx_date,
   CASE WHEN h % 5 <> 0 THEN DATE '1950-01-15' + (h % 7000)::INT END AS mother_dob,
@@ -164,6 +164,7 @@ def specimens(spark: SparkSession, folder: str) -> DataFrame:
     priority = F.col("o_orderpriority")
     return table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("specimen_id"),
+        F.col("o_orderstatus").alias("status"),
         (F.col("o_orderkey") - F.when(F.col("o_totalprice") > 490000, 1).otherwise(0)).alias("stock_id"),
         subject_code(F.col("o_custkey")).alias("subject_code"),
         F.when(priority == "2-HIGH", "MW").when(priority == "3-MEDIUM", "LRNXP").when(priority == "4-NOT SPECIFIED", "BUC").otherwise("WB").alias("tissue"),
@@ -178,7 +179,7 @@ def specimens(spark: SparkSession, folder: str) -> DataFrame:
 SPECIMENS_CTE = f"""spec0 AS (SELECT *, {cents_sql('o_totalprice')} AS c, o_orderdate::DATE AS d,
   CASE WHEN o_custkey % 4 = 1 THEN 'M' WHEN o_custkey % 4 = 2 THEN 'F' WHEN o_custkey % 8 < 4 THEN 'M' ELSE 'F' END AS rs
   FROM orders),
-specimens AS (SELECT o_orderkey AS specimen_id,
+specimens AS (SELECT o_orderkey AS specimen_id, o_orderstatus AS status,
   o_orderkey - CASE WHEN o_totalprice > 490000 THEN 1 ELSE 0 END AS stock_id,
   {code_sql('o_custkey')} AS subject_code,
   CASE o_orderpriority WHEN '2-HIGH' THEN 'MW' WHEN '3-MEDIUM' THEN 'LRNXP' WHEN '4-NOT SPECIFIED' THEN 'BUC' ELSE 'WB' END AS tissue,

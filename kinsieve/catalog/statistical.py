@@ -1 +1,124 @@
-"""Queries."""
+"""Regressions and tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kinsieve.catalog import query
+from kinsieve.catalog.standins import STOCKS_CTE, round_sql, signif_sql, stocks, table
+from kinsieve.functions.numbers import bin_label, round_even, signif
+from kinsieve.operators import statistics
+
+C = F.col
+
+
+def significant(df, digits, *names):
+    return df.withColumns({n: signif(C(n), digits) for n in names})
+
+
+@query(
+    f"""WITH m AS (SELECT regr_count(l_extendedprice, l_quantity) AS n, regr_slope(l_extendedprice, l_quantity) AS slope,
+      regr_intercept(l_extendedprice, l_quantity) AS intercept, regr_r2(l_extendedprice, l_quantity) AS r2, regr_sxx(l_extendedprice, l_quantity) AS sxx,
+      regr_syy(l_extendedprice, l_quantity) AS syy, regr_avgx(l_extendedprice, l_quantity) AS mx FROM lineitem),
+    s AS (SELECT *, sqrt((1 - r2) * syy / (n - 2)) AS sigma FROM m),
+    e AS (SELECT *, sigma / sqrt(sxx) AS se_slope, sigma * sqrt(1.0::DOUBLE / n + mx * mx / sxx) AS se_intercept FROM s)
+    SELECT n::BIGINT AS n, {signif_sql('intercept', 6)} AS intercept, {signif_sql('slope', 6)} AS slope, {signif_sql('se_intercept', 6)} AS se_intercept,
+    {signif_sql('se_slope', 6)} AS se_slope, {signif_sql('(intercept / se_intercept)', 6)} AS t_intercept, {signif_sql('(slope / se_slope)', 6)} AS t_slope,
+    {signif_sql('r2', 6)} AS r_squared, {signif_sql('sigma', 6)} AS sigma FROM e"""
+)
+def ols_simple(spark, d):
+    out = statistics.simple_regression(table(spark, d, "lineitem"), C("l_extendedprice"), C("l_quantity"))
+    return significant(out, 6, "intercept", "slope", "se_intercept", "se_slope", "t_intercept", "t_slope", "r_squared", "sigma")
+
+
+@query(
+    f"""WITH g AS (SELECT l_linestatus AS k, count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a,
+      regr_sxx(l_extendedprice, l_quantity) AS sxx, avg(l_quantity) AS mx,
+      regr_syy(l_extendedprice, l_quantity) * (1 - regr_r2(l_extendedprice, l_quantity)) AS rss FROM lineitem GROUP BY 1),
+    w AS (SELECT max(CASE WHEN k = 'F' THEN a END) AS af, max(CASE WHEN k = 'F' THEN b END) AS bf, max(CASE WHEN k = 'O' THEN a END) AS ao,
+      max(CASE WHEN k = 'O' THEN b END) AS bo, sum(rss) / (sum(n) - 4) AS s2, max(CASE WHEN k = 'F' THEN sxx END) AS xf, max(CASE WHEN k = 'O' THEN sxx END) AS xo,
+      max(CASE WHEN k = 'F' THEN 1.0::DOUBLE / n + mx * mx / sxx END) AS vf, max(CASE WHEN k = 'O' THEN 1.0::DOUBLE / n + mx * mx / sxx END) AS vo FROM g),
+    t AS (SELECT '(Intercept)' AS term, ao AS estimate, sqrt(s2 * vo) AS se FROM w UNION ALL SELECT 'l_quantity', bo, sqrt(s2 / xo) FROM w
+      UNION ALL SELECT 'is_f', af - ao, sqrt(s2 * (vf + vo)) FROM w UNION ALL SELECT 'l_quantity:is_f', bf - bo, sqrt(s2 * (1 / xf + 1 / xo)) FROM w)
+    SELECT term, {signif_sql('estimate', 5)} AS estimate, {signif_sql('se', 5)} AS se, {signif_sql('(estimate / se)', 4)} AS t FROM t"""
+)
+def ols_interaction(spark, d):
+    """Slope and level of two categories in one model: y ~ x * category."""
+    lines = table(spark, d, "lineitem").select(
+        "l_extendedprice", "l_quantity", F.when(C("l_linestatus") == "F", 1.0).otherwise(0.0).alias("is_f")
+    )
+    out = statistics.formula_regression(lines, "l_extendedprice ~ l_quantity + is_f + l_quantity:is_f")
+    named = out.withColumn("term", F.when(C("term").contains("l_quantity") & C("term").contains("is_f"), "l_quantity:is_f").otherwise(C("term")))
+    return significant(significant(named.drop("p"), 5, "estimate", "se"), 4, "t")
+
+
+@query()
+def ols_category(spark, d):
+    """Model with a text category: every category but one gets a term."""
+    lines = table(spark, d, "lineitem").select("l_extendedprice", "l_quantity", "l_returnflag")
+    return statistics.formula_regression(lines, "l_extendedprice ~ l_quantity + l_returnflag")
+
+
+@query(
+    f"""WITH {STOCKS_CTE}, v AS (SELECT log2(yield_ug) AS y, extract_date > DATE '1998-01-01' AS s FROM stocks WHERE yield_ug > 0),
+    m AS (SELECT count(*) FILTER (NOT s) AS n0, count(*) FILTER (s) AS n1, avg(y) FILTER (NOT s) AS m0, avg(y) FILTER (s) AS m1,
+      var_samp(y) FILTER (NOT s) / count(*) FILTER (NOT s) AS v0, var_samp(y) FILTER (s) / count(*) FILTER (s) AS v1 FROM v)
+    SELECT n0 AS n_false, n1 AS n_true, {round_sql('m0', 6)} AS mean_false, {round_sql('m1', 6)} AS mean_true, {round_sql('(m0 - m1) / sqrt(v0 + v1)', 5)} AS t,
+    {round_sql('(v0 + v1) * (v0 + v1) / (v0 * v0 / (n0 - 1) + v1 * v1 / (n1 - 1))', 3)} AS df FROM m"""
+)
+def welch_t(spark, d):
+    known = stocks(spark, d).filter(C("yield_ug") > 0)
+    out = statistics.welch_test(known, F.log2("yield_ug"), C("extract_date") > F.lit("1998-01-01").cast("date"))
+    return out.withColumns(
+        {
+            "mean_false": round_even(C("mean_false"), 6),
+            "mean_true": round_even(C("mean_true"), 6),
+            "t": round_even(C("t"), 5),
+            "df": round_even(C("df"), 3),
+        }
+    )
+
+
+_BINS = "CASE WHEN ratio_low > -1 AND ratio_low <= 0.05 THEN 'a none' WHEN ratio_low > 0.05 AND ratio_low <= 0.15 THEN 'b some' WHEN ratio_low > 0.15 AND ratio_low <= 44 THEN 'c many' END"
+_LEVELS = f"""{STOCKS_CTE}, v AS (SELECT conc AS y, {_BINS} AS level FROM stocks),
+    g AS (SELECT level, count(*) AS n, avg(y) AS m, var_pop(y) * count(*) AS w FROM v WHERE level IS NOT NULL GROUP BY 1)"""
+
+
+def _binned(spark, d):
+    level = bin_label(C("ratio_low"), [-1, 0.05, 0.15, 44], ["a none", "b some", "c many"])
+    return stocks(spark, d).select("conc", level.alias("level"))
+
+
+@query(
+    f"""WITH {_LEVELS}, s AS (SELECT count(*) AS k, sum(n)::BIGINT AS n, sum(w) AS sw, sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n) AS sb FROM g)
+    SELECT k - 1 AS df_between, n - k AS df_within, {signif_sql('sb', 5)} AS ss_between, {signif_sql('sw', 5)} AS ss_within,
+    {signif_sql('((sb / (k - 1)) / (sw / (n - k)))', 5)} AS f FROM s"""
+)
+def anova_oneway(spark, d):
+    out = statistics.one_way_anova(_binned(spark, d), C("conc"), C("level"))
+    return significant(out, 5, "ss_between", "ss_within", "f")
+
+
+@query(
+    f"""WITH {_LEVELS}, s AS (SELECT sum(w) / (sum(n) - count(*)) AS mse, (sum(n) - count(*))::BIGINT AS df FROM g)
+    SELECT a.level AS level_a, b.level AS level_b, {signif_sql('(b.m - a.m)', 5)} AS difference,
+    {signif_sql('(abs(b.m - a.m) / sqrt(mse / 2 * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n)))', 5)} AS q, df
+    FROM g a JOIN g b ON a.level < b.level, s"""
+)
+def tukey_pairs(spark, d):
+    out = statistics.honest_differences(_binned(spark, d), C("conc"), C("level"))
+    return significant(out, 5, "difference", "q")
+
+
+@query()
+def test_p_values(spark, d):
+    """Tail areas of the t test, the analysis of variance and the pairwise differences."""
+    known = stocks(spark, d).filter(C("yield_ug") > 0)
+    welch = statistics.welch_test(
+        known, F.log2("yield_ug"), C("extract_date") > F.lit("1998-01-01").cast("date"), p_values=True
+    ).select(F.lit("welch").alias("test"), "p")
+    anova = statistics.one_way_anova(_binned(spark, d), C("conc"), C("level"), p_values=True).select(F.lit("anova").alias("test"), "p")
+    pairs = statistics.honest_differences(_binned(spark, d), C("conc"), C("level"), p_values=True)
+    return welch.unionByName(anova).unionByName(
+        pairs.select(F.concat_ws(" / ", F.lit("pair"), "level_a", "level_b").alias("test"), "p")
+    )

@@ -10,10 +10,16 @@ from kinsieve.operators.ordered import Order, order_struct
 
 HOT_SHARE = 0.02
 SALTS = 32
+BROADCAST_ROWS = 100_000
 
 _SALT = "__salt"
 
 
+def broadcast_if_short(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a frame for broadcast once its row count is known to be small; otherwise leave it alone."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     """Values of `key` that may hold at least `share` of the rows.
 

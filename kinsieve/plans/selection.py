@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from kinsieve.functions import codes
 from kinsieve.functions.numbers import guarded_product, ratio, signif
 from kinsieve.functions.recoding import recode
-from kinsieve.operators.joins import salted_join, with_average_rank
+from kinsieve.operators.joins import broadcast_if_short, salted_join, with_average_rank
 from kinsieve.operators.reshape import string_agg, union_distinct, union_fill
 from kinsieve.operators.sampling import weighted_sample_n
 from kinsieve.operators.summaries import quantiles_by, z_score
@@ -204,10 +204,14 @@ def select_trios(
 
 
 def locate_samples(wanted: DataFrame, plating: DataFrame) -> DataFrame:
-    """Plate and well of each wanted stock, NULL where it is on no plate."""
+    """Plate and well of each wanted stock, NULL where it is on no plate.
+
+    The wells are cut down to the wanted stocks before the outer join, by broadcast when the list is
+    short, so the plating is not shuffled for a worklist.
+    """
     ids = wanted.select("stock_id").distinct()
-    # plated wells of wanted stocks only: never more rows than the wanted list has wells
-    return ids.join(plating.select("stock_id", "plate", "well"), "stock_id", "left")
+    found = plating.select("stock_id", "plate", "well").join(broadcast_if_short(ids), "stock_id", "left_semi")
+    return ids.join(found, "stock_id", "left")
 
 
 def marker_coverage(markers: DataFrame, proxies: DataFrame, chip: DataFrame) -> DataFrame:
