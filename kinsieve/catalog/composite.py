@@ -295,10 +295,14 @@ scored AS (SELECT c2.*, coalesce(sc, {signif_sql('q', 2)}) AS score FROM c2, cq)
 
 
 def scored_stocks(spark, d):
+    return score_with(spark, d, qualified(spark, d))
+
+
+def score_with(spark, d, quality):
     on_chip = specimens(spark, d).filter(C("status") == "F").select("stock_id")
     code = C("subject_code")
     members = specimens(spark, d).select(codes.family_of(code).alias("family"), codes.relationship_of(code).alias("relationship"))
-    return selection.selection_score(expressed(spark, d), qualified(spark, d), selection.trio_status(members), on_chip)
+    return selection.selection_score(expressed(spark, d), quality, selection.trio_status(members), on_chip)
 
 
 @query(
@@ -361,24 +365,24 @@ r1 AS (SELECT *, substr(subject_code, 1, 8) AS family FROM r0),
 r2 AS (SELECT * FROM r1 WHERE family NOT IN ({_listed(EXCLUDED_FAMILIES)}) AND relationship NOT IN ('SI', 'MGM', 'MGF')
   AND stock_id NOT IN (SELECT stock_id FROM specimens WHERE status = 'O')),
 r3 AS (SELECT * FROM r2 WHERE family IN (SELECT family FROM r2 WHERE trio_number = 3) AND conc >= 30),
-fs AS (SELECT family, CASE WHEN count(quality) = count(*) THEN product(quality) * max(assay) END AS family_score FROM r3 GROUP BY 1),
-fd AS (SELECT family, family_score FROM fs WHERE family_score > 0 ORDER BY -ln({_KEY}) / family_score, family LIMIT 67)"""
+fs AS (SELECT family, CASE WHEN count(quality) = count(*) THEN sum(ln(quality)) + ln(max(assay)) END AS log_score FROM r3 GROUP BY 1),
+fd AS (SELECT family, log_score FROM fs WHERE log_score IS NOT NULL ORDER BY ln(-ln({_KEY})) - log_score, family LIMIT 67)"""
 
 
 def trio_stocks(spark, d):
-    scored = written(scored_stocks(spark, d), "scored")
-    quality = qualified(spark, d)
+    quality = written(qualified(spark, d), "quality")
+    scored = score_with(spark, d, quality)
     excluded = specimens(spark, d).select(codes.family_of(C("subject_code")).alias("family")).filter(C("family").isin(*EXCLUDED_FAMILIES)).distinct()
     done = specimens(spark, d).filter(C("status") == "O")
     return selection.select_trios(scored, quality, excluded, done, 67, SEED)
 
 
 @query(
-    f"""WITH {_TRIOS_CTE} SELECT r3.family, subject_code, relationship, stock_id, specimen_id, conc, {signif_sql('family_score', 6)} AS family_score
+    f"""WITH {_TRIOS_CTE} SELECT r3.family, subject_code, relationship, stock_id, specimen_id, conc, {round_sql('log_score', 6)} AS log_score
     FROM r3 JOIN fd ON r3.family = fd.family"""
 )
 def select_trios(spark, d):
-    return trio_stocks(spark, d).withColumn("family_score", signif(C("family_score"), 6))
+    return trio_stocks(spark, d).withColumn("log_score", round_even(C("log_score"), 6))
 
 
 # -- plates ---------------------------------------------------------------------------------------
@@ -482,7 +486,7 @@ def qc_summary(spark, d):
     """WITH chip AS (SELECT DISTINCT l_partkey AS name FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.07),
     m AS (SELECT p_partkey AS marker, p_partkey + 1 AS a, p_partkey + p_size AS b, CASE WHEN p_size % 2 = 0 THEN p_partkey + 100 END AS c FROM part),
     px AS (SELECT marker, a AS proxy FROM m UNION SELECT marker, b FROM m UNION SELECT marker, c FROM m WHERE c IS NOT NULL),
-    h AS (SELECT marker, string_agg(proxy::VARCHAR, ',' ORDER BY proxy) AS by_proxy FROM px WHERE proxy IN (SELECT name FROM chip) GROUP BY 1)
+    h AS (SELECT marker, string_agg(proxy::VARCHAR, ',' ORDER BY proxy::VARCHAR) AS by_proxy FROM px WHERE proxy IN (SELECT name FROM chip) GROUP BY 1)
     SELECT m.marker, CASE WHEN m.marker IN (SELECT name FROM chip) THEN 'direct' WHEN by_proxy IS NOT NULL THEN 'proxy' ELSE 'absent' END AS coverage,
     CASE WHEN m.marker NOT IN (SELECT name FROM chip) THEN by_proxy END AS by_proxy FROM m LEFT JOIN h ON m.marker = h.marker"""
 )

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinsieve.operators.ordered import Order, order_struct
+from kinsieve.operators.ordered import Order, average_ranks, order_struct
 
 HOT_SHARE = 0.02
 SALTS = 32
@@ -20,6 +20,13 @@ def broadcast_if_short(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def broadcast_lookup(df: DataFrame, lookup: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join to a lookup whose row count the caller has checked; missing keys match missing keys."""
+    keys = {c: f"__r{i}" for i, c in enumerate(on)}
+    same = [F.col(c).eqNullSafe(F.col(r)) for c, r in keys.items()]
+    return df.join(F.broadcast(lookup.withColumnsRenamed(keys)), same, "left").drop(*keys.values())
+
+
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     """Values of `key` that may hold at least `share` of the rows.
 
@@ -158,16 +165,17 @@ def with_average_rank(
 ) -> DataFrame:
     """Add the average rank of a column. `missing`: 'keep' leaves a NULL rank, 'last' ranks NULLs
     behind all values (sharing their average rank)."""
-    from kinsieve.operators.ordered import average_ranks
-
     source = df
     if missing == "last":
         source = df.withColumn("__present", F.isnull(column).cast("int"))
     elif missing != "keep":
         raise ValueError("missing must be 'keep' or 'last'")
-    ranks = average_ranks(source, column, name, descending, partition_by, rows_per_bucket)
+    ranks, distinct_values = average_ranks(source, column, name, descending, partition_by, rows_per_bucket)
     keys = [column, *partition_by]
-    joined = salted_join(df, ranks, keys, "left", null_safe=bool(partition_by))
+    if distinct_values <= BROADCAST_ROWS:
+        joined = broadcast_lookup(df, ranks, keys)
+    else:
+        joined = salted_join(df, ranks, keys, "left", null_safe=bool(partition_by))
     if missing == "last":
         sizes = source.groupBy(*partition_by).agg(
             F.count(column).alias("__known"), F.sum("__present").alias("__unknown")

@@ -98,7 +98,7 @@ class OrderedFrame:
         self.source_columns = df.columns
         self.groups = list(partition_by)
         self.orders = as_orders(order_by)
-        rows = df.count()
+        self.rows = rows = df.count()
         size = rows_per_bucket or ROWS_PER_BUCKET
         self.buckets = min(MAX_BUCKETS, math.ceil(rows / size)) if rows else 1
         self.cuts: DataFrame | None = None
@@ -293,14 +293,13 @@ def average_ranks(
     descending: bool = False,
     partition_by: Sequence[str] = (),
     rows_per_bucket: int | None = None,
-) -> DataFrame:
-    """Distinct values with the average rank their rows would share."""
+) -> tuple[DataFrame, int]:
+    """Distinct values with the average rank their rows share, and how many there are."""
     order = [Order(column, descending)]
-    counts = value_counts(df, column, partition_by)
-    ranked = with_running_sum(counts, "__n", order, partition_by, "__upto", rows_per_bucket=rows_per_bucket)
-    return ranked.select(
-        *partition_by, column, (F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / F.lit(2.0)).alias(name)
-    )
+    ordered = OrderedFrame(value_counts(df, column, partition_by), order, partition_by, rows_per_bucket)
+    ranked = ordered.running_sum(F.col("__n"), "__upto").result()
+    rank = F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / F.lit(2.0)
+    return ranked.select(*partition_by, column, rank.alias(name)), ordered.rows
 
 
 def exact_quantiles(

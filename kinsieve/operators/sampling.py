@@ -15,16 +15,22 @@ def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int) -> DataFrame:
     return df.withColumn("__u", u).orderBy("__u", *key).limit(n).drop("__u")
 
 
-def weighted_sample_n(df: DataFrame, n: int, weight: Column, key: Sequence[str], seed: int) -> DataFrame:
+def weighted_sample_n(
+    df: DataFrame, n: int, weight: Column, key: Sequence[str], seed: int, log_weight: bool = False
+) -> DataFrame:
     """Weighted sample of n rows without replacement.
 
     Ordering by -ln(u)/w and keeping the n smallest has the same law as n successive draws with
     probability proportional to the remaining weights, and needs only a top-n instead of a loop. Rows
-    with a missing, zero or negative weight are never drawn.
+    with a missing, zero or negative weight are never drawn. `log_weight` says that `weight` is the
+    logarithm of the weight, for products too large for a double.
     """
-    u = uniform(seed, *[F.col(k) for k in key])
-    drawable = df.withColumn("__w", weight.cast("double")).filter(F.col("__w") > 0)
-    keyed = drawable.withColumn("__e", -F.log(u) / F.col("__w"))
+    exponential = -F.log(uniform(seed, *[F.col(k) for k in key]))
+    weighted = df.withColumn("__w", weight.cast("double"))
+    if log_weight:
+        keyed = weighted.filter(F.col("__w").isNotNull()).withColumn("__e", F.log(exponential) - F.col("__w"))
+    else:
+        keyed = weighted.filter(F.col("__w") > 0).withColumn("__e", exponential / F.col("__w"))
     return keyed.orderBy("__e", *key).limit(n).drop("__w", "__e")
 
 

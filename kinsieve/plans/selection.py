@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from kinsieve.functions import codes
-from kinsieve.functions.numbers import guarded_product, ratio, signif
+from kinsieve.functions.numbers import ratio, signif
 from kinsieve.functions.recoding import recode
 from kinsieve.operators.joins import broadcast_if_short, salted_join, with_average_rank
 from kinsieve.operators.reshape import string_agg, union_distinct, union_fill
 from kinsieve.operators.sampling import weighted_sample_n
 from kinsieve.operators.summaries import quantiles_by, z_score
+from kinsieve.session import written
 
 # Absorbance ratio target, tissue scores, trio labels.
 GOOD_RATIO = 1.8
@@ -22,7 +23,11 @@ TRIO_LABELS = {1: "solo", 2: "duo", 3: "trio"}
 
 
 def impute_low(df: DataFrame, column: str, p: float = 0.1, digits: int = 2) -> DataFrame:
-    """A missing score takes the p-quantile of the known ones, cut to significant digits."""
+    """A missing score takes the p-quantile of the known ones, cut to significant digits.
+
+    The scores are read twice, so they are written once: a score stands on many joins and ranks.
+    """
+    df = written(df, f"{column}-scores")
     low = quantiles_by(df, column, [p], ["q"]).select(signif(F.col("q"), digits).alias("q")).scalar()
     return df.withColumn("__low", low).withColumn(column, F.coalesce(column, "__low")).drop("__low")
 
@@ -32,6 +37,7 @@ def expression_score(affected: DataFrame) -> DataFrame:
 
     An age of zero gives no finite score and is imputed like a missing one.
     """
+    affected = written(affected, "affected")
     ranked = with_average_rank(affected, "tracheostomy", "rank_trach")
     ranked = with_average_rank(ranked, "distal", "rank_distal")
     c = F.col
@@ -52,6 +58,7 @@ def quality_score(measured: DataFrame) -> DataFrame:
 
     Blood is judged by how far its log yield falls short of the average, mouthwash by its yield.
     """
+    measured = written(measured, "measured")
     blood = measured.filter(F.col("tissue") == "WB")
     blood = z_score(blood.withColumn("__log", F.ln(F.when(F.col("yield_ug") > 0, F.col("yield_ug")))), "__log", "__z")
     shortfall = F.when(-F.col("__z") < 1, F.lit(1.0)).otherwise(-F.col("__z"))
@@ -88,7 +95,7 @@ def selection_score(
     )
     scored = salted_join(patients, wanted, ["subject_code"], "inner")
     done = on_chip.select("stock_id").distinct().withColumn("__chip", F.lit(True))
-    scored = salted_join(scored, done, ["stock_id"], "left")
+    scored = written(salted_join(scored, done, ["stock_id"], "left", hot=[]), "chip-status")
     scored = scored.withColumn("chip", F.when(F.col("__chip"), "haveillumina").otherwise("noillumina")).drop("__chip")
     scored = with_average_rank(scored, "chip", "rank_chip")
     scored = scored.withColumn("family", codes.family_of(F.col("subject_code")))
@@ -168,10 +175,15 @@ def select_families(
 
 
 def family_scores(rows: DataFrame) -> DataFrame:
-    """Product of member qualities times the best patient score, per family; a missing quality voids it."""
-    return rows.groupBy("family").agg(
-        (guarded_product(F.col("quality")) * F.max("assay_score")).alias("family_score")
-    )
+    """Log of the product of member qualities times the best patient score, per family.
+
+    A missing quality, or a product that is not positive, gives NULL. The logarithm keeps the product of
+    a large family within range.
+    """
+    usable = (F.count("quality") == F.count("*")) & (F.min("quality") > 0) & (F.max("assay_score") > 0)
+    log_product = F.sum(F.ln(F.when(F.col("quality") > 0, F.col("quality"))))
+    best = F.max(F.when(F.col("assay_score") > 0, F.ln("assay_score")))
+    return rows.groupBy("family").agg(F.when(usable, log_product + best).alias("log_score"))
 
 
 def select_trios(
@@ -196,8 +208,8 @@ def select_trios(
     rows = salted_join(rows, done.select("stock_id").distinct(), ["stock_id"], "left_anti", hot=[])
     rows = rows.filter(~c("relationship").isin(codes.SIBLING, *codes.GRANDPARENTS))
     complete = rows.filter(c("trio") == "trio").select("family").distinct()
-    rows = salted_join(rows, complete, ["family"], "left_semi").filter(c("conc") >= least_conc)
-    drawn = weighted_sample_n(family_scores(rows), n, c("family_score"), ["family"], seed)
+    rows = written(salted_join(rows, complete, ["family"], "left_semi").filter(c("conc") >= least_conc), "trio-members")
+    drawn = weighted_sample_n(family_scores(rows), n, c("log_score"), ["family"], seed, log_weight=True)
     return rows.select("family", "subject_code", "relationship", "stock_id", "specimen_id", "conc").join(
         F.broadcast(drawn), "family"
     )
