@@ -178,7 +178,8 @@ def severity_composite(spark, d):
 def affected_once(spark, d):
     """One row per patient, with the latest update, severity and durations."""
     latest = first_per_key(clinical_updates(spark, d), ["subject_code"], [desc("update_id")])
-    affected = cohort.severity(cohort.affected_view(patient_log(spark, d), latest))
+    # one row per subject on both sides
+    affected = cohort.severity(patient_log(spark, d).join(latest, "subject_code", "left"))
     return cohort.life_durations(affected.withColumn("enroll_date", C("spec_date")))
 
 
@@ -200,8 +201,8 @@ def _section(name, source, key, total):
       FROM a, (SELECT unnest([{_REPORT_AGES}]) AS x) GROUP BY x"""
 )
 def cohort_report(spark, d):
-    affected = report.without_prefixes(affected_once(spark, d), EXCLUDED_FAMILIES)
-    people = report.without_prefixes(people_of(spark, d), EXCLUDED_FAMILIES)
+    affected = written(report.without_prefixes(affected_once(spark, d), EXCLUDED_FAMILIES), "affected")
+    people = written(report.without_prefixes(people_of(spark, d), EXCLUDED_FAMILIES), "people")
     return report.cohort_report(affected, people)
 
 

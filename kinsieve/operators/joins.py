@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinsieve.operators.ordered import Order, average_ranks, order_struct
+from kinsieve.operators.ordered import Order, average_ranks, frequent_values, order_struct
 
 HOT_SHARE = 0.02
 SALTS = 32
@@ -170,12 +170,13 @@ def with_average_rank(
         source = df.withColumn("__present", F.isnull(column).cast("int"))
     elif missing != "keep":
         raise ValueError("missing must be 'keep' or 'last'")
-    ranks, distinct_values = average_ranks(source, column, name, descending, partition_by, rows_per_bucket)
+    ranks, counts, distinct_values = average_ranks(source, column, name, descending, partition_by, rows_per_bucket)
     keys = [column, *partition_by]
     if distinct_values <= BROADCAST_ROWS:
         joined = broadcast_lookup(df, ranks, keys)
     else:
-        joined = salted_join(df, ranks, keys, "left", null_safe=bool(partition_by))
+        hot = frequent_values(counts, column, HOT_SHARE)
+        joined = salted_join(df, ranks, keys, "left", hot, null_safe=bool(partition_by))
     if missing == "last":
         sizes = source.groupBy(*partition_by).agg(
             F.count(column).alias("__known"), F.sum("__present").alias("__unknown")

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from kinsieve.session import written
+
 ROWS_PER_BUCKET = 500_000
 MAX_BUCKETS = 4_096
 SAMPLES_PER_BUCKET = 16
@@ -282,8 +284,19 @@ def every_kth(df, k: int, order_by, first_share: float = 1.0, rows_per_bucket=No
 
 
 def value_counts(df: DataFrame, column: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Distinct non-missing values with their counts: pre-aggregates ties before anything is ordered."""
-    return df.filter(F.col(column).isNotNull()).groupBy(*partition_by, column).agg(F.count("*").alias("__n"))
+    """Distinct non-missing values with their counts: pre-aggregates ties before anything is ordered.
+
+    The counts are read several times (size, cuts, carry, result), so they are written once and what lies
+    behind `df` is computed once.
+    """
+    known = df.filter(F.col(column).isNotNull())
+    return written(known.groupBy(*partition_by, column).agg(F.count("*").alias("__n")), "value-counts")
+
+
+def frequent_values(counts: DataFrame, column: str, share: float) -> list:
+    """Values that hold at least `share` of all counted rows: at most 1/share of them."""
+    total = counts.agg(F.sum("__n")).scalar()
+    return [r[0] for r in counts.groupBy(column).agg(F.sum("__n").alias("n")).filter(F.col("n") >= total * share).collect()]
 
 
 def average_ranks(
@@ -293,13 +306,14 @@ def average_ranks(
     descending: bool = False,
     partition_by: Sequence[str] = (),
     rows_per_bucket: int | None = None,
-) -> tuple[DataFrame, int]:
-    """Distinct values with the average rank their rows share, and how many there are."""
+) -> tuple[DataFrame, DataFrame, int]:
+    """Distinct values with the average rank their rows share; the counts behind them; how many there are."""
     order = [Order(column, descending)]
-    ordered = OrderedFrame(value_counts(df, column, partition_by), order, partition_by, rows_per_bucket)
+    counts = value_counts(df, column, partition_by)
+    ordered = OrderedFrame(counts, order, partition_by, rows_per_bucket)
     ranked = ordered.running_sum(F.col("__n"), "__upto").result()
     rank = F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / F.lit(2.0)
-    return ranked.select(*partition_by, column, rank.alias(name)), ordered.rows
+    return ranked.select(*partition_by, column, rank.alias(name)), counts, ordered.rows
 
 
 def exact_quantiles(
@@ -312,11 +326,17 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles (linear interpolation) per group, one row per group with any value.
 
-    The built-in exact percentile holds all distinct values of a group in one hash map. Here the values
-    are counted, prefix-summed in buckets, and the two neighbours of each target position picked by a
-    partial aggregate, so no group has to fit in a task.
+    The built-in exact percentile holds all distinct values of a group in one hash map. It is used where
+    the number of distinct values, counted first, is small. Beyond that the counts are prefix-summed in
+    buckets and the two neighbours of each target position picked by a partial aggregate, so no group has
+    to fit in a task.
     """
     counts = value_counts(df, column, partition_by)
+    if rows_per_bucket is None and counts.count() <= ROWS_PER_BUCKET:
+        value = F.col(column).cast("double")
+        return counts.groupBy(*partition_by).agg(
+            *[F.percentile(value, float(p), F.col("__n")).alias(n) for p, n in zip(probs, names)]
+        )
     ordered = OrderedFrame(counts, [asc(column)], partition_by, rows_per_bucket)
     cumulated = ordered.running_sum(F.col("__n"), "__upto", "__total").result()
     picks = [F.max("__total").alias("__total")]

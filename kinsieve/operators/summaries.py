@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kinsieve.functions.numbers import ratio, round_even
 from kinsieve.functions.tails import t_quantile
 from kinsieve.operators.joins import salted_join
-from kinsieve.operators.ordered import ROWS_PER_BUCKET, exact_quantiles, with_running_sum
+from kinsieve.operators.ordered import exact_quantiles, with_running_sum
 
 
 def counts_by(df: DataFrame, *keys, name: str = "n") -> DataFrame:
@@ -35,25 +35,6 @@ def cumulative_shares(
     return running.select(key, "n", round_even(ratio(F.col("__upto"), whole), digits).alias("cumulative"))
 
 
-def quantiles_by(
-    df: DataFrame,
-    column: str,
-    probs: Sequence[float],
-    names: Sequence[str],
-    keys: Sequence[str] = (),
-    rows_per_bucket: int | None = None,
-) -> DataFrame:
-    """Exact quantiles per group.
-
-    Few rows, as counted, fit the built-in percentile's hash map; beyond that the bucketed form is used.
-    """
-    known = df.filter(F.col(column).isNotNull())
-    if rows_per_bucket is None and known.count() <= ROWS_PER_BUCKET:
-        value = F.col(column).cast("double")
-        return known.groupBy(*keys).agg(*[F.percentile(value, float(p)).alias(n) for p, n in zip(probs, names)])
-    return exact_quantiles(df, column, probs, names, keys, rows_per_bucket)
-
-
 def group_stats(
     df: DataFrame,
     keys: Sequence[str],
@@ -67,7 +48,7 @@ def group_stats(
     for name, (column, p) in (quantiles or {}).items():
         by_column.setdefault(column, []).append((name, p))
     for column, wanted in by_column.items():
-        part = quantiles_by(df, column, [p for _, p in wanted], [n for n, _ in wanted], keys, rows_per_bucket)
+        part = exact_quantiles(df, column, [p for _, p in wanted], [n for n, _ in wanted], keys, rows_per_bucket)
         # both sides hold one row per group, so no key can be hot
         out = salted_join(out, part, keys, "left", hot=[], null_safe=True)
     return out
@@ -157,7 +138,7 @@ def histogram_by_count(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 def box_stats(df: DataFrame, column: str, keys: Sequence[str], rows_per_bucket: int | None = None) -> DataFrame:
     """Quartiles, whiskers (furthest values within 1.5 interquartile ranges) and outliers per group."""
-    boxes = quantiles_by(df, column, [0.25, 0.5, 0.75], ["q1", "median", "q3"], keys, rows_per_bucket)
+    boxes = exact_quantiles(df, column, [0.25, 0.5, 0.75], ["q1", "median", "q3"], keys, rows_per_bucket)
     rows = salted_join(df.filter(F.col(column).isNotNull()).select(*keys, column), boxes, keys, "inner", null_safe=True)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col(column).between(F.col("q1") - reach, F.col("q3") + reach)

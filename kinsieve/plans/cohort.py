@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -14,6 +15,7 @@ from kinsieve.operators.joins import first_per_key, inherit_from_relative, looku
 from kinsieve.operators.ordered import asc, fill_missing
 from kinsieve.operators.reshape import pivot_wide, union_fill, union_tagged
 from kinsieve.operators.rules import Rule, apply_rules
+from kinsieve.session import written
 
 # Typing levels, adult age, clinical thresholds.
 TYPE_LEVELS = ("6", "11", "16", "611", "retest")
@@ -82,7 +84,8 @@ def person_view(by_specimen: DataFrame, adult_families: Sequence[str] = (), rows
         "collect_date", "recd_date", "enroll_date", "subj_sex", "subj_dob", "stock_id", "specimen_id",
     )
     order = [asc("enroll_date"), asc("stock_id"), asc("specimen_id")]
-    people = first_per_key(kept, ["subject_code"], order).drop("stock_id", "specimen_id")
+    # read again for hot families, sizes and cuts, so it is written once
+    people = written(first_per_key(kept, ["subject_code"], order).drop("stock_id", "specimen_id"), "people")
 
     code = F.col("subject_code")
     suffix = codes.suffix_of(code)
@@ -138,44 +141,40 @@ def severity(affected: DataFrame) -> DataFrame:
     ever_distal, below_voice_box, surg_life, surg_life_upd, surg_12m, surg_12m_upd, surg_max_12m, dx_date.
     """
     c = F.col
-    out = affected.withColumn("last_contact", row_max(c("update_date"), c("spec_date")))
-    present = lambda x: (x == "Currently present") | (x == "Used to have")
     sites = row_max(c("site_pulmonary"), c("site_bronchus"), c("site_trachea"))
-    out = apply_rules(
-        out,
-        [
-            Rule("trach_upd", c("trach_upd").isNull(), c("trach_log")),
-            Rule("tracheostomy", (c("trach_log") == "Never") | (c("trach_upd") == "Never"), "Never"),
-            Rule("tracheostomy", present(c("trach_upd")) | present(c("trach_log")), "trached"),
-        ],
-    )
-    out = out.withColumns(
+    involved = lambda x: if_else(x == 0, F.lit("cleardist"), F.lit("involvdist"))
+    voice_box = c("below_voice_box")
+    out = affected.withColumns(
         {
+            "last_contact": row_max(c("update_date"), c("spec_date")),
+            # the latest known status counts where no update exists
+            "trach_upd": F.coalesce("trach_upd", "trach_log"),
             "surgeries": row_max(c("surg_life_upd"), c("surg_life")),
-            "distal_log": if_else(sites == 0, F.lit("cleardist"), F.lit("involvdist")),
-            "distal_upd": if_else(c("ever_distal") == 0, F.lit("cleardist"), F.lit("involvdist")),
+            "distal_log": involved(sites),
+            "distal_upd": involved(c("ever_distal")),
+            "below_voice_box": F.when(voice_box == "No", "cleardist")
+            .when(voice_box.contains("Yes"), "involvdist")
+            .when(~voice_box.isin("Not Recorded", "Unsure"), voice_box),
         }
     )
-    either = lambda value: (c("distal_log") == value) | (c("distal_upd") == value) | (c("below_voice_box") == value)
-    out = apply_rules(
-        out,
-        [
-            Rule("below_voice_box", c("below_voice_box").isin("Not Recorded", "Unsure"), F.lit(None)),
-            Rule("below_voice_box", c("below_voice_box") == "No", "cleardist"),
-            Rule("below_voice_box", c("below_voice_box").contains("Yes"), "involvdist"),
-            Rule("distal", either("cleardist"), "cleardist"),
-            Rule("distal", either("involvdist"), "involvdist"),
-        ],
-    )
-    out = out.withColumn("follow_up", years_between(c("last_contact"), c("dx_date"), 2))
-    out = apply_rules(out, [Rule("follow_up", (c("follow_up") < 0) & (c("follow_up") > FOLLOW_UP_SLACK), 0.0)])
-    out = out.withColumn("annual_freq", round_even(ratio(c("surgeries"), c("follow_up")), 1))
-    out = apply_rules(out, [Rule("annual_freq", c("follow_up") < SHORT_FOLLOW_UP, F.lit(None).cast("double"))])
-    highest = row_max(
-        *[c(x).cast("double") for x in ("surg_12m", "surg_12m_upd", "surg_max_12m", "annual_freq")]
+    either = lambda value, *names: reduce(lambda a, b: a | b, [c(n) == value for n in names])
+    statuses, places = ("trach_log", "trach_upd"), ("distal_log", "distal_upd", "below_voice_box")
+    had = either("Currently present", *statuses) | either("Used to have", *statuses)
+    # the worse finding overrules the better one, whichever source it comes from
+    out = out.withColumns(
+        {
+            "tracheostomy": F.when(had, "trached").when(either("Never", *statuses), "Never"),
+            "distal": F.when(either("involvdist", *places), "involvdist").when(either("cleardist", *places), "cleardist"),
+            "follow_up": years_between(c("last_contact"), c("dx_date"), 2),
+        }
     )
+    near_zero = (c("follow_up") < 0) & (c("follow_up") > FOLLOW_UP_SLACK)
+    out = out.withColumn("follow_up", F.when(near_zero, 0.0).otherwise(c("follow_up")))
+    yearly = round_even(ratio(c("surgeries"), c("follow_up")), 1)
+    out = out.withColumn("annual_freq", F.when(c("follow_up") < SHORT_FOLLOW_UP, None).otherwise(yearly))
+    highest = row_max(*[c(x).cast("double") for x in ("surg_12m", "surg_12m_upd", "surg_max_12m", "annual_freq")])
     out = out.withColumn("max_freq", round_even(highest))
-    out = apply_rules(out, [Rule("max_freq", c("max_freq") < 1, 1.0)])
+    out = out.withColumn("max_freq", F.when(c("max_freq") < 1, 1.0).otherwise(c("max_freq")))
     return out.withColumn(
         "aggressive",
         (c("tracheostomy") == "trached")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from kinsieve.functions.codes import family_of, relationship_of
 from kinsieve.functions.numbers import ratio, round_even
 from kinsieve.operators.reshape import string_agg, unpivot_groups
-from kinsieve.operators.summaries import counts_by, shares_at_or_below, shares_by
+from kinsieve.operators.summaries import counts_by, level_summary, shares_at_or_below
 
 # Ages at which the distributions are reported.
 REPORT_AGES = (3, 5, 10, 15, 18, 20, 25, 30, 50)
@@ -34,19 +34,15 @@ def family_composition(people: DataFrame) -> DataFrame:
 def cohort_report(affected: DataFrame, people: DataFrame) -> DataFrame:
     """Long report: (section, item, n, share) over patients and people of the sub-cohort."""
 
-    def section(name: str, df: DataFrame, key: str) -> DataFrame:
-        return shares_by(df, key).select(
-            F.lit(name).alias("section"), F.col(key).cast("string").alias("item"), "n", "share"
-        )
+    def sections(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """Counts and shares of the levels of several columns in one pass."""
+        counted = level_summary(df, columns).toDF("section", "item", "n")
+        whole = df.agg(F.count("*")).scalar()
+        return counted.withColumn("share", round_even(ratio(F.col("n"), whole), 2))
 
     parts = [
-        section("sex", affected, "sex"),
-        section("race", affected, "race"),
-        section("ethnicity", affected, "ethnicity"),
-        section("onset", affected, "onset"),
-        section("tracheostomy", affected, "tracheostomy"),
-        section("distal", affected, "distal"),
-        section("relationship", people, "relationship"),
+        sections(affected, ["sex", "race", "ethnicity", "onset", "tracheostomy", "distal"]),
+        sections(people, ["relationship"]),
         family_composition(people).select(
             F.lit("families").alias("section"), F.col("relationships").alias("item"), "n", "share"
         ),

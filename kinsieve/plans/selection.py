@@ -10,9 +10,10 @@ from kinsieve.functions import codes
 from kinsieve.functions.numbers import ratio, signif
 from kinsieve.functions.recoding import recode
 from kinsieve.operators.joins import broadcast_if_short, salted_join, with_average_rank
+from kinsieve.operators.ordered import exact_quantiles
 from kinsieve.operators.reshape import string_agg, union_distinct, union_fill
 from kinsieve.operators.sampling import weighted_sample_n
-from kinsieve.operators.summaries import quantiles_by, z_score
+from kinsieve.operators.summaries import z_score
 from kinsieve.session import written
 
 # Absorbance ratio target, tissue scores, trio labels.
@@ -28,7 +29,7 @@ def impute_low(df: DataFrame, column: str, p: float = 0.1, digits: int = 2) -> D
     The scores are read twice, so they are written once: a score stands on many joins and ranks.
     """
     df = written(df, f"{column}-scores")
-    low = quantiles_by(df, column, [p], ["q"]).select(signif(F.col("q"), digits).alias("q")).scalar()
+    low = exact_quantiles(df, column, [p], ["q"]).select(signif(F.col("q"), digits).alias("q")).scalar()
     return df.withColumn("__low", low).withColumn(column, F.coalesce(column, "__low")).drop("__low")
 
 
