@@ -38,25 +38,23 @@ def ols_simple(spark, d):
     w AS (SELECT max(CASE WHEN k = 'F' THEN a END) AS af, max(CASE WHEN k = 'F' THEN b END) AS bf, max(CASE WHEN k = 'O' THEN a END) AS ao,
       max(CASE WHEN k = 'O' THEN b END) AS bo, sum(rss) / (sum(n) - 4) AS s2, max(CASE WHEN k = 'F' THEN sxx END) AS xf, max(CASE WHEN k = 'O' THEN sxx END) AS xo,
       max(CASE WHEN k = 'F' THEN 1.0::DOUBLE / n + mx * mx / sxx END) AS vf, max(CASE WHEN k = 'O' THEN 1.0::DOUBLE / n + mx * mx / sxx END) AS vo FROM g),
-    t AS (SELECT '(Intercept)' AS term, ao AS estimate, sqrt(s2 * vo) AS se FROM w UNION ALL SELECT 'l_quantity', bo, sqrt(s2 / xo) FROM w
-      UNION ALL SELECT 'is_f', af - ao, sqrt(s2 * (vf + vo)) FROM w UNION ALL SELECT 'l_quantity:is_f', bf - bo, sqrt(s2 * (1 / xf + 1 / xo)) FROM w)
+    t AS (SELECT '(Intercept)' AS term, af AS estimate, sqrt(s2 * vf) AS se FROM w UNION ALL SELECT 'l_quantity', bf, sqrt(s2 / xf) FROM w
+      UNION ALL SELECT 'l_linestatus[O]', ao - af, sqrt(s2 * (vf + vo)) FROM w
+      UNION ALL SELECT 'l_quantity:l_linestatus[O]', bo - bf, sqrt(s2 * (1 / xf + 1 / xo)) FROM w)
     SELECT term, {signif_sql('estimate', 5)} AS estimate, {signif_sql('se', 5)} AS se, {signif_sql('(estimate / se)', 4)} AS t FROM t"""
 )
 def ols_interaction(spark, d):
     """Slope and level of two categories in one model: y ~ x * category."""
-    lines = table(spark, d, "lineitem").select(
-        "l_extendedprice", "l_quantity", F.when(C("l_linestatus") == "F", 1.0).otherwise(0.0).alias("is_f")
+    out = statistics.model_regression(
+        table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_linestatus"], [("l_quantity", "l_linestatus")]
     )
-    out = statistics.formula_regression(lines, "l_extendedprice ~ l_quantity + is_f + l_quantity:is_f")
-    named = out.withColumn("term", F.when(C("term").contains("l_quantity") & C("term").contains("is_f"), "l_quantity:is_f").otherwise(C("term")))
-    return significant(significant(named.drop("p"), 5, "estimate", "se"), 4, "t")
+    return significant(significant(out.drop("p"), 5, "estimate", "se"), 4, "t")
 
 
 @query()
 def ols_category(spark, d):
     """Model with a text category: every category but one gets a term."""
-    lines = table(spark, d, "lineitem").select("l_extendedprice", "l_quantity", "l_returnflag")
-    return statistics.formula_regression(lines, "l_extendedprice ~ l_quantity + l_returnflag")
+    return statistics.model_regression(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_returnflag"])
 
 
 @query(

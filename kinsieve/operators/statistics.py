@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import RFormula
+from collections.abc import Sequence
+
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kinsieve.functions.numbers import ratio
 from kinsieve.functions.tails import f_p_value, range_p_value, t_p_value
 
+MAX_LEVELS = 500
+
 
 def simple_regression(df: DataFrame, y: Column, x: Column, p_values: bool = False) -> DataFrame:
     """Intercept, slope, their standard errors and t values, R squared, from one pass."""
@@ -37,19 +41,37 @@ def simple_regression(df: DataFrame, y: Column, x: Column, p_values: bool = Fals
     return m.select(*out)
 
 
-def formula_regression(df: DataFrame, formula: str) -> DataFrame:
-    """Least squares for a model formula (categories and interactions included), one row per term.
+def model_regression(
+    df: DataFrame, y: str, terms: Sequence[str], interactions: Sequence[tuple[str, str]] = ()
+) -> DataFrame:
+    """Least squares on numeric and text columns with pairwise interactions, one row per coefficient.
 
-    The normal-equation solver makes one pass and gathers a matrix of the size of the model.
+    A text column enters as one indicator per level but the first; an interaction as the products of
+    both sides' columns. Rows with a missing value are left out. The normal-equation solver makes one
+    pass and gathers a matrix of the size of the model.
     """
-    encoder = RFormula(formula=formula, featuresCol="__x", labelCol="__y", handleInvalid="skip")
-    ready = encoder.fit(df).transform(df)
-    model = LinearRegression(featuresCol="__x", labelCol="__y", solver="normal").fit(ready)
-    meta = ready.schema["__x"].metadata["ml_attr"]["attrs"]
-    terms = [a["name"] for a in sorted((a for group in meta.values() for a in group), key=lambda a: a["idx"])]
+    known = df.select(y, *terms).dropna()
+    parts: dict[str, dict[str, Column]] = {}
+    for term in terms:
+        if dict(known.dtypes)[term] == "string":
+            levels = sorted(r[0] for r in known.select(term).distinct().limit(MAX_LEVELS + 1).collect())
+            if len(levels) > MAX_LEVELS:
+                raise ValueError(f"{term} has more than {MAX_LEVELS} levels")
+            parts[term] = {f"{term}[{v}]": (F.col(term) == F.lit(v)).cast("double") for v in levels[1:]}
+        else:
+            parts[term] = {term: F.col(term).cast("double")}
+    design = {name: c for part in parts.values() for name, c in part.items()}
+    for a, b in interactions:
+        design.update({f"{na}:{nb}": ca * cb for na, ca in parts[a].items() for nb, cb in parts[b].items()})
+    names = list(design)
+    numbered = known.select(
+        F.col(y).cast("double").alias("__y"), *[c.alias(f"__x{i}") for i, c in enumerate(design.values())]
+    )
+    assembler = VectorAssembler(inputCols=[f"__x{i}" for i in range(len(names))], outputCol="__x")
+    model = LinearRegression(featuresCol="__x", labelCol="__y", solver="normal").fit(assembler.transform(numbered))
     s = model.summary
     values = zip(
-        [*terms, "(Intercept)"],
+        [*names, "(Intercept)"],
         [*model.coefficients, model.intercept],
         s.coefficientStandardErrors,
         s.tValues,
