@@ -29,6 +29,7 @@ from kinsieve.functions import codes
 from kinsieve.functions.numbers import round_even, signif
 from kinsieve.operators.joins import first_per_key, salted_join
 from kinsieve.operators.ordered import asc, desc
+from kinsieve.operators.sampling import sample_n
 from kinsieve.plans import cohort, integrity, plates, report, selection
 from kinsieve.session import written
 
@@ -411,8 +412,10 @@ pvol AS (SELECT *, CASE WHEN median_conc <= 20 THEN 6 WHEN median_conc > 20 THEN
 volumes AS (SELECT *, CASE WHEN round_even(median_conc * dna_to_add / 20 - dna_to_add, 0) < 0 THEN 0.0::DOUBLE ELSE round_even(median_conc * dna_to_add / 20 - dna_to_add, 0) END AS water_to_add FROM pvol)"""
 
 
-def germline_plates(spark, d):
+def germline_plates(spark, d, sent=None):
     rows = specimens(spark, d).filter(C("tissue") != "LRNXP").select("specimen_id", "stock_id", "tissue")
+    if sent is not None:
+        rows = salted_join(rows, sent, ["stock_id"], "left_anti", hot=[])
     with_conc = rows.join(stocks(spark, d).select("specimen_id", "conc"), "specimen_id", "left")
     return plates.plate_layout(with_conc, SEED)
 
@@ -442,6 +445,36 @@ def locate_samples(spark, d):
     return selection.locate_samples(written(chosen(spark, d), "chosen"), germline_plates(spark, d))
 
 
+_SENT = uniform_sql(106, "specimen_id")
+
+
+@query(
+    f"""WITH {SPECIMENS_CTE}, sent AS (SELECT stock_id FROM specimens WHERE tissue <> 'LRNXP' ORDER BY {_SENT}, specimen_id LIMIT 106),
+    {_PLATES_CTE.replace("WHERE s.tissue <> 'LRNXP'", "WHERE s.tissue <> 'LRNXP' AND s.stock_id NOT IN (SELECT stock_id FROM sent)")} SELECT * FROM plating"""
+)
+def plate_layout_minus_sent(spark, d):
+    """The layout without the stocks of an earlier random sample."""
+    germline = specimens(spark, d).filter(C("tissue") != "LRNXP").select("specimen_id", "stock_id")
+    return germline_plates(spark, d, sample_n(germline, 106, ["specimen_id"], 106).select("stock_id"))
+
+
+@query(
+    f"""WITH {_TRIOS_CTE}, {_PLATES_CTE.replace(STOCKS_CTE + ',', '')}, {_PEOPLE_CTE.replace(BY_SPECIMEN_CTE + ',', '')},
+    w AS (SELECT r3.subject_code, sex, ethnicity, race, r3.stock_id, r3.specimen_id, t.conc, t.volume, t.abs_ratio, t.yield_ug, r3.family, r3.relationship
+      FROM r3 JOIN fd ON r3.family = fd.family LEFT JOIN people p ON r3.subject_code = p.subject_code JOIN stocks t ON r3.specimen_id = t.specimen_id),
+    a AS (SELECT *, CASE WHEN conc < 50 THEN {signif_sql('(1000 / conc)', 2)} ELSE {signif_sql('(750 / conc)', 2)} END AS p0 FROM w),
+    b AS (SELECT *, CASE WHEN p0 < 5 THEN 5.0::DOUBLE ELSE p0 END AS pip_stock FROM a),
+    c AS (SELECT *, CASE WHEN conc < 50 THEN 0.0::DOUBLE ELSE {signif_sql('(pip_stock * conc / 75 - pip_stock)', 2)} END AS d0 FROM b)
+    SELECT c.subject_code, sex, ethnicity, race, c.stock_id, c.specimen_id, c.conc, volume, {round_sql('abs_ratio', 6)} AS abs_ratio, {round_sql('yield_ug', 6)} AS yield_ug, family, relationship, plate, well, pip_stock,
+    CASE WHEN pip_stock + d0 < 20 THEN {signif_sql('(pip_stock * c.conc / 50 - pip_stock)', 2)} ELSE d0 END AS pip_diluent
+    FROM c LEFT JOIN (SELECT DISTINCT stock_id, plate, well FROM plating) l ON c.stock_id = l.stock_id"""
+)
+def trio_worklist(spark, d):
+    """Trio selection end to end: draw, demographics, position, volumes."""
+    worklist = selection.trio_worklist(trio_stocks(spark, d), people_of(spark, d), stocks(spark, d), germline_plates(spark, d))
+    return _rounded(worklist, 6, "abs_ratio", "yield_ug")
+
+
 _CALLS = tuple(f"snp_{i:02d}" for i in range(1, 12))
 _CALLS_SQL = ", ".join(f"CASE WHEN c % {i + 2} <> 0 THEN 'G' END AS {name}" for i, name in enumerate(_CALLS))
 _MISSED_SQL = " + ".join(f"({name} IS NULL)::INT" for name in _CALLS)

@@ -59,13 +59,17 @@ def join_right(spark, d):
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def join_anti(spark, d):
     measured = table(spark, d, "lineitem").select(C("l_orderkey").alias("o_orderkey"))
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(measured, "o_orderkey", "left_anti")
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey").transform(
+        salted_join, measured, ["o_orderkey"], "left_anti", hot=[]
+    )
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)")
 def join_semi(spark, d):
     rich = table(spark, d, "lineitem").filter(C("l_quantity") > 45).select(C("l_orderkey").alias("o_orderkey"))
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(rich, "o_orderkey", "left_semi")
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey").transform(
+        salted_join, rich, ["o_orderkey"], "left_semi", hot=[]
+    )
 
 
 @query(

@@ -57,6 +57,9 @@ def salted_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("swap the sides: only inner, left, left_semi and left_anti are salted")
     on = list(on)
+    if how in ("left_semi", "left_anti"):
+        # repeats on the right change nothing, yet a key that repeats there would fill one task
+        right = right.select(*on).distinct()
     if hot is None:
         hot = hot_keys(left, on[0])
     if not hot and not null_safe and how in ("inner", "left_semi"):

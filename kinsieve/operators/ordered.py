@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from kinsieve.session import written
 
 ROWS_PER_BUCKET = 500_000
-MAX_BUCKETS = 4_096
+MAX_BUCKETS = 8_192
 SAMPLES_PER_BUCKET = 16
 
 _BUCKET = "__bucket"

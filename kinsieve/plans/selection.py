@@ -14,6 +14,7 @@ from kinsieve.operators.ordered import exact_quantiles
 from kinsieve.operators.reshape import string_agg, union_distinct, union_fill
 from kinsieve.operators.sampling import weighted_sample_n
 from kinsieve.operators.summaries import z_score
+from kinsieve.plans.plates import pipette_plan
 from kinsieve.session import written
 
 # Absorbance ratio target, tissue scores, trio labels.
@@ -227,10 +228,25 @@ def locate_samples(wanted: DataFrame, plating: DataFrame) -> DataFrame:
     return ids.join(found, "stock_id", "left")
 
 
+def trio_worklist(chosen: DataFrame, people: DataFrame, measured: DataFrame, plating: DataFrame) -> DataFrame:
+    """The worklist of chosen stocks: who they come from, what is in them, where they stand and what to
+    pipette. A stock on several wells has a row for each, a stock on no plate a row without a well.
+
+    The chosen list is short, so it cuts down people and stocks before anything is joined.
+    """
+    ids = written(chosen.select("family", "subject_code", "relationship", "stock_id", "specimen_id"), "chosen")
+    persons = people.join(broadcast_if_short(ids.select("subject_code").distinct()), "subject_code", "left_semi")
+    stock = measured.join(broadcast_if_short(ids.select("specimen_id").distinct()), "specimen_id", "left_semi")
+    located = locate_samples(ids, plating)
+    out = ids.join(persons.select("subject_code", "sex", "ethnicity", "race"), "subject_code", "left")
+    out = out.join(stock.select("specimen_id", "conc", "volume", "abs_ratio", "yield_ug"), "specimen_id", "left")
+    return pipette_plan(out.join(located, "stock_id", "left"))
+
+
 def marker_coverage(markers: DataFrame, proxies: DataFrame, chip: DataFrame) -> DataFrame:
     """Per marker: itself on the chip, else the proxies that are, else absent."""
     on_chip = chip.select("name").distinct()
-    direct = markers.join(on_chip.withColumnRenamed("name", "marker"), "marker", "left_semi").select(
+    direct = salted_join(markers, on_chip.withColumnRenamed("name", "marker"), ["marker"], "left_semi", hot=[]).select(
         "marker", F.lit("direct").alias("coverage"), F.lit(None).cast("string").alias("by_proxy")
     )
     hits = salted_join(proxies.withColumnRenamed("proxy", "name"), on_chip, ["name"], "left_semi").distinct()
