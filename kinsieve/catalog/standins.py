@@ -7,6 +7,8 @@ arithmetic on the cents of an amount, the same way in both dialects.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kinsieve.functions import codes
@@ -63,6 +65,7 @@ def days_after(start: str, days: Column) -> Column:
 # -- patient log: one row per patient ------------------------------------------------------------
 
 
+@lru_cache(maxsize=16)
 def patient_log(spark: SparkSession, folder: str) -> DataFrame:
     c = F.col("cents")
     coded = table(spark, folder, "customer").select(
@@ -126,6 +129,7 @@ patient_log AS (SELECT subject_code, c_mktsegment AS site_code,
 # -- clinical updates: one row per event ---------------------------------------------------------
 
 
+@lru_cache(maxsize=16)
 def clinical_updates(spark: SparkSession, folder: str) -> DataFrame:
     c = cents(F.col("value"))
     kind = F.col("event_type")
@@ -154,6 +158,7 @@ UPDATES_CTE = f"""updates AS (SELECT {code_sql('(user_id * 4)')} AS subject_code
 # -- specimens: one row per order ----------------------------------------------------------------
 
 
+@lru_cache(maxsize=16)
 def specimens(spark: SparkSession, folder: str) -> DataFrame:
     c = cents(F.col("o_totalprice"))
     m = lambda k: F.pmod(c, F.lit(k))
@@ -202,6 +207,7 @@ by_specimen AS (SELECT s.*, l.sex, l.race, l.ethnicity, l.dob, l.spec_date,
 # -- stocks: measurements per specimen -----------------------------------------------------------
 
 
+@lru_cache(maxsize=16)
 def stocks(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order with line items. A few aggregates per order, combined before the shuffle."""
     lines = table(spark, folder, "lineitem")

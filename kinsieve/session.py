@@ -16,6 +16,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # no call-site capture per expression: plans here are built from many small expressions
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -50,4 +52,5 @@ def written(df: DataFrame, label: str) -> DataFrame:
     survives the loss of any executor, unlike a cached frame."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    # the schema is known, so no job is spent on reading it from the files
+    return df.sparkSession.read.schema(df.schema).parquet(path)

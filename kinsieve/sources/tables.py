@@ -9,8 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def read_parquet_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+    """A Parquet table; its schema is read from the files once per process, not on every use."""
+    path = os.path.join(folder, f"{name}.parquet")
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def read_snapshot(spark: SparkSession, folder: str, names: Sequence[str] | None = None) -> dict[str, DataFrame]:
