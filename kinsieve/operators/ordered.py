@@ -35,6 +35,9 @@ class Order:
     descending: bool = False
     nulls_first: bool = True
 
+    def reversed(self) -> "Order":
+        return Order(self.column, not self.descending, not self.nulls_first)
+
     def expression(self) -> Column:
         c = F.col(self.column)
         if self.descending:
@@ -220,24 +223,18 @@ class OrderedFrame:
 
     def filled(self, column: str, name: str, backward: bool = False) -> "OrderedFrame":
         """Last known value at or before this row (or next known value at or after it)."""
-        window = self._ordered()
-        if backward:
-            span = window.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-            local = F.first(column, ignorenulls=True).over(span)
-        else:
-            span = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            local = F.last(column, ignorenulls=True).over(span)
+        # backward is forward in the opposite order: a frame that ends at the partition's end would be
+        # evaluated anew for every row
+        window = self._local().orderBy(*[o.reversed().expression() for o in self.orders]) if backward else self._ordered()
+        local = F.last(column, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         if self.buckets == 1:
             self.frame = self.frame.withColumn(name, local)
             return self
         key = F.when(F.col(column).isNotNull(), order_struct(self.frame, self.orders))
         edge = F.min_by(column, key) if backward else F.max_by(column, key)
         edges = self._pieces().groupBy(_BUCKET, *self.groups).agg(edge.alias("__edge"))
-        across = self._across().orderBy(_BUCKET)
-        if backward:
-            known = F.first("__edge", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing))
-        else:
-            known = F.last("__edge", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
+        across = self._across().orderBy(F.col(_BUCKET).desc() if backward else F.col(_BUCKET))
+        known = F.last("__edge", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
         carry = edges.select(_BUCKET, *self.groups, known.alias("__known"))
         self.frame = self.frame.withColumn("__local", local)
         self.frame = self._attach(carry, ["__known"])
