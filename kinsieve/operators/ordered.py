@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from kinsieve.session import written
 
-ROWS_PER_BUCKET = 500_000
+ROWS_PER_BUCKET = 100_000
+PERCENTILE_VALUES = 1_000_000
 MAX_BUCKETS = 8_192
 SAMPLES_PER_BUCKET = 16
 
@@ -329,7 +330,7 @@ def exact_quantiles(
     to fit in a task.
     """
     counts = value_counts(df, column, partition_by)
-    if rows_per_bucket is None and counts.count() <= ROWS_PER_BUCKET:
+    if rows_per_bucket is None and counts.count() <= PERCENTILE_VALUES:
         value = F.col(column).cast("double")
         return counts.groupBy(*partition_by).agg(
             *[F.percentile(value, float(p), F.col("__n")).alias(n) for p, n in zip(probs, names)]
