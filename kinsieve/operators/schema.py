@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def clean_names(df: DataFrame) -> DataFrame:
-    """Turn every column name into a unique identifier: odd characters become dots' underscore
-    counterpart, a leading digit is prefixed, repeats are numbered."""
+    """Turn every column name into a unique identifier: odd characters become underscores, a
+    leading digit is prefixed, repeats are numbered."""
     seen: dict[str, int] = {}
     names = []
     for raw in df.columns:
