@@ -87,3 +87,39 @@ def joined(column: pa.ChunkedArray, kind) -> np.ndarray:
 
 def lookups(table: dict, keys) -> list:
     return [table[k] for k in keys]
+
+
+_WORD_BASE = np.uint64(0x5851F42D4C957F2D)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, code: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word of the rows, in text order.
+
+    `code` maps each byte to its value in the hash (lower-casing), `gap` tells which bytes part words. A word's
+    hash is a difference of two running sums, brought to the word's own start by an inverse power.
+    """
+    size = len(data)
+    if size == 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    inside = ~gap[data]
+    first = np.zeros(size, bool)
+    first[offsets[:-1][np.diff(offsets) > 0]] = True
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1] | first[1:]
+    starts = np.flatnonzero(begin)
+    if len(starts) == 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    stop = np.ones(size, bool)
+    stop[:-1] = ~inside[1:] | first[1:]
+    ends = np.flatnonzero(stop & inside) + 1
+    power = np.full(size, _WORD_BASE, np.uint64)
+    power[0] = 1
+    np.multiply.accumulate(power, out=power)
+    sums = np.zeros(size + 1, np.uint64)
+    np.cumsum(code[data] * power, out=sums[1:])
+    back = np.full(size, pow(int(_WORD_BASE), -1, 1 << 64), np.uint64)
+    back[0] = 1
+    np.multiply.accumulate(back, out=back)
+    values = (sums[ends] - sums[starts]) * back[starts]
+    rows = np.searchsorted(offsets, starts, "right") - 1
+    return mixed(values ^ (ends - starts).astype(np.uint64)), rows

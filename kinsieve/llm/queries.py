@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinsieve.llm import bpe
+from kinsieve.llm import bpe, fingerprints, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,29 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+ORACLES["op1_topk"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, v.vec_id AS vec_id,
+           CAST(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id
+), r AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank" FROM s
+)
+SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 10
+"""
+
+
 @query
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -45,3 +68,12 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    compared = fingerprints.compare_with_next(table(spark, folder, "documents").select("doc_id", "text"))
+    edited = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    return compared.select(
+        "doc_id", "n_chars", edited, "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
