@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from kinsieve.llm.arrays import sliced
 
-SLICE_BYTES = 16 << 20
-KEPT_WORDS = 400_000
+# an executor runs an encoder and a decoder per core, so working sets are kept small
+SLICE_BYTES = 4 << 20
+KEPT_WORDS = 150_000
 
 SPACE, LETTER, DIGIT, OTHER = range(4)
 # fixed values: endings that are words of their own after an apostrophe
@@ -201,6 +202,16 @@ class Vocabulary:
         return found
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> dict[int, bytes]:
+    """Just the tokens, which is all that decoding needs."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    letters = _byte_letters()
+    tokens = {i: bytes(letters[c] for c in token) for token, i in spec["model"]["vocab"].items()}
+    return tokens | {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     """Read once per Python worker; the file lies at the same path on every node."""
@@ -229,7 +240,7 @@ def _encoder(path: str, text: str, name: str):
 
 def _decoder(path: str, ids: str, name: str):
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = vocabulary(path).tokens
+        tokens = token_bytes(path)
         for batch in sliced(batches, ids, SLICE_BYTES):
             texts = [
                 b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace")
