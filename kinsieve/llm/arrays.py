@@ -92,8 +92,11 @@ def lookups(table: dict, keys) -> list:
 _WORD_BASE = np.uint64(0x5851F42D4C957F2D)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, code: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every word of the rows, in text order.
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, code: np.ndarray, gap: np.ndarray, prefixes: tuple[int, ...] = ()
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word of the rows, in text order; then those of its prefixes of the given lengths
+    in bytes, where the word is longer.
 
     `code` maps each byte to its value in the hash (lower-casing), `gap` tells which bytes part words. A word's
     hash is a difference of two running sums, brought to the word's own start by an inverse power.
@@ -120,6 +123,12 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, code: np.ndarray, gap: np
     back = np.full(size, pow(int(_WORD_BASE), -1, 1 << 64), np.uint64)
     back[0] = 1
     np.multiply.accumulate(back, out=back)
-    values = (sums[ends] - sums[starts]) * back[starts]
     rows = np.searchsorted(offsets, starts, "right") - 1
-    return mixed(values ^ (ends - starts).astype(np.uint64)), rows
+    lengths = ends - starts
+    found = [(mixed((sums[ends] - sums[starts]) * back[starts] ^ lengths.astype(np.uint64)), rows)]
+    for length in prefixes:
+        longer = starts[lengths > length]
+        values = (sums[longer + length] - sums[longer]) * back[longer]
+        found.append((mixed(values ^ np.uint64(length << 32)), rows[lengths > length]))
+    hashes, rows = zip(*found, strict=True)
+    return np.concatenate(hashes), np.concatenate(rows)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinsieve.llm import bpe, fingerprints, topk
+from kinsieve.llm import bpe, fingerprints, language, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,3 +77,15 @@ def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return compared.select(
         "doc_id", "n_chars", edited, "fingerprint", "edited_fingerprint", "near_edited", "near_next"
     )
+
+
+@query
+def op9_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = toxicity.classify(docs, table(spark, folder, "labels"))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
