@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinsieve.llm import bpe, fingerprints, language, topk, toxicity
+from kinsieve.llm import bpe, fingerprints, jaccard, language, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +79,11 @@ def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents").select("doc_id", "text", "lang"))
