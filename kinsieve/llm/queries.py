@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinsieve.llm import bpe, fingerprints, jaccard, language, topk, toxicity
+from kinsieve.llm import bpe, fingerprints, jaccard, language, suffixes, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +70,12 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     compared = fingerprints.compare_with_next(table(spark, folder, "documents").select("doc_id", "text"))
