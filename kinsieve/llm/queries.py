@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kinsieve.llm import bpe, fingerprints, jaccard, language, suffixes, topk, toxicity
+from kinsieve.llm import bpe, fingerprints, jaccard, language, mixing, suffixes, toolcalls, topk, toxicity, urlgraph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,11 +85,35 @@ def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op5_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
+    calls, results = toolcalls.from_conversations(table(spark, folder, "conversations"))
+    return toolcalls.link(calls, results, toolcalls.SCHEMAS)
+
+
+# parts of the mix: the large source gets twice the share of each other one
+MIX_WEIGHTS = {"src0": 2}
+
+
+@query
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    return mixing.mix(docs, MIX_WEIGHTS)
+
+
 @query
 def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+@query
+def op8_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urlgraph.judge(table(spark, folder, "pages").select("page_id", "url", "html"), URL_RULES)
+
+
 @query
 def op9_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents").select("doc_id", "text", "lang"))

@@ -154,17 +154,23 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
+    """A model from the labels that are not held out: rows with toxic = 1 are the confirmed examples, and the
+    share of toxic rows among the labelled ones is the class prior. Contradicting labels of one document count
+    as toxic."""
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
+    return train(docs, known.filter(F.col("toxic") == 1), min(max(prior, 1e-3), 0.5))
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score every document for toxicity; the columns of `docs` plus `score` and `predicted` (score >= 0.5).
 
-    `labels` has doc_id and toxic (1, 0 or missing). Only rows that are not held out are learnt from: those
-    with toxic = 1 are the confirmed examples, and the share of toxic rows among the labelled ones is the
-    class prior. Contradicting labels of one document count as toxic. Without any confirmed example all
-    scores are 0. Labels are no input of a score, and extra columns of either table change nothing.
+    `labels` has doc_id and toxic (1, 0 or missing). Without any confirmed example all scores are about 0.
+    Labels are no input of a score, and extra columns of either table change nothing; input columns called like
+    the outputs are replaced. A missing text counts as empty, rows repeat as they come, and an empty table
+    gives no rows.
     """
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out())
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
-    model = train(docs, known.filter(F.col("toxic") == 1), min(max(prior, 1e-3), 0.5))
-    scored = score(docs.drop("score", "predicted"), model)
+    scored = score(docs.drop("score", "predicted"), learn(docs, labels))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
