@@ -310,7 +310,7 @@ def parse_code(spark, d):
 
 _STUDY = f"""study AS (SELECT CASE WHEN o_orderstatus = 'P' AND o_totalprice > 450000 THEN replace({code_sql('o_custkey')}, '0', 'O')
   ELSE {code_sql('o_custkey')} END AS subject_code,
-  CASE WHEN o_totalprice < 20000 THEN 'METRC' WHEN o_custkey % 4 = 0 THEN 'RP' ELSE 'RPREL' END AS study_code FROM orders)"""
+  CASE WHEN o_totalprice < 20000 THEN 'GUEST' WHEN o_custkey % 4 = 0 THEN 'MAIN' ELSE 'MAIN-REL' END AS study_code FROM orders)"""
 
 
 def study_codes(spark, d):
@@ -318,12 +318,12 @@ def study_codes(spark, d):
     miskeyed = (C("o_orderstatus") == "P") & (C("o_totalprice") > 450000)
     return table(spark, d, "orders").select(
         F.when(miskeyed, F.replace(code, F.lit("0"), F.lit("O"))).otherwise(code).alias("subject_code"),
-        F.when(C("o_totalprice") < 20000, "METRC").when(F.pmod("o_custkey", F.lit(4)) == 0, "RP").otherwise("RPREL").alias("study_code"),
+        F.when(C("o_totalprice") < 20000, "GUEST").when(F.pmod("o_custkey", F.lit(4)) == 0, "MAIN").otherwise("MAIN-REL").alias("study_code"),
     )
 
 
 @query(
-    f"""WITH {_STUDY} SELECT regexp_matches(subject_code, '^[A-Za-z]{{3}}[0-9]{{5}}[A-Za-z]|^FB301[0-9]{{3}}[A-Za-z]') AS well_formed,
+    f"""WITH {_STUDY} SELECT regexp_matches(subject_code, '^[A-Za-z]{{3}}[0-9]{{5}}[A-Za-z]') AS well_formed,
     study_code, count(*) AS n FROM study GROUP BY ALL"""
 )
 def code_pattern_check(spark, d):

@@ -217,8 +217,8 @@ def cohort_report(spark, d):
       FROM specimens WHERE subject_code LIKE '%PT%' AND subject_code NOT IN (SELECT subject_code FROM logged)) WHERE i = 1
     UNION ALL SELECT 'duplicate_update', subject_code, update_date::VARCHAR FROM updates WHERE subject_code IN (SELECT subject_code FROM updates GROUP BY 1 HAVING count(*) > 1)
     UNION ALL SELECT 'no_date', subject_code, specimen_id::VARCHAR FROM by_specimen WHERE spec_date IS NULL AND recd_date IS NULL AND collect_date IS NULL
-    UNION ALL SELECT 'code_in_foreign_study', subject_code, study_code FROM study WHERE regexp_matches(subject_code, '^[A-Za-z]{{3}}[0-9]{{5}}[A-Za-z]|^FB301[0-9]{{3}}[A-Za-z]') AND study_code NOT IN ('RP', 'RPREL')
-    UNION ALL SELECT 'odd_code_in_study', subject_code, study_code FROM study WHERE NOT regexp_matches(subject_code, '^[A-Za-z]{{3}}[0-9]{{5}}[A-Za-z]|^FB301[0-9]{{3}}[A-Za-z]') AND study_code IN ('RP', 'RPREL')
+    UNION ALL SELECT 'code_in_foreign_study', subject_code, study_code FROM study WHERE regexp_matches(subject_code, '^[A-Za-z]{{3}}[0-9]{{5}}[A-Za-z]') AND study_code NOT IN ('MAIN', 'MAIN-REL')
+    UNION ALL SELECT 'odd_code_in_study', subject_code, study_code FROM study WHERE NOT regexp_matches(subject_code, '^[A-Za-z]{{3}}[0-9]{{5}}[A-Za-z]') AND study_code IN ('MAIN', 'MAIN-REL')
     UNION ALL SELECT 'parent_sex', subject_code, subj_sex FROM specimens WHERE (substr(subject_code, 9, 2) = 'FA' AND subj_sex = 'F') OR (substr(subject_code, 9, 2) = 'MO' AND subj_sex = 'M')
     UNION ALL SELECT 'born_after_collection', subject_code, coalesce(dob, subj_dob)::VARCHAR FROM by_specimen WHERE coalesce(dob, subj_dob) > collect_date
     UNION ALL SELECT 'received_before_collected', subject_code, date_diff('day', collect_date, recd_date)::VARCHAR FROM by_specimen WHERE recd_date < collect_date
@@ -237,7 +237,7 @@ def integrity_report(spark, d):
     view = written(cohort.specimen_view(log, specimens(spark, d)), "specimen-view")
     dated = view.withColumn("dob", F.coalesce("dob", "subj_dob"))
     return integrity.integrity_report(
-        specimens(spark, d), view, dated, logged, log, clinical_updates(spark, d), study_codes(spark, d), ("RP", "RPREL"), "MACHINERY"
+        specimens(spark, d), view, dated, logged, log, clinical_updates(spark, d), study_codes(spark, d), ("MAIN", "MAIN-REL"), "MACHINERY"
     )
 
 

@@ -21,7 +21,7 @@ from kinsieve.catalog.standins import (
 from kinsieve.functions import codes
 from kinsieve.functions.numbers import round_even, uniform, within
 from kinsieve.operators import ordered, sampling, summaries
-from kinsieve.operators.joins import first_per_key, with_average_rank
+from kinsieve.operators.joins import first_per_key, salted_join, with_average_rank
 from kinsieve.operators.ordered import asc, desc
 
 C = F.col
@@ -94,9 +94,13 @@ def zscore_clamp(spark, d):
 )
 def duplicated_rows(spark, d):
     rows = specimens(spark, d).select("specimen_id", "stock_id")
-    numbered = ordered.with_index(rows, [asc("specimen_id")], ["stock_id"], "i", "n")
-    return numbered.filter(C("n") > 1).select(
-        "specimen_id", "stock_id", (C("i") > 1).alias("repeats_earlier"), (C("i") < C("n")).alias("repeated_later")
+    repeated = rows.groupBy("stock_id").agg(F.min("specimen_id").alias("first"), F.max("specimen_id").alias("last"), F.count("*").alias("n"))
+    marked = salted_join(rows, repeated.filter("n > 1"), ["stock_id"], null_safe=True)
+    return marked.select(
+        "specimen_id",
+        "stock_id",
+        (C("specimen_id") > C("first")).alias("repeats_earlier"),
+        (C("specimen_id") < C("last")).alias("repeated_later"),
     )
 
 

@@ -49,18 +49,17 @@ def scan_whitespace(spark, d):
     supplier = table(spark, d, "supplier")
     score = F.when(C("s_acctbal") >= 0, C("s_acctbal").cast("string")).otherwise("NA")
     line = F.concat(F.lit("  "), C("s_suppkey").cast("string"), F.lit("\t"), C("s_nationkey").cast("string"), F.lit("   "), score)
-    header = supplier.agg(F.lit("snp_id chr score").alias("value"))
-    writers.write_lines(header.unionByName(supplier.select(line.alias("value"))), path)
+    writers.write_lines(supplier.select(line.alias("value")), path, header="snp_id chr score")
     return readers.read_whitespace(spark, path, {"snp_id": "bigint", "chr": "int", "score": "double"})
 
 
 @query(
     """SELECT o_orderkey AS specimen_id, o_custkey AS subject_key, o_orderpriority AS tissue FROM orders
-    WHERE o_orderstatus = 'P' AND o_orderkey <> 4053 AND o_orderkey <> 4038"""
+    WHERE o_orderstatus = 'P' AND o_orderkey <> 1001 AND o_orderkey <> 1002"""
 )
 def scan_filtered(spark, d):
     orders = table(spark, d, "orders")
-    return orders.filter((C("o_orderstatus") == "P") & (C("o_orderkey") != 4053) & (C("o_orderkey") != 4038)).select(
+    return orders.filter((C("o_orderstatus") == "P") & (C("o_orderkey") != 1001) & (C("o_orderkey") != 1002)).select(
         C("o_orderkey").alias("specimen_id"), C("o_custkey").alias("subject_key"), C("o_orderpriority").alias("tissue")
     )
 

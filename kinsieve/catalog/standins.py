@@ -7,8 +7,6 @@ arithmetic on the cents of an amount, the same way in both dialects.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kinsieve.functions import codes
@@ -25,9 +23,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def subject_code(key: Column) -> Column:
-    family = F.floor(key / 4).cast("long")
-    letters = [F.char(F.lit(65) + F.pmod(F.floor(family / step), F.lit(26))) for step in (1, 26, 676)]
-    digits = F.lpad(F.pmod(family, F.lit(100000)).cast("string"), 5, "0")
+    """Unique for the first 1.7 billion families, all that three letters and five digits can tell apart."""
+    over = lambda x, by: F.call_function("div", x, F.lit(by))
+    family = over(key.cast("long"), 4)
+    number = F.pmod(family, F.lit(100000))
+    prefix = F.pmod(number + over(family, 100000), F.lit(17576))
+    letters = [F.char(F.lit(65) + F.pmod(over(prefix, step), F.lit(26))) for step in (1, 26, 676)]
+    digits = F.lpad(number.cast("string"), 5, "0")
     birth = F.concat(
         F.lit("S"),
         (F.lit(1990) + F.pmod(family, F.lit(20))).cast("string"),
@@ -42,8 +44,9 @@ def subject_code(key: Column) -> Column:
 
 def code_sql(key: str) -> str:
     fam = f"({key} // 4)"
+    prefix = f"(({fam} % 100000 + {fam} // 100000) % 17576)"
     return (
-        f"(chr((65 + {fam} % 26)::INT) || chr((65 + ({fam} // 26) % 26)::INT) || chr((65 + ({fam} // 676) % 26)::INT)"
+        f"(chr((65 + {prefix} % 26)::INT) || chr((65 + ({prefix} // 26) % 26)::INT) || chr((65 + ({prefix} // 676) % 26)::INT)"
         f" || lpad(({fam} % 100000)::VARCHAR, 5, '0') || CASE {key} % 4 WHEN 0 THEN 'PT' WHEN 1 THEN 'FA'"
         f" WHEN 2 THEN 'MO' ELSE CASE WHEN {fam} % 3 = 0 THEN 'S' || (1990 + {fam} % 20)::VARCHAR"
         f" || lpad(({fam} % 12 + 1)::VARCHAR, 2, '0') ELSE 'S1' END END)"
@@ -65,7 +68,6 @@ def days_after(start: str, days: Column) -> Column:
 # -- patient log: one row per patient ------------------------------------------------------------
 
 
-@lru_cache(maxsize=16)
 def patient_log(spark: SparkSession, folder: str) -> DataFrame:
     c = F.col("cents")
     coded = table(spark, folder, "customer").select(
@@ -129,7 +131,6 @@ patient_log AS (SELECT subject_code, c_mktsegment AS site_code,
 # -- clinical updates: one row per event ---------------------------------------------------------
 
 
-@lru_cache(maxsize=16)
 def clinical_updates(spark: SparkSession, folder: str) -> DataFrame:
     c = cents(F.col("value"))
     kind = F.col("event_type")
@@ -158,7 +159,6 @@ UPDATES_CTE = f"""updates AS (SELECT {code_sql('(user_id * 4)')} AS subject_code
 # -- specimens: one row per order ----------------------------------------------------------------
 
 
-@lru_cache(maxsize=16)
 def specimens(spark: SparkSession, folder: str) -> DataFrame:
     c = cents(F.col("o_totalprice"))
     m = lambda k: F.pmod(c, F.lit(k))
@@ -207,7 +207,6 @@ by_specimen AS (SELECT s.*, l.sex, l.race, l.ethnicity, l.dob, l.spec_date,
 # -- stocks: measurements per specimen -----------------------------------------------------------
 
 
-@lru_cache(maxsize=16)
 def stocks(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order with line items. A few aggregates per order, combined before the shuffle."""
     lines = table(spark, folder, "lineitem")

@@ -9,7 +9,7 @@ PATIENT = "PT"
 PARENTS = ("FA", "MO")
 GRANDPARENTS = ("MGM", "MGF")
 SIBLING = "SI"
-CODE_PATTERN = "^[A-Za-z]{3}[0-9]{5}[A-Za-z]|^FB301[0-9]{3}[A-Za-z]"
+CODE_PATTERN = "^[A-Za-z]{3}[0-9]{5}[A-Za-z]"
 FAMILY_LENGTH = 8
 PLATE_ROWS = 8
 PLATE_WELLS = 96
@@ -20,7 +20,7 @@ def family_of(code: Column) -> Column:
 
 
 def suffix_of(code: Column) -> Column:
-    return F.substring(code, FAMILY_LENGTH + 1, 1_000)
+    return F.substr(code, F.lit(FAMILY_LENGTH + 1))
 
 
 def relationship_of(code: Column) -> Column:
@@ -33,8 +33,9 @@ def patient_code(family: Column) -> Column:
     return F.concat(family, F.lit(PATIENT))
 
 
-def is_well_formed(code: Column) -> Column:
-    return code.rlike(CODE_PATTERN)
+def is_well_formed(code: Column, also: str | None = None) -> Column:
+    """Whether a code has the usual shape, or that of the pattern `also` (a site with a numbering of its own)."""
+    return code.rlike(f"{CODE_PATTERN}|{also}" if also else CODE_PATTERN)
 
 
 def sibling_birth_date(code: Column) -> Column:

@@ -29,7 +29,7 @@ def uniform(seed: int, *key: Column) -> Column:
 
     A keyed hash rather than `rand()`, so a recomputed task draws the same numbers.
     """
-    text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key])
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("\x00")) for k in key])
     bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double")
     return (bits + 0.5) / float(2**52)
 

@@ -6,53 +6,26 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinsieve.operators.ordered import Order, average_ranks, frequent_values, order_struct
-
-HOT_SHARE = 0.02
-SALTS = 32
-BROADCAST_ROWS = 100_000
+from kinsieve.operators.ordered import Order, average_ranks, order_struct
 
 _SALT = "__salt"
 
 
-def broadcast_if_short(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a frame for broadcast once its row count is known to be small; otherwise leave it alone."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def broadcast_lookup(df: DataFrame, lookup: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join to a lookup whose row count the caller has checked; missing keys match missing keys."""
-    keys = {c: f"__r{i}" for i, c in enumerate(on)}
-    same = [F.col(c).eqNullSafe(F.col(r)) for c, r in keys.items()]
-    return df.join(F.broadcast(lookup.withColumnsRenamed(keys)), same, "left").drop(*keys.values())
-
-
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
-    """Values of `key` that may hold at least `share` of the rows.
-
-    One pass with bounded memory (at most a few times 1/share values come back). It never misses a
-    frequent value; a value listed without being frequent only costs a little replication.
-    """
-    found = df.select(F.col(key).alias("k")).stat.freqItems(["k"], share).collect()[0][0]
-    return [v for v in found if v is not None]
-
-
 def salted_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    hot: list | None = None,
-    salts: int = SALTS,
+    hot: Sequence | None = None,
     null_safe: bool = False,
 ) -> DataFrame:
-    """Equi-join on same-named columns; rows of `left` with a hot first key are spread over salts.
+    """Equi-join on same-named columns.
 
-    The matching rows of `right`, and only those, are repeated once per salt, so the result is the same
-    as that of the plain join. Left rows with a missing key are spread too: they match nothing, yet a
-    plain hash join would send all of them to one task. `null_safe` makes a missing key equal to a missing
-    key. `hot=None` looks the hot keys up; pass a list
-    to skip that pass. The salt is a hash of the row, so recomputed tasks send rows the same way.
+    Whether a side is broadcast is left to its measured size, and partitions that turn out to be skewed, those
+    of a missing key among them, are split at run time. Where heavy values of the first key are known
+    beforehand, `hot` spreads their rows of `left` over as many salts as there are shuffle partitions and
+    repeats the matching rows of `right`, and only those. Salts follow from the row's place in its partition,
+    so equal rows are spread as well. `null_safe` makes a missing key equal to a missing key.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError("swap the sides: only inner, left, left_semi and left_anti are salted")
@@ -60,30 +33,27 @@ def salted_join(
     if how in ("left_semi", "left_anti"):
         # repeats on the right change nothing, yet a key that repeats there would fill one task
         right = right.select(*on).distinct()
-    if hot is None:
-        hot = hot_keys(left, on[0])
-    if not hot and not null_safe and how in ("inner", "left_semi"):
-        return left.join(right, on, how)
-    first = F.col(on[0])
-    listed = first.isin(*hot) if hot else F.lit(False)
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
-    salted_left = left.withColumn(_SALT, F.when(first.isNull() | listed, spread).otherwise(F.lit(0)))
-    copied = (first.isNull() | listed) if null_safe else listed
-    copies = F.when(copied, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.withColumn(_SALT, F.explode(copies)) if hot or null_safe else right.withColumn(_SALT, F.lit(0))
+    keys = on
+    if hot:
+        salts = max(2, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        listed = F.col(on[0]).isin(*hot)
+        place = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+        left = left.withColumn(_SALT, F.when(listed, place).otherwise(F.lit(0)))
+        copies = F.when(listed, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        right = right.withColumn(_SALT, F.explode(copies))
+        keys = [*on, _SALT]
     if not null_safe:
-        return salted_left.join(salted_right, [*on, _SALT], how).drop(_SALT)
-    keys = {c: f"__r{i}" for i, c in enumerate([*on, _SALT])}
-    same = [F.col(c).eqNullSafe(F.col(r)) for c, r in keys.items()]
-    joined = salted_left.join(salted_right.withColumnsRenamed(keys), same, how)
-    return joined.drop(_SALT, *keys.values())
+        return left.join(right, keys, how).drop(_SALT)
+    names = {c: f"__r{i}" for i, c in enumerate(keys)}
+    same = [F.col(c).eqNullSafe(F.col(r)) for c, r in names.items()]
+    return left.join(right.withColumnsRenamed(names), same, how).drop(_SALT, *names.values())
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[Order | str]) -> DataFrame:
     """First row of each key in the given order; state the order down to a unique column.
 
     An aggregate, not a window: each task keeps one row per key before the shuffle, so a key with very
-    many rows costs nothing extra.
+    many rows does not fill one task. Rows are sorted by key before that, as whole rows are aggregated.
     """
     rest = [c for c in df.columns if c not in keys]
     row = F.min_by(F.struct(*rest), order_struct(df, order_by)).alias("__row")
@@ -173,13 +143,8 @@ def with_average_rank(
         source = df.withColumn("__present", F.isnull(column).cast("int"))
     elif missing != "keep":
         raise ValueError("missing must be 'keep' or 'last'")
-    ranks, counts, distinct_values = average_ranks(source, column, name, descending, partition_by, rows_per_bucket)
-    keys = [column, *partition_by]
-    if distinct_values <= BROADCAST_ROWS:
-        joined = broadcast_lookup(df, ranks, keys)
-    else:
-        hot = frequent_values(counts, column, HOT_SHARE)
-        joined = salted_join(df, ranks, keys, "left", hot, null_safe=bool(partition_by))
+    ranks = average_ranks(source, column, name, descending, partition_by, rows_per_bucket)
+    joined = salted_join(df, ranks, [column, *partition_by], "left", null_safe=bool(partition_by))
     if missing == "last":
         sizes = source.groupBy(*partition_by).agg(
             F.count(column).alias("__known"), F.sum("__present").alias("__unknown")

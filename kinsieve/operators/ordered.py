@@ -1,10 +1,9 @@
 """Ordered analytics without a single-partition window and without a hot partition.
 
-A frame is cut into buckets of neighbouring rows in (group, order) order. The cut points are a small
-sample of real row keys, so they balance the buckets even when one group holds a large share of all
-rows; any cut points give the right answer. Inside a bucket a normal window does the work. A group that
-runs over a cut receives what lies before (or behind) it from a carry table that has at most two rows per
-bucket, which is why broadcasting it is safe.
+A frame is range-partitioned into buckets of neighbouring rows in (group, order) order and written once, so
+that every later step sees the same buckets. A group that holds a large share of all rows is cut into several
+buckets. Inside a bucket a normal window does the work. A group that runs over a border receives what lies
+before (or behind) it from a carry table that has at most two rows per bucket.
 
 The order must be complete (end it with a unique row key): equal keys always share a bucket.
 """
@@ -12,20 +11,20 @@ The order must be complete (end it with a unique row key): equal keys always sha
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from kinsieve.session import written
+from kinsieve.session import written, written_and_counted
 
 ROWS_PER_BUCKET = 100_000
-PERCENTILE_VALUES = 1_000_000
-MAX_BUCKETS = 8_192
-SAMPLES_PER_BUCKET = 16
+# as many tasks as a large cluster keeps busy; with more rows buckets hold more of them, and windows spill
+TASKS = 20_000
+# carry tables have at most two rows per bucket; up to here that is known to be small enough to broadcast
+BROADCAST_BUCKETS = 100_000
 
 _BUCKET = "__bucket"
-_KEY = "__key"
 
 
 @dataclass(frozen=True)
@@ -91,7 +90,7 @@ def _reversed(c: Column, kind: T.DataType) -> Column:
 
 
 class OrderedFrame:
-    """A frame cut along (group, order); every method adds a column to `frame`."""
+    """A frame cut along (group, order); every method adds columns to `frame`."""
 
     def __init__(
         self,
@@ -99,82 +98,45 @@ class OrderedFrame:
         order_by: Sequence[Order | str],
         partition_by: Sequence[str] = (),
         rows_per_bucket: int | None = None,
+        rows: int | None = None,
     ):
-        self.spark = df.sparkSession
-        self.source_columns = df.columns
         self.groups = list(partition_by)
         self.orders = as_orders(order_by)
-        self.rows = rows = df.count()
-        size = rows_per_bucket or ROWS_PER_BUCKET
-        self.buckets = min(MAX_BUCKETS, math.ceil(rows / size)) if rows else 1
-        self.cuts: DataFrame | None = None
-        # group columns lead, so a bucket holds whole groups apart from the ones at its two ends
-        key = order_struct(df, [asc(g) for g in self.groups] + self.orders)
+        self.rows = rows = df.count() if rows is None else rows
+        size = rows_per_bucket or max(ROWS_PER_BUCKET, rows // TASKS)
+        self.buckets = max(1, math.ceil(rows / size))
         if self.buckets > 1:
-            df = self._cut(df, key, rows)
+            # group columns lead, so a bucket holds whole groups apart from the ones at its two ends
+            along = [asc(g).expression() for g in self.groups] + [o.expression() for o in self.orders]
+            ranges = df.repartitionByRange(self.buckets, *along).withColumn(_BUCKET, F.spark_partition_id())
+            df = written(ranges, "ranges")
         else:
             df = df.withColumn(_BUCKET, F.lit(0))
-        self.frame = df
-
-    def _cut(self, df: DataFrame, key: Column, rows: int) -> DataFrame:
-        fraction = min(1.0, self.buckets * SAMPLES_PER_BUCKET / rows)
-        keys = df.select(key.alias(_KEY), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(self.groups)])
-        sample = keys.sample(False, fraction, 17).orderBy(_KEY).collect()
-        step = max(1, len(sample) // self.buckets)
-        picked = sample[step::step][: self.buckets - 1]
-        if not picked:
-            self.buckets = 1
-            return df.withColumn(_BUCKET, F.lit(0))
-        self.buckets = len(picked) + 1
-        cuts = self.spark.createDataFrame(picked, keys.schema)
-        self.cuts = cuts
-        fields = keys.schema[_KEY].dataType.fields
-        cut_keys = F.array(
-            *[
-                F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row[_KEY], fields)])
-                for row in picked
-            ]
-        )
-        return df.withColumn(_BUCKET, self._search(key, cut_keys))
-
-    def _search(self, key: Column, cuts: Column) -> Column:
-        """Number of cuts at or below the key, by bisection. The key and the cuts ride along in the
-        state by reference, so neither is built again at each step."""
-        steps = F.sequence(F.lit(1), F.lit(max(1, math.ceil(math.log2(self.buckets + 1)))))
-        start = F.struct(
-            F.lit(0).alias("low"), F.lit(self.buckets - 1).alias("high"), key.alias("key"), cuts.alias("cuts")
-        )
-
-        def state_with(low: Column, high: Column, state: Column) -> Column:
-            return F.struct(
-                low.alias("low"), high.alias("high"), state["key"].alias("key"), state["cuts"].alias("cuts")
-            )
-
-        def halve(state: Column, _: Column) -> Column:
-            low, high = state["low"], state["high"]
-            middle = F.shiftright(low + high, 1)
-            return (
-                F.when(low >= high, state)
-                .when(F.get(state["cuts"], middle) <= state["key"], state_with(middle + 1, high, state))
-                .otherwise(state_with(low, middle, state))
-            )
-
-        return F.aggregate(steps, start, halve, lambda state: state["low"])
+        self.base = self.frame = df
 
     def _local(self) -> Window:
         return Window.partitionBy(_BUCKET, *self.groups)
 
-    def _ordered(self) -> Window:
-        return self._local().orderBy(*[o.expression() for o in self.orders])
+    def _ordered(self, backward: bool = False) -> Window:
+        orders = [o.reversed() if backward else o for o in self.orders]
+        window = self._local().orderBy(*[o.expression() for o in orders])
+        return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    def _pieces(self) -> DataFrame:
-        """The rows of groups that run over a cut (every row when there are no groups)."""
+    def _pieces(self, df: DataFrame) -> DataFrame:
+        """The rows of groups that run over a border (every row when there are no groups)."""
         if not self.groups:
-            return self.frame
-        # a group over a cut is the group of a cut key, because cut keys are rows of the frame
-        split = F.broadcast(self.cuts.select([f"__g{i}" for i in range(len(self.groups))]).distinct())
-        same = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(self.groups)]
-        return self.frame.join(split, same, "left_semi")
+            return df
+        # such a group is the last of one bucket and the first of another
+        whole = F.struct(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(self.groups)])
+        ends = self.base.groupBy(_BUCKET).agg(F.array(F.min(whole), F.max(whole)).alias("__ends"))
+        names = [f"__g{i}" for i in range(len(self.groups))]
+        ends = ends.select(_BUCKET, F.inline("__ends"))
+        split = ends.groupBy(*names).agg((F.min(_BUCKET) < F.max(_BUCKET)).alias("__over")).filter("__over").select(*names)
+        same = [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(self.groups, names)]
+        return df.join(self._small(split), same, "left_semi")
+
+    def _small(self, df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if self.buckets <= BROADCAST_BUCKETS else df
 
     def _attach(self, carry: DataFrame, names: list[str]) -> DataFrame:
         renamed = carry.select(
@@ -182,7 +144,7 @@ class OrderedFrame:
         )
         same = [F.col(_BUCKET) == F.col("__b")]
         same += [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(self.groups)]
-        joined = self.frame.join(F.broadcast(renamed), same, "left")
+        joined = self.frame.join(self._small(renamed), same, "left")
         return joined.drop("__b", *[f"__g{i}" for i in range(len(self.groups))])
 
     def _across(self) -> Window:
@@ -191,55 +153,55 @@ class OrderedFrame:
 
     def running_sum(self, value: Column, name: str, total: str | None = None) -> "OrderedFrame":
         """Sum of `value` from the start of the group to this row; `total` adds the sum of the group."""
-        frame_rows = self._ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         self.frame = self.frame.withColumn("__value", value)
-        source = self.frame
-        extra = [F.sum("__value").over(self._local()).alias("__local_total")] if total else []
-        if self.buckets == 1:
-            self.frame = source.select("*", F.sum("__value").over(frame_rows).alias(name), *extra)
-            if total:
-                self.frame = self.frame.withColumnRenamed("__local_total", total)
-        else:
-            sums = self._pieces().groupBy(_BUCKET, *self.groups).agg(F.sum("__value").alias("__piece"))
-            before = self._across().orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-            carry = sums.select(
+        sums = [F.sum("__value").over(self._ordered()).alias("__sum")]
+        if total:
+            sums.append(F.sum("__value").over(self._local()).alias("__all"))
+        self.frame = self.frame.select("*", *sums)
+        before, whole = F.lit(0), F.col("__all") if total else None
+        if self.buckets > 1:
+            pieces = self._pieces(self.base.withColumn("__value", value))
+            pieces = pieces.groupBy(_BUCKET, *self.groups).agg(F.sum("__value").alias("__piece"))
+            earlier = self._across().orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+            carry = pieces.select(
                 _BUCKET,
                 *self.groups,
-                F.sum("__piece").over(before).alias("__before"),
+                F.sum("__piece").over(earlier).alias("__before"),
                 F.sum("__piece").over(self._across()).alias("__whole"),
             )
-            self.frame = source.select("*", F.sum("__value").over(frame_rows).alias("__local"), *extra)
             self.frame = self._attach(carry, ["__before", "__whole"])
-            zero = F.lit(0)
-            self.frame = self.frame.withColumn(name, F.col("__local") + F.coalesce("__before", zero))
-            if total:
-                self.frame = self.frame.withColumn(total, F.coalesce("__whole", "__local_total"))
-            self.frame = self.frame.drop("__local", "__before", "__whole", "__local_total")
-        self.frame = self.frame.drop("__value")
+            before, whole = F.coalesce("__before", F.lit(0)), F.coalesce("__whole", "__all") if total else None
+        added = {name: F.col("__sum") + before} | ({total: whole} if total else {})
+        self.frame = self.frame.withColumns(added).drop("__value", "__sum", "__all", "__before", "__whole")
         return self
 
     def index(self, name: str, total: str | None = None) -> "OrderedFrame":
         """1-based row number within the group; `total` adds the number of rows of the group."""
         return self.running_sum(F.lit(1).cast("long"), name, total)
 
-    def filled(self, column: str, name: str, backward: bool = False) -> "OrderedFrame":
-        """Last known value at or before this row (or next known value at or after it)."""
-        # backward is forward in the opposite order: a frame that ends at the partition's end would be
-        # evaluated anew for every row
-        window = self._local().orderBy(*[o.reversed().expression() for o in self.orders]) if backward else self._ordered()
-        local = F.last(column, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    def filled(self, fills: Mapping[str, tuple[str, bool]]) -> "OrderedFrame":
+        """Last known value at or before each row, or next known one at or after it: {name: (column, backward)}.
+
+        All columns share one carry table and one window per direction. Backward is forward in the opposite
+        order: a frame that ends at the partition's end would be evaluated anew for every row.
+        """
+        last = lambda c, window: F.last(c, ignorenulls=True).over(window)
+        names = {name: f"__k{i}" for i, name in enumerate(fills)}
+        self.frame = self.frame.select("*", *[last(c, self._ordered(back)).alias(n) for n, (c, back) in fills.items()])
         if self.buckets == 1:
-            self.frame = self.frame.withColumn(name, local)
             return self
-        key = F.when(F.col(column).isNotNull(), order_struct(self.frame, self.orders))
-        edge = F.min_by(column, key) if backward else F.max_by(column, key)
-        edges = self._pieces().groupBy(_BUCKET, *self.groups).agg(edge.alias("__edge"))
-        across = self._across().orderBy(F.col(_BUCKET).desc() if backward else F.col(_BUCKET))
-        known = F.last("__edge", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
-        carry = edges.select(_BUCKET, *self.groups, known.alias("__known"))
-        self.frame = self.frame.withColumn("__local", local)
-        self.frame = self._attach(carry, ["__known"])
-        self.frame = self.frame.withColumn(name, F.coalesce("__local", "__known")).drop("__local", "__known")
+        order = order_struct(self.base, self.orders)
+        edges = []
+        for name, (column, back) in fills.items():
+            known = F.when(F.col(column).isNotNull(), order)
+            edges.append((F.min_by if back else F.max_by)(column, known).alias(names[name]))
+        edges = self._pieces(self.base).groupBy(_BUCKET, *self.groups).agg(*edges)
+        carried = []
+        for name, (_, back) in fills.items():
+            across = self._across().orderBy(F.col(_BUCKET).desc() if back else F.col(_BUCKET))
+            carried.append(last(names[name], across.rowsBetween(Window.unboundedPreceding, -1)).alias(names[name]))
+        self.frame = self._attach(edges.select(_BUCKET, *self.groups, *carried), list(names.values()))
+        self.frame = self.frame.withColumns({n: F.coalesce(n, k) for n, k in names.items()}).drop(*names.values())
         return self
 
     def result(self) -> DataFrame:
@@ -261,17 +223,13 @@ def with_running_sum(
 
 def fill_missing(df, columns, order_by, partition_by=(), both_ways=False, rows_per_bucket=None) -> DataFrame:
     """Carry the last known value forward; `both_ways` then fills leading gaps from the next known one."""
-    ordered = OrderedFrame(df, order_by, partition_by, rows_per_bucket)
-    for i, column in enumerate(columns):
-        ordered.filled(column, f"__fwd{i}")
-        if both_ways:
-            ordered.filled(column, f"__bwd{i}", backward=True)
-    out = ordered.result()
-    filled = {}
-    for i, column in enumerate(columns):
-        filled[column] = F.coalesce(f"__fwd{i}", f"__bwd{i}") if both_ways else F.col(f"__fwd{i}")
-    helpers = [f"__{way}{i}" for i in range(len(columns)) for way in ("fwd", "bwd")]
-    return out.withColumns(filled).drop(*helpers)
+    fills = {f"__fwd{i}": (c, False) for i, c in enumerate(columns)}
+    if both_ways:
+        fills |= {f"__bwd{i}": (c, True) for i, c in enumerate(columns)}
+    out = OrderedFrame(df, order_by, partition_by, rows_per_bucket).filled(fills).result()
+    ways = ("fwd", "bwd") if both_ways else ("fwd",)
+    filled = {c: F.coalesce(*[f"__{way}{i}" for way in ways]) for i, c in enumerate(columns)}
+    return out.withColumns(filled).drop(*fills)
 
 
 def every_kth(df, k: int, order_by, first_share: float = 1.0, rows_per_bucket=None) -> DataFrame:
@@ -281,20 +239,14 @@ def every_kth(df, k: int, order_by, first_share: float = 1.0, rows_per_bucket=No
     return out.filter(wanted).drop("__i", "__n")
 
 
-def value_counts(df: DataFrame, column: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Distinct non-missing values with their counts: pre-aggregates ties before anything is ordered.
+def value_counts(df: DataFrame, column: str, partition_by: Sequence[str] = ()) -> tuple[DataFrame, int]:
+    """Distinct non-missing values with their counts (pre-aggregates ties before anything is ordered), and
+    how many there are.
 
-    The counts are read several times (size, cuts, carry, result), so they are written once and what lies
-    behind `df` is computed once.
+    The counts are read several times, so they are written once; what lies behind `df` is computed once.
     """
     known = df.filter(F.col(column).isNotNull())
-    return written(known.groupBy(*partition_by, column).agg(F.count("*").alias("__n")), "value-counts")
-
-
-def frequent_values(counts: DataFrame, column: str, share: float) -> list:
-    """Values that hold at least `share` of all counted rows: at most 1/share of them."""
-    total = counts.agg(F.sum("__n")).scalar()
-    return [r[0] for r in counts.groupBy(column).agg(F.sum("__n").alias("n")).filter(F.col("n") >= total * share).collect()]
+    return written_and_counted(known.groupBy(*partition_by, column).agg(F.count("*").alias("__n")), "value-counts")
 
 
 def average_ranks(
@@ -304,14 +256,13 @@ def average_ranks(
     descending: bool = False,
     partition_by: Sequence[str] = (),
     rows_per_bucket: int | None = None,
-) -> tuple[DataFrame, DataFrame, int]:
-    """Distinct values with the average rank their rows share; the counts behind them; how many there are."""
-    order = [Order(column, descending)]
-    counts = value_counts(df, column, partition_by)
-    ordered = OrderedFrame(counts, order, partition_by, rows_per_bucket)
+) -> DataFrame:
+    """Distinct values with the average rank their rows share."""
+    counts, size = value_counts(df, column, partition_by)
+    ordered = OrderedFrame(counts, [Order(column, descending)], partition_by, rows_per_bucket, size)
     ranked = ordered.running_sum(F.col("__n"), "__upto").result()
     rank = F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / F.lit(2.0)
-    return ranked.select(*partition_by, column, rank.alias(name)), counts, ordered.rows
+    return ranked.select(*partition_by, column, rank.alias(name))
 
 
 def exact_quantiles(
@@ -324,18 +275,11 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact quantiles (linear interpolation) per group, one row per group with any value.
 
-    The built-in exact percentile holds all distinct values of a group in one hash map. It is used where
-    the number of distinct values, counted first, is small. Beyond that the counts are prefix-summed in
-    buckets and the two neighbours of each target position picked by a partial aggregate, so no group has
-    to fit in a task.
+    Counts are prefix-summed in buckets and the two neighbours of each target position picked by a partial
+    aggregate, so no group has to fit in a task.
     """
-    counts = value_counts(df, column, partition_by)
-    if rows_per_bucket is None and counts.count() <= PERCENTILE_VALUES:
-        value = F.col(column).cast("double")
-        return counts.groupBy(*partition_by).agg(
-            *[F.percentile(value, float(p), F.col("__n")).alias(n) for p, n in zip(probs, names)]
-        )
-    ordered = OrderedFrame(counts, [asc(column)], partition_by, rows_per_bucket)
+    counts, size = value_counts(df, column, partition_by)
+    ordered = OrderedFrame(counts, [asc(column)], partition_by, rows_per_bucket, size)
     cumulated = ordered.running_sum(F.col("__n"), "__upto", "__total").result()
     picks = [F.max("__total").alias("__total")]
     for i, p in enumerate(probs):
@@ -356,8 +300,8 @@ def step_distribution(
     df: DataFrame, column: str, partition_by: Sequence[str] = (), rows_per_bucket: int | None = None
 ) -> DataFrame:
     """Full empirical distribution: one row per distinct value with the share of rows at or below it."""
-    counts = value_counts(df, column, partition_by)
-    ordered = OrderedFrame(counts, [asc(column)], partition_by, rows_per_bucket)
+    counts, size = value_counts(df, column, partition_by)
+    ordered = OrderedFrame(counts, [asc(column)], partition_by, rows_per_bucket, size)
     cumulated = ordered.running_sum(F.col("__n"), "__upto", "__total").result()
     return cumulated.select(
         *partition_by, column, F.col("__n").alias("n"), (F.col("__upto") / F.col("__total")).alias("share")

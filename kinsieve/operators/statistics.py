@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kinsieve.functions.numbers import ratio
 from kinsieve.functions.tails import f_p_value, range_p_value, t_p_value
 
-MAX_LEVELS = 500
+# what the normal-equation solver of Spark's machine learning library takes
+SOLVER_COLUMNS = 4_096
 
 
 def simple_regression(df: DataFrame, y: Column, x: Column, p_values: bool = False) -> DataFrame:
@@ -48,15 +49,13 @@ def model_regression(
 
     A text column enters as one indicator per level but the first; an interaction as the products of
     both sides' columns. Rows with a missing value are left out. The normal-equation solver makes one
-    pass and gathers a matrix of the size of the model.
+    pass and gathers a matrix of the size of the model, which has at most SOLVER_COLUMNS columns.
     """
     known = df.select(y, *terms).dropna()
     parts: dict[str, dict[str, Column]] = {}
     for term in terms:
         if dict(known.dtypes)[term] == "string":
-            levels = sorted(r[0] for r in known.select(term).distinct().limit(MAX_LEVELS + 1).collect())
-            if len(levels) > MAX_LEVELS:
-                raise ValueError(f"{term} has more than {MAX_LEVELS} levels")
+            levels = sorted(r[0] for r in known.select(term).distinct().limit(SOLVER_COLUMNS + 2).collect())
             parts[term] = {f"{term}[{v}]": (F.col(term) == F.lit(v)).cast("double") for v in levels[1:]}
         else:
             parts[term] = {term: F.col(term).cast("double")}
@@ -64,6 +63,8 @@ def model_regression(
     for a, b in interactions:
         design.update({f"{na}:{nb}": ca * cb for na, ca in parts[a].items() for nb, cb in parts[b].items()})
     names = list(design)
+    if len(names) > SOLVER_COLUMNS:
+        raise ValueError(f"the model has more than the {SOLVER_COLUMNS} columns that the solver takes")
     numbered = known.select(
         F.col(y).cast("double").alias("__y"), *[c.alias(f"__x{i}") for i, c in enumerate(design.values())]
     )

@@ -11,6 +11,7 @@ from kinsieve.functions.numbers import ratio, round_even
 from kinsieve.functions.tails import t_quantile
 from kinsieve.operators.joins import salted_join
 from kinsieve.operators.ordered import exact_quantiles, with_running_sum
+from kinsieve.session import written
 
 
 def counts_by(df: DataFrame, *keys, name: str = "n") -> DataFrame:
@@ -139,6 +140,8 @@ def histogram_by_count(df: DataFrame, column: str, bins: int) -> DataFrame:
 def box_stats(df: DataFrame, column: str, keys: Sequence[str], rows_per_bucket: int | None = None) -> DataFrame:
     """Quartiles, whiskers (furthest values within 1.5 interquartile ranges) and outliers per group."""
     boxes = exact_quantiles(df, column, [0.25, 0.5, 0.75], ["q1", "median", "q3"], keys, rows_per_bucket)
+    # written, so that their size is known: a few groups are broadcast, and the rows stay where they are
+    boxes = written(boxes, "boxes")
     rows = salted_join(df.filter(F.col(column).isNotNull()).select(*keys, column), boxes, keys, "inner", null_safe=True)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col(column).between(F.col("q1") - reach, F.col("q3") + reach)

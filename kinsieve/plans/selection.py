@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from kinsieve.functions import codes
 from kinsieve.functions.numbers import ratio, signif
 from kinsieve.functions.recoding import recode
-from kinsieve.operators.joins import broadcast_if_short, salted_join, with_average_rank
+from kinsieve.operators.joins import salted_join, with_average_rank
 from kinsieve.operators.ordered import exact_quantiles
 from kinsieve.operators.reshape import string_agg, union_distinct, union_fill
 from kinsieve.operators.sampling import weighted_sample_n
@@ -169,8 +169,7 @@ def select_families(
     drawn = weighted_sample_n(family_holdings(specimens), n, F.col("value"), ["family"], seed).select("family")
     members = specimens.withColumn("family", codes.family_of(F.col("subject_code")))
     usable = members.filter(F.col("tissue").isin(*tissues))
-    # n families at most: the drawn list is small by construction
-    of_drawn = usable.join(F.broadcast(drawn), "family", "left_semi")
+    of_drawn = usable.join(drawn, "family", "left_semi")
     of_named = members.filter((F.col("tissue") != "LRNXP") & F.col("subject_code").isin(*named))
     both = of_drawn.unionByName(of_named).select("specimen_id", "subject_code", "family", "tissue").distinct()
     return salted_join(both, done.select("specimen_id"), ["specimen_id"], "left_anti", hot=[])
@@ -213,18 +212,18 @@ def select_trios(
     rows = written(salted_join(rows, complete, ["family"], "left_semi").filter(c("conc") >= least_conc), "trio-members")
     drawn = weighted_sample_n(family_scores(rows), n, c("log_score"), ["family"], seed, log_weight=True)
     return rows.select("family", "subject_code", "relationship", "stock_id", "specimen_id", "conc").join(
-        F.broadcast(drawn), "family"
+        drawn, "family"
     )
 
 
 def locate_samples(wanted: DataFrame, plating: DataFrame) -> DataFrame:
     """Plate and well of each wanted stock, NULL where it is on no plate.
 
-    The wells are cut down to the wanted stocks before the outer join, by broadcast when the list is
-    short, so the plating is not shuffled for a worklist.
+    The wells are cut down to the wanted stocks before the outer join; a short list is broadcast by its
+    measured size.
     """
     ids = wanted.select("stock_id").distinct()
-    found = plating.select("stock_id", "plate", "well").join(broadcast_if_short(ids), "stock_id", "left_semi")
+    found = plating.select("stock_id", "plate", "well").join(ids, "stock_id", "left_semi")
     return ids.join(found, "stock_id", "left")
 
 
@@ -235,8 +234,8 @@ def trio_worklist(chosen: DataFrame, people: DataFrame, measured: DataFrame, pla
     The chosen list is short, so it cuts down people and stocks before anything is joined.
     """
     ids = written(chosen.select("family", "subject_code", "relationship", "stock_id", "specimen_id"), "chosen")
-    persons = people.join(broadcast_if_short(ids.select("subject_code").distinct()), "subject_code", "left_semi")
-    stock = measured.join(broadcast_if_short(ids.select("specimen_id").distinct()), "specimen_id", "left_semi")
+    persons = people.join(ids.select("subject_code").distinct(), "subject_code", "left_semi")
+    stock = measured.join(ids.select("specimen_id").distinct(), "specimen_id", "left_semi")
     located = locate_samples(ids, plating)
     out = ids.join(persons.select("subject_code", "sex", "ethnicity", "race"), "subject_code", "left")
     out = out.join(stock.select("specimen_id", "conc", "volume", "abs_ratio", "yield_ug"), "specimen_id", "left")

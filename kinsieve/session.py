@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 # What a session needs for the plans in this package. AQE splits skewed join partitions and turns a
 # sort-merge join into a broadcast join only once the shuffled side has been measured.
@@ -34,9 +34,12 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by `spark.checkpoint.dir`; set here only where the session has none."""
+    """The folder named by `spark.checkpoint.dir`. Only a local master, where driver and executors are one
+    process, gets a temporary one instead; elsewhere executors would not see each other's files."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="kinsieve-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
@@ -54,3 +57,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     # the schema is known, so no job is spent on reading it from the files
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_and_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """`written`, and the number of rows as observed while writing."""
+    seen = Observation()
+    frame = written(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return frame, seen.get["rows"]

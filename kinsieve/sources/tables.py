@@ -9,15 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
-_SCHEMAS: dict[str, StructType] = {}
+# no line holds this, so a line is one field
+_WHOLE_LINE = "\x01\x02\x03"
 
 
 def read_parquet_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A Parquet table; its schema is read from the files once per process, not on every use."""
-    path = os.path.join(folder, f"{name}.parquet")
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
 def read_snapshot(spark: SparkSession, folder: str, names: Sequence[str] | None = None) -> dict[str, DataFrame]:
@@ -59,8 +56,8 @@ def read_before_trailer(
     """Delimited lines up to the first trailer marker of each file.
 
     `columns` maps names to (position, type); `is_trailer` is a condition on the column `value`. The
-    marker's position comes from one aggregate per file, so no row cap has to be known; that table has
-    one row per input file, a list the driver holds anyway, and is broadcast.
+    marker's position comes from one aggregate per file, so no row cap has to be known. Lines are cut first
+    and parsed as delimited text afterwards, so fields may be quoted and `sep` is taken literally.
     """
     lines = spark.read.text(path).select(
         "value",
@@ -70,18 +67,20 @@ def read_before_trailer(
     )
     position = F.struct(F.col("__block"), F.col("__at"))
     marks = lines.filter(is_trailer).groupBy("__file").agg(F.min(position).alias("__cut"))
-    kept = lines.join(F.broadcast(marks), "__file", "left").filter(F.col("__cut").isNull() | (position < F.col("__cut")))
-    fields = F.split("value", sep)
-    return kept.select(*[F.get(fields, F.lit(i)).try_cast(kind).alias(n) for n, (i, kind) in columns.items()])
+    kept = lines.join(marks, "__file", "left").filter(F.col("__cut").isNull() | (position < F.col("__cut")))
+    width = max(i for i, _ in columns.values()) + 1
+    fields = F.from_csv("value", ", ".join(f"f{i} string" for i in range(width)), {"sep": sep})
+    kept = kept.select(fields.alias("fields"))
+    return kept.select(*[F.col("fields")[f"f{i}"].try_cast(kind).alias(n) for n, (i, kind) in columns.items()])
 
 
 def read_whitespace(spark: SparkSession, path: str, columns: Mapping[str, str]) -> DataFrame:
-    """Whitespace-separated text with a header line; `columns` gives name and type of each field."""
-    names = list(columns)
+    """Whitespace-separated text; `columns` gives name and type of each field. The first line of each file is
+    its header and is left out, whatever it says."""
+    lines = spark.read.schema("value string").option("header", True).option("sep", _WHOLE_LINE).option("quote", "").csv(path)
     fields = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).filter(F.trim("value") != "").select(fields.alias("f"))
-    typed = [F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)]
-    rows = rows.filter(F.get("f", F.lit(0)) != names[0]).select(*typed)
+    rows = lines.filter(F.trim("value") != "").select(fields.alias("f"))
+    rows = rows.select(*[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(columns)])
     return rows.select(*[F.when(F.col(n) != "NA", F.col(n)).try_cast(kind).alias(n) for n, kind in columns.items()])
 
 

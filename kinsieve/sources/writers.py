@@ -13,9 +13,13 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", missing: str = "NA
     df.write.option("header", True).option("sep", sep).option("nullValue", missing).option("emptyValue", "").csv(path)
 
 
-def write_lines(df: DataFrame, path: str) -> None:
-    """A frame of one string column as text lines."""
-    df.write.text(path)
+def write_lines(df: DataFrame, path: str, header: str | None = None) -> None:
+    """A frame of one string column as text lines, each file headed by the given line."""
+    if header is None:
+        df.write.text(path)
+        return
+    lines = df.toDF(header).write.option("header", True).option("sep", "\x01\x02\x03").option("quote", "")
+    lines.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_snapshot(tables: Mapping[str, DataFrame], folder: str) -> None:

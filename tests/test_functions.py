@@ -78,8 +78,21 @@ def test_codes(spark):
 
 
 def test_code_shape(spark):
-    got = column(spark, ["ABC12345PT", "FB301004PT", "AB12345PT", "ABC1234PT", "XFB301004PT"], "string", codes.is_well_formed)
-    assert got == [True, True, False, False, False]
+    values = ["ABC12345PT", "QX777004PT", "AB12345PT", "ABC1234PT", "XQX777004PT"]
+    assert column(spark, values, "string", codes.is_well_formed) == [True, False, False, False, False]
+    own = lambda c: codes.is_well_formed(c, "^QX777[0-9]{3}[A-Za-z]")
+    assert column(spark, values, "string", own) == [True, True, False, False, False]
+
+
+def test_long_suffix_is_whole(spark):
+    assert column(spark, ["ABC12345" + "x" * 1500], "string", codes.suffix_of) == ["x" * 1500]
+
+
+def test_codes_of_far_apart_keys_differ(spark):
+    from kinsieve.catalog.standins import subject_code
+
+    got = column(spark, [0, 878_800_000, 2**31], "bigint", subject_code)
+    assert len(set(got)) == 3 and got[0] == "AAA00000PT"
 
 
 def test_wells_run_down_the_columns(spark):

@@ -28,7 +28,7 @@ def sides(spark):
 @pytest.mark.parametrize("hot", [None, [], ["hot"], ["hot", "k2", "absent"]])
 def test_salted_join_equals_plain_join(sides, how, hot):
     left, right = sides
-    got = joins.salted_join(left, right, ["k"], how, hot, salts=5)
+    got = joins.salted_join(left, right, ["k"], how, hot)
     want = left.join(right, "k", how)
     assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(map(tuple, want.collect()))
 
@@ -37,18 +37,43 @@ def test_salted_join_equals_plain_join(sides, how, hot):
 @pytest.mark.parametrize("hot", [[], ["hot"]])
 def test_null_safe_salted_join(sides, how, hot):
     left, right = sides
-    got = joins.salted_join(left, right, ["k"], how, hot, salts=5, null_safe=True)
+    got = joins.salted_join(left, right, ["k"], how, hot, null_safe=True)
     other = right.withColumnRenamed("k", "k2")
     want = left.join(other, F.col("k").eqNullSafe(F.col("k2")), how).drop("k2")
     assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(map(tuple, want.collect()))
 
 
-def test_hot_keys_are_found_and_spread(sides):
-    left, right = sides
-    assert "hot" in joins.hot_keys(left, "k")
-    salted = left.withColumn("s", F.pmod(F.xxhash64("id", "k"), F.lit(joins.SALTS)))
-    per_salt = salted.filter(F.col("k") == "hot").groupBy("s").count().agg(F.max("count")).collect()[0][0]
-    assert per_salt < 30
+def test_equal_rows_of_a_known_hot_key_use_all_salts(spark):
+    rows = spark.range(1_000_000).select(F.lit("hot").alias("k"))
+    joined = joins.salted_join(rows, spark.createDataFrame([("hot", 1)], "k string, v int"), ["k"], hot=["hot"])
+    assert joined.count() == 1_000_000
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per_salt = rows.groupBy(F.pmod(F.monotonically_increasing_id(), F.lit(salts))).count()
+    counts = [r[1] for r in per_salt.collect()]
+    assert len(counts) == salts and max(counts) < 1.5 * min(counts)
+
+
+def test_hot_partition_is_split_at_run_time(spark):
+    """A hot key that nobody named: the join's partition is split while the query runs."""
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+    }
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        # the rows come from several map tasks, by which the partition is split
+        left = spark.range(0, 400_000, 1, 8).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id")).alias("k"), "id")
+        joined = joins.salted_join(left, spark.range(1_000).withColumnRenamed("id", "k"), ["k"])
+        assert joined.count() > 200_000
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
 
 
 def test_salted_join_refuses_other_kinds(sides):
@@ -93,8 +118,7 @@ def test_sibling_takes_the_patients_class_of_its_own_family(spark):
     assert got["BBB00002S1"] == "adult" and got["CCC00003S1"] is None
 
 
-def test_average_rank_joins_back_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+def test_average_rank_joins_back(spark):
     df = spark.createDataFrame([(i, float(i % 7) if i % 5 else None) for i in range(70)], "id int, v double")
     got = joins.with_average_rank(df, "v", "r").toPandas()
     want = got["v"].rank()

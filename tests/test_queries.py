@@ -15,6 +15,7 @@ duckdb = pytest.importorskip("duckdb")
 
 import __spark_entry__ as entry_points
 from check_oracle import TABLES, compare, compare_types
+from kinsieve import catalog
 from kinsieve.operators import ordered
 
 FOLDER = "/root/testdata/sf0.001"
@@ -37,8 +38,8 @@ def sql():
 
 
 def names():
-    queries = entry_points.queries()
-    return list(queries) if os.environ.get("KINSIEVE_ALL") else list(QUICK)
+    catalog.load_all()
+    return list(catalog.QUERIES) if os.environ.get("KINSIEVE_ALL") else list(QUICK)
 
 
 @pytest.mark.parametrize("name", names())
@@ -58,7 +59,7 @@ def test_query_agrees_with_sql(spark, sql, name):
 def test_every_query_is_registered_with_its_sql():
     queries, oracles = entry_points.queries(), entry_points.oracle_sql()
     assert set(oracles) <= set(queries)
-    assert set(queries) - set(oracles) == {"group_means_ci", "ols_category", "test_p_values"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"group_means_ci", "ols_category", "test_p_values"}
 
 
 @pytest.mark.parametrize("name", ["avg_rank", "locf_family", "plate_layout", "ecdf_steps", "every_kth", "duplicated_rows"])

@@ -57,6 +57,37 @@ def test_whitespace_table(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [("rs1", 1, 0.5), ("rs2", 2, None)]
 
 
+def test_a_data_row_equal_to_the_header_stays(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("snp\nrs1\nsnp\nrs3\n")
+    (tmp_path / "b.txt").write_text("snp\nrs4\n")
+    got = tables.read_whitespace(spark, str(tmp_path), {"snp": "string"})
+    assert sorted(r[0] for r in got.collect()) == ["rs1", "rs3", "rs4", "snp"]
+
+
+def test_quoted_fields_and_literal_separators(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('1,"a,b",x\n[End]\n2,c,y\n')
+    fields = {"n": (0, "int"), "a": (1, "string"), "b": (2, "string")}
+    got = tables.read_before_trailer(spark, str(tmp_path / "q.csv"), fields, F.col("value") == "[End]")
+    assert [tuple(r) for r in got.collect()] == [(1, "a,b", "x")]
+    (tmp_path / "p.csv").write_text("1|ab|x\n")
+    got = tables.read_before_trailer(spark, str(tmp_path / "p.csv"), fields, F.col("value") == "[End]", sep="|")
+    assert [tuple(r) for r in got.collect()] == [(1, "ab", "x")]
+
+
+def test_no_local_folder_stands_in_on_a_cluster(spark, monkeypatch):
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Context:
+        master = "local-cluster[2,1,1024]"
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session)
+
+
 def test_lines(spark, tmp_path):
     writers.write_lines(spark.createDataFrame([("x rs12",), ("none",)], "value string"), str(tmp_path / "l"))
     assert tables.read_lines(spark, str(tmp_path / "l")).count() == 2
