@@ -178,7 +178,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     coarse = F.greatest(F.size(F.filter(bounds, lambda c: c <= F.col("key"))) - 1, F.lit(0))
     low = F.get(bounds, coarse).cast("double")
     high = F.coalesce(F.get(bounds, coarse + 1).cast("double"), low + 1)
-    within = F.floor((F.col("key").cast("double") - low) / (high - low) * fine)
+    part = F.coalesce(F.try_divide(F.col("key").cast("double") - low, high - low), F.lit(0.0))
+    within = F.floor(F.least(part, F.lit(1.0)) * fine)
     bucket = coarse * fine + F.least(F.greatest(within, F.lit(0)), F.lit(fine - 1)).cast("int")
     rows = rows.withColumn("bucket", bucket.cast("int"))
     # one row per range, that is per some MB of text
