@@ -368,21 +368,6 @@ def split_timestamp(spark, d):
     return table(spark, d, "events").select("event_id", dates.date_part(C("ts")).alias("day"), dates.time_part(C("ts")).alias("time_of_day"))
 
 
-@query(
-    f"""WITH {LOG_CTE}, l AS (SELECT *, mother_dob + floor((mother_debut_age + 0.5::DOUBLE) * 365.25::DOUBLE)::INT AS debut FROM patient_log)
-    SELECT subject_code, {round_sql("date_diff('day', dob, dx_date) / 365.25", 2)} AS dx_age,
-    {round_sql("date_diff('day', mother_dob, dob) / 365.25", 2)} AS mother_age,
-    {round_sql("date_diff('day', debut, dob) / 365.25", 2)} AS debut_to_birth,
-    CASE WHEN {round_sql("date_diff('day', dob, dx_date) / 365.25", 2)} >= 18 THEN 'adult'
-      WHEN dob IS NOT NULL AND dx_date IS NOT NULL THEN 'child' END AS onset FROM l"""
-)
-def duration_years(spark, d):
-    from kinsieve.plans.cohort import life_durations
-
-    log = patient_log(spark, d).withColumn("enroll_date", C("spec_date"))
-    return life_durations(log).select("subject_code", "dx_age", "mother_age", "debut_to_birth", "onset")
-
-
 @query(
     f"""WITH {LOG_CTE} SELECT subject_code, mother_dob + floor((mother_debut_age + 0.5::DOUBLE) * 365.25::DOUBLE)::INT AS debut_date
     FROM patient_log"""

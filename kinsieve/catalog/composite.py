@@ -139,6 +139,22 @@ def person_view(spark, d):
     return people_of(spark, d)
 
 
+@query(
+    f"""WITH {_PEOPLE_CTE}, l AS (SELECT g.*, p.enroll_date, g.mother_dob + floor((g.mother_debut_age + 0.5::DOUBLE) * 365.25::DOUBLE)::INT AS debut
+      FROM patient_log g LEFT JOIN people p ON g.subject_code = p.subject_code)
+    SELECT subject_code, {round_sql("date_diff('day', dob, dx_date) / 365.25", 2)} AS dx_age,
+    {round_sql("date_diff('day', dob, enroll_date) / 365.25", 2)} AS enroll_age,
+    {round_sql("date_diff('day', mother_dob, dob) / 365.25", 2)} AS mother_age,
+    {round_sql("date_diff('day', debut, dob) / 365.25", 2)} AS debut_to_birth,
+    CASE WHEN {round_sql("date_diff('day', dob, dx_date) / 365.25", 2)} >= 18 THEN 'adult'
+      WHEN dob IS NOT NULL AND dx_date IS NOT NULL THEN 'child' END AS onset FROM l"""
+)
+def duration_years(spark, d):
+    """Ages of the patients, at enrolment by the date that the person view has."""
+    log = cohort.with_enrolment(patient_log(spark, d), people_of(spark, d))
+    return cohort.life_durations(log).select("subject_code", "dx_age", "enroll_age", "mother_age", "debut_to_birth", "onset")
+
+
 def _severity_cte(updates: str) -> str:
     cut = "('Currently present', 'Used to have')"
     return f"""
@@ -176,35 +192,54 @@ def severity_composite(spark, d):
     )
 
 
-def affected_once(spark, d):
-    """One row per patient, with the latest update, severity and durations."""
+def affected_once(spark, d, people=None):
+    """One row per patient, with the latest update, severity and durations; with `people`, the enrolment date
+    is that of the person view."""
     latest = first_per_key(clinical_updates(spark, d), ["subject_code"], [desc("update_id")])
     # one row per subject on both sides
     affected = cohort.severity(patient_log(spark, d).join(latest, "subject_code", "left"))
-    return cohort.life_durations(affected.withColumn("enroll_date", C("spec_date")))
+    if people is None:
+        return cohort.life_durations(affected.withColumn("enroll_date", F.lit(None).cast("date"))).drop("enroll_date", "enroll_age")
+    return cohort.life_durations(cohort.with_enrolment(affected, people))
 
 
 _REPORT_AGES = ", ".join(f"{a}" for a in report.REPORT_AGES)
 
 
 def _section(name, source, key, total):
-    return f"SELECT '{name}' AS section, {key}::VARCHAR AS item, count(*) AS n, {round_sql(f'count(*)::DOUBLE / (SELECT count(*) FROM {total})', 2)} AS share FROM {source} GROUP BY {key}"
+    return f"SELECT '{name}' AS section, {key}::VARCHAR AS item, count(*) AS n, {round_sql(f'count(*)::DOUBLE / (SELECT count(*) FROM {total})', 2)} AS share, NULL::DOUBLE AS value FROM {source} GROUP BY {key}"
+
+
+def _flag_row(flag):
+    return f"SELECT 'flags' AS section, '{flag}' AS item, count(CASE WHEN {flag} THEN 1 END) AS n, {round_sql(f'count(CASE WHEN {flag} THEN 1 END)::DOUBLE / count(*)', 2)} AS share, NULL::DOUBLE AS value FROM a"
+
+
+def _summary_rows(column):
+    parts = {"min": f"min({column})", "q1": f"quantile_cont({column}::DOUBLE, 0.25)", "median": f"quantile_cont({column}::DOUBLE, 0.5)",
+        "mean": f"avg({column})", "q3": f"quantile_cont({column}::DOUBLE, 0.75)", "max": f"max({column})"}
+    return " UNION ALL ".join(
+        f"SELECT 'summary' AS section, '{column} {name}' AS item, count({column}) AS n, NULL::DOUBLE AS share, {round_sql(f'({sql})::DOUBLE', 3)} AS value FROM a"
+        for name, sql in parts.items()
+    )
 
 
 @query(
     f"""WITH {_PEOPLE_CTE}, {_SEVERITY_ONCE},
-    a AS (SELECT *, CASE WHEN dx_age >= 18 THEN 'adult' WHEN dx_age < 18 THEN 'child' END AS onset FROM severity WHERE NOT regexp_matches(subject_code, '^(DAA00003|EAA00004)')),
+    a AS (SELECT s.*, CASE WHEN dx_age >= 18 THEN 'adult' WHEN dx_age < 18 THEN 'child' END AS onset, {round_sql("date_diff('day', s.dob, q.enroll_date) / 365.25", 2)} AS enroll_age,
+      tracheostomy = 'trached' AS trach_flag, distal = 'involvdist' AS distal_flag, surgeries >= 10 AS surgery_flag, max_freq >= 4 AS frequency_flag
+      FROM severity s LEFT JOIN people q ON s.subject_code = q.subject_code WHERE NOT regexp_matches(s.subject_code, '^(DAA00003|EAA00004)')),
     p AS (SELECT * FROM people WHERE NOT regexp_matches(subject_code, '^(DAA00003|EAA00004)')),
     f AS (SELECT family, string_agg(relationship, ', ' ORDER BY relationship) AS relationships FROM p GROUP BY 1)
     {' UNION ALL '.join(_section(k, 'a', k, 'a') for k in ('sex', 'race', 'ethnicity', 'onset', 'tracheostomy', 'distal'))}
     UNION ALL {_section('relationship', 'p', 'relationship', 'p')} UNION ALL {_section('families', 'f', 'relationships', 'f')}
-    UNION ALL SELECT 'dx_age_at_or_below', x::VARCHAR, NULL, {round_sql('sum((dx_age <= x)::INT)::DOUBLE / count(dx_age)', 2)}
-      FROM a, (SELECT unnest([{_REPORT_AGES}]) AS x) GROUP BY x"""
+    UNION ALL SELECT 'dx_age_at_or_below', x::VARCHAR, NULL, {round_sql('sum((dx_age <= x)::INT)::DOUBLE / count(dx_age)', 2)}, NULL::DOUBLE
+      FROM a, (SELECT unnest([{_REPORT_AGES}]) AS x) GROUP BY x
+    UNION ALL {' UNION ALL '.join(_flag_row(f) for f in report.FLAGS)} UNION ALL {' UNION ALL '.join(_summary_rows(c) for c in report.MEASURES)}"""
 )
 def cohort_report(spark, d):
-    affected = written(report.without_prefixes(affected_once(spark, d), EXCLUDED_FAMILIES), "affected")
-    people = written(report.without_prefixes(people_of(spark, d), EXCLUDED_FAMILIES), "people")
-    return report.cohort_report(affected, people)
+    people = written(people_of(spark, d), "people")
+    affected = written(report.without_prefixes(affected_once(spark, d, people), EXCLUDED_FAMILIES), "affected")
+    return report.cohort_report(affected, report.without_prefixes(people, EXCLUDED_FAMILIES))
 
 
 # -- integrity ------------------------------------------------------------------------------------
@@ -316,9 +351,9 @@ def selection_score(spark, d):
     )
 
 
-def _draw_sql(n: int, weight: str, source: str, seed: int) -> str:
+def _draw_sql(n: int, weight: str, source: str, seed: int, columns: str = "stock_id") -> str:
     key = uniform_sql(seed, "stock_id::VARCHAR || '|' || specimen_id::VARCHAR")
-    return f"(SELECT stock_id FROM {source} WHERE {weight} > 0 ORDER BY -ln({key}) / ({weight}), stock_id, specimen_id LIMIT {n})"
+    return f"(SELECT {columns} FROM {source} WHERE {weight} > 0 ORDER BY -ln({key}) / ({weight}), stock_id, specimen_id LIMIT {n})"
 
 
 _COHORT_CTE = f"""{_SCORE_CTE},
@@ -326,16 +361,22 @@ keep AS (SELECT DISTINCT stock_id FROM specimens WHERE tissue <> 'LRNXP' AND sub
 fresh AS (SELECT * FROM scored WHERE stock_id NOT IN (SELECT * FROM keep)),
 grown AS (SELECT * FROM scored WHERE dx_age > 18),
 mild AS (SELECT * FROM fresh WHERE dx_age < 12 AND max_freq < 4 AND surgeries < 10 AND distal = 'cleardist' AND tracheostomy = 'Never' AND annual_freq IS NOT NULL),
-drawn AS (SELECT stock_id, 'keep' AS stratum FROM keep UNION SELECT stock_id, 'main' FROM {_draw_sql(22, 'score', 'fresh', SEED)}
+main AS {_draw_sql(22, 'score', 'fresh', SEED, '*')},
+solid AS (SELECT * FROM main WHERE trio_number = 3 AND tissue = 'WB' AND substr(subject_code, 1, 8) NOT IN ({_listed(EXCLUDED_FAMILIES)})),
+parents AS (SELECT stock_id FROM quality WHERE relationship IN ('FA', 'MO') AND tissue = 'WB'
+  AND substr(subject_code, 1, 8) IN {_draw_sql(4, 'express', 'solid', SEED + 3, 'substr(subject_code, 1, 8)')}),
+drawn AS (SELECT stock_id, 'keep' AS stratum FROM keep UNION SELECT stock_id, 'main' FROM main UNION SELECT stock_id, 'parents' FROM parents
   UNION SELECT stock_id, 'adult' FROM {_draw_sql(8, 'score', 'grown', SEED + 1)} UNION SELECT stock_id, 'mild' FROM {_draw_sql(8, 'score / nullif(express * express, 0)', 'mild', SEED + 2)}),
 cohort AS (SELECT stock_id, string_agg(stratum, ',' ORDER BY stratum) AS strata FROM drawn GROUP BY 1)"""
 
 
 def chosen(spark, d):
-    # the three draws read the scores: they are computed once, written, and read back
-    scored = written(scored_stocks(spark, d), "scored")
+    # the draws read the scores: they are computed once, written, and read back
+    quality = written(qualified(spark, d), "quality")
+    scored = written(score_with(spark, d, quality), "scored")
     keep = specimens(spark, d).filter((C("tissue") != "LRNXP") & C("subject_code").isin(*MULTIPLEX))
-    return selection.select_cohort(scored, keep, SEED)
+    parents = quality.filter(C("relationship").isin(*codes.PARENTS))
+    return selection.select_cohort(scored, keep, SEED, parents=parents, excluded_families=EXCLUDED_FAMILIES, n_parents=4)
 
 
 @query(f"WITH {_COHORT_CTE} SELECT * FROM cohort")
@@ -343,6 +384,21 @@ def select_cohort(spark, d):
     return chosen(spark, d)
 
 
+@query(
+    f"""WITH {_COHORT_CTE}, failed AS (SELECT DISTINCT c.stock_id FROM cohort c JOIN stocks t ON t.specimen_id = c.stock_id WHERE t.conc < 60),
+    pool AS (SELECT * FROM scored WHERE stock_id NOT IN (SELECT stock_id FROM cohort)),
+    ranked AS (SELECT stock_id, specimen_id, row_number() OVER (ORDER BY -ln({uniform_sql(SEED + 9, "stock_id::VARCHAR || '|' || specimen_id::VARCHAR")}) / score, stock_id, specimen_id) AS i FROM pool WHERE score > 0)
+    SELECT stock_id, specimen_id FROM ranked WHERE i <= (SELECT count(*) FROM failed)"""
+)
+def replacement_draw(spark, d):
+    """A fresh stock for each drawn one that holds too little, none of them drawn before."""
+    scored = written(scored_stocks(spark, d), "scored")
+    cohort_rows = written(chosen(spark, d), "cohort")
+    weak = stocks(spark, d).filter(C("conc") < 60).select(C("specimen_id").alias("stock_id"))
+    failed = cohort_rows.join(weak, "stock_id", "left_semi")
+    return selection.replacements(scored, cohort_rows, failed, SEED + 9).select("stock_id", "specimen_id")
+
+
 _KEY = uniform_sql(SEED, "family")
 
 

@@ -26,7 +26,7 @@ from kinsieve.operators.joins import (
     salted_join,
 )
 from kinsieve.operators.ordered import asc
-from kinsieve.plans.report import contact_list as contacts
+from kinsieve.plans.report import contact_list as contacts, site_contacts
 
 C = F.col
 
@@ -239,22 +239,34 @@ def unpivot_pairs(spark, d):
 
 
 @query(
-    """WITH w AS (SELECT n_name, s_name, s_suppkey, s_acctbal, lower(replace(s_name, '#', '')) || '@a.example' AS m1,
+    """WITH w AS (SELECT s_suppkey, s_name, lower(replace(s_name, '#', '')) || '@a.example' AS m1,
       CASE WHEN s_acctbal > 0 THEN lower(n_name) || '@b.example' END AS m2,
       CASE WHEN s_suppkey % 3 = 0 THEN 'Old work' ELSE 'work' END AS k1, 'home' AS k2 FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-    l AS (SELECT n_name, k1 AS k, m1 AS m FROM w UNION ALL SELECT n_name, k2, m2 FROM w)
-    SELECT n_name AS site, string_agg(m, ',' ORDER BY m) AS mails FROM l WHERE m IS NOT NULL AND NOT regexp_matches(k, '(?i)old') GROUP BY 1"""
+    l AS (SELECT s_name, k1 AS k, m1 AS m FROM w UNION ALL SELECT s_name, k2, m2 FROM w),
+    p AS (SELECT s_name, string_agg(m, ',' ORDER BY m) AS mails FROM l WHERE m IS NOT NULL AND NOT regexp_matches(k, '(?i)old') GROUP BY 1),
+    sites AS (SELECT c_custkey AS site_key, c_name AS hospital, 'Supplier#' || lpad((c_custkey % 150 + 1)::VARCHAR, 9, '0') AS s_name,
+      CASE WHEN c_acctbal > 0 THEN c_nationkey END AS approval FROM customer)
+    SELECT site_key, hospital, s.s_name AS person, mails FROM sites s LEFT JOIN p ON s.s_name = p.s_name WHERE approval IS NOT NULL"""
 )
 def contact_list(spark, d):
-    nation = table(spark, d, "nation").select(C("n_nationkey").alias("s_nationkey"), C("n_name").alias("site"))
+    """Addresses per person, attached by name to the approved sites."""
+    nation = table(spark, d, "nation").select(C("n_nationkey").alias("s_nationkey"), "n_name")
     people = salted_join(table(spark, d, "supplier"), nation, ["s_nationkey"], "inner").select(
-        "site",
+        C("s_name").alias("person"),
         F.when(F.pmod("s_suppkey", F.lit(3)) == 0, "Old work").otherwise("work").alias("kind_1"),
         F.concat(F.lower(F.replace(C("s_name"), F.lit("#"), F.lit(""))), F.lit("@a.example")).alias("mail_1"),
         F.lit("home").alias("kind_2"),
-        F.when(C("s_acctbal") > 0, F.concat(F.lower("site"), F.lit("@b.example"))).alias("mail_2"),
+        F.when(C("s_acctbal") > 0, F.concat(F.lower("n_name"), F.lit("@b.example"))).alias("mail_2"),
     )
-    return contacts(people, ["site"], ["kind_1", "kind_2"], ["mail_1", "mail_2"])
+    number = F.lpad((F.pmod("c_custkey", F.lit(150)) + 1).cast("string"), 9, "0")
+    sites = table(spark, d, "customer").select(
+        C("c_custkey").alias("site_key"),
+        C("c_name").alias("hospital"),
+        F.concat(F.lit("Supplier#"), number).alias("person"),
+        F.when(C("c_acctbal") > 0, C("c_nationkey")).alias("approval"),
+    )
+    mails = contacts(people, ["person"], ["kind_1", "kind_2"], ["mail_1", "mail_2"])
+    return site_contacts(sites, mails, ["person"]).select("site_key", "hospital", "person", "mails")
 
 
 @query("SELECT regexp_matches(p_name, '(?i)RED|small') AS flagged, count(*) AS n FROM part GROUP BY 1")

@@ -93,30 +93,29 @@ def range_upper(q: float, groups: int, df: float) -> float:
     return min(1.0, max(0.0, 1.0 - inside))
 
 
-def _rowwise(function, *series: pd.Series) -> pd.Series:
-    def one(values):
-        if any(v is None or v != v for v in values):
-            return None
-        return function(*values)
-
-    return pd.Series([one(v) for v in zip(*series)], dtype="float64")
+def _distinct(function, *series: pd.Series) -> pd.Series:
+    """Apply a scalar function once per distinct combination of arguments of a batch."""
+    table = pd.concat(list(series), axis=1, keys=range(len(series))).astype("float64")
+    known = table.dropna().drop_duplicates()
+    known["value"] = [function(*v) for v in known.itertuples(index=False)]
+    return table.merge(known, how="left", on=list(range(len(series))))["value"].astype("float64")
 
 
 @F.pandas_udf(DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-    return _rowwise(lambda a, b: t_two_sided(a, b) if b > 0 else None, t, df)
+    return _distinct(lambda a, b: t_two_sided(a, b) if b > 0 else None, t, df)
 
 
 @F.pandas_udf(DoubleType())
 def f_p_value(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
-    return _rowwise(lambda a, b, c: f_upper(a, b, c) if b > 0 and c > 0 else None, f, df1, df2)
+    return _distinct(lambda a, b, c: f_upper(a, b, c) if b > 0 and c > 0 else None, f, df1, df2)
 
 
 @F.pandas_udf(DoubleType())
 def t_quantile(level: pd.Series, df: pd.Series) -> pd.Series:
-    return _rowwise(lambda a, b: t_critical(a, b) if b > 0 else None, level, df)
+    return _distinct(lambda a, b: t_critical(a, b) if b > 0 else None, level, df)
 
 
 @F.pandas_udf(DoubleType())
 def range_p_value(q: pd.Series, groups: pd.Series, df: pd.Series) -> pd.Series:
-    return _rowwise(lambda a, b, c: range_upper(a, int(b), c) if c > 0 else None, q, groups, df)
+    return _distinct(lambda a, b, c: range_upper(a, int(b), c) if c > 0 else None, q, groups, df)

@@ -184,6 +184,11 @@ def severity(affected: DataFrame) -> DataFrame:
     )
 
 
+def with_enrolment(log: DataFrame, people: DataFrame) -> DataFrame:
+    """The log with the enrolment date of the person view."""
+    return log.join(people.select("subject_code", "enroll_date"), "subject_code", "left")
+
+
 def life_durations(affected: DataFrame) -> DataFrame:
     """Ages at diagnosis and enrolment, age of the mother, time from her debut to the birth, onset.
 

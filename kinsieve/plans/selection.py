@@ -119,11 +119,16 @@ def select_cohort(
     n_main: int = 22,
     n_adult: int = 8,
     n_mild: int = 8,
+    parents: DataFrame | None = None,
+    excluded_families: Sequence[str] = (),
+    n_parents: int = 0,
 ) -> DataFrame:
     """Draw the strata and unite them with the stocks that are kept anyway.
 
-    Main draw by score, adult onset by score, mild course by score over squared expression; one row per
-    stock with the strata it came from, in a fixed order.
+    Main draw by score, adult onset by score, mild course by score over squared expression; blood of both
+    parents (`parents` holds the stocks of fathers and mothers) for `n_parents` complete trios of the main
+    draw, by expression, without the excluded families. One row per stock with the strata it came from, in a
+    fixed order.
     """
     c = F.col
     kept = keep.select("stock_id").distinct()
@@ -142,10 +147,22 @@ def select_cohort(
         mild, n_mild, ratio(c("score"), c("express") * c("express")), ["stock_id", "specimen_id"], seed + 2
     )
     parts = {"adult": adult, "keep": kept, "main": main, "mild": mild}
+    if parents is not None and n_parents:
+        solid = main.filter((c("trio") == "trio") & (c("tissue") == "WB") & ~c("family").isin(*excluded_families))
+        families = weighted_sample_n(solid, n_parents, c("express"), ["stock_id", "specimen_id"], seed + 3).select("family")
+        blood = parents.filter(c("tissue") == "WB").withColumn("family", codes.family_of(c("subject_code")))
+        parts["parents"] = blood.join(families, "family", "left_semi")
     tagged = [df.select("stock_id", F.lit(name).alias("stratum")) for name, df in parts.items()]
     return string_agg(union_distinct(*tagged), ["stock_id"], "stratum", "strata", ",")
 
 
+def replacements(scored: DataFrame, drawn: DataFrame, failed: DataFrame, seed: int) -> DataFrame:
+    """One new stock, drawn by score, for each failed one; no stock that was drawn before comes again."""
+    pool = salted_join(scored, drawn.select("stock_id").distinct(), ["stock_id"], "left_anti")
+    wanted = failed.select("stock_id").distinct().count()
+    return weighted_sample_n(pool, wanted, F.col("score"), ["stock_id", "specimen_id"], seed)
+
+
 def family_holdings(specimens: DataFrame) -> DataFrame:
     """Per family: tissue score, one plus parents' specimens, members, and the value of sampling it."""
     c = F.col
