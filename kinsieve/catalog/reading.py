@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kinsieve.catalog import query
 from kinsieve.catalog.standins import table
+from kinsieve.functions.codes import first_match
 from kinsieve.session import scratch_path
 from kinsieve.sources import tables as readers
 from kinsieve.sources import writers
@@ -88,3 +89,29 @@ def lookup_literal(spark, d):
     coded = table(spark, d, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(5)).alias("code"))
     # four rows written in code
     return coded.join(F.broadcast(consent), "code", "left").select("o_orderkey", "consent")
+
+
+@query("SELECT regexp_extract(p_name, '[a-z]+$', 0) AS token, count(*) AS n FROM part WHERE regexp_matches(p_name, '[a-z]+$') GROUP BY 1")
+def scan_lines(spark, d):
+    """Raw text lines, and the last word of each."""
+    path = scratch_path(spark, "lines")
+    writers.write_lines(table(spark, d, "part").select(F.concat(F.lit("part: "), "p_name").alias("value")), path)
+    tokens = readers.read_lines(spark, path).select(first_match(C("value"), "[a-z]+$").alias("token"))
+    return tokens.dropna().groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey, s_name, CASE WHEN s_acctbal >= 0 THEN s_acctbal END AS balance FROM supplier WHERE s_nationkey < 12")
+def scan_sheet(spark, d):
+    """One worksheet of a workbook, by its two names; cells without a value say so."""
+    folder = scratch_path(spark, "sheets")
+    rows = table(spark, d, "supplier")
+    balance = F.when(C("s_acctbal") >= 0, C("s_acctbal")).alias("balance")
+    for name, part in (("North", C("s_nationkey") < 12), ("South", C("s_nationkey") >= 12)):
+        writers.write_delimited(rows.filter(part).select("s_suppkey", "s_name", balance), f"{folder}/Suppliers 2020/{name}")
+    return readers.read_sheet(spark, folder, "Suppliers 2020", "North", "s_suppkey bigint, s_name string, balance double")
+
+
+@query("SELECT c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
+def scan_first_column(spark, d):
+    chosen = table(spark, d, "customer").filter(C("c_mktsegment") == "BUILDING")
+    return readers.first_column(chosen.select("c_name", "c_custkey", "c_acctbal"))
