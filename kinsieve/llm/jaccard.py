@@ -20,16 +20,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kinsieve.llm.arrays import binaries, bucketed, flat, joined, mixed, sliced, spans, word_hashes
+from kinsieve.llm.arrays import binaries, flat, joined, mixed, sliced, spans, word_hashes
 from kinsieve.llm.components import connected
 from kinsieve.session import written
 
 WORDS = 5
 PERCENT = 80
-TABLE_BITS = 23
-TABLE_PARTS = 32
+TABLE_BITS = 25
+TABLE_PARTS = 64
 BLOCK_ENTRIES = 2 << 20
 TILE_ENTRIES = 2 << 20
+FILTER_BITS = 26
+FILTER_PARTS = 64
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -77,16 +79,25 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, _ = shingle_sets(batch.column("text"))
         found, counts = np.unique((value >> np.uint64(64 - TABLE_BITS)).astype(np.int64), return_counts=True)
         cells[found] = np.minimum(cells[found].astype(np.int64) + counts, 65_535)
-    used = np.flatnonzero(cells)
-    if len(used):
-        part = used >> (TABLE_BITS - TABLE_PARTS.bit_length() + 1)
-        yield bucketed(part, {"cells": (used & ((1 << 31) - 1)).astype(np.uint32), "counts": cells[used]}, "part")
+    size = (1 << TABLE_BITS) // TABLE_PARTS
+    rows = []
+    for part in range(TABLE_PARTS):
+        counts = cells[part * size : (part + 1) * size]
+        used = np.flatnonzero(counts)
+        if len(used):
+            gaps, counts = np.diff(used, prepend=0), counts[used]
+            planes = (gaps & 255).astype(np.uint8), (gaps >> 8).astype(np.uint32), (counts & 255).astype(np.uint8), (counts >> 8).astype(np.uint8)
+            rows.append((part, *[x.tobytes() for x in planes]))
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    arrays = [pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(columns)]
+    yield pa.RecordBatch.from_arrays(arrays, names=["part", "gap_low", "gap_high", "count_low", "count_high"])
 
 
 def _summed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    size = (1 << TABLE_BITS) // TABLE_PARTS
-    cells = joined(table.column("cells"), np.uint32).astype(np.int64) % size
-    total = np.bincount(cells, joined(table.column("counts"), np.uint16), size)
+    total = np.zeros((1 << TABLE_BITS) // TABLE_PARTS)
+    for row in table.to_pylist():
+        gaps, counts = (np.frombuffer(row[f"{x}_low"], np.uint8) + (np.frombuffer(row[f"{x}_high"], k).astype(np.int64) << 8) for x, k in (("gap", np.uint32), ("count", np.uint8)))
+        total[np.cumsum(gaps)] += counts
     coded = np.minimum(255, np.round(16 * np.log2(1 + total))).astype(np.uint8)
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "coded": pa.array([coded.tobytes()], pa.binary())})
 
@@ -99,7 +110,7 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     """
     table = np.zeros(1 << TABLE_BITS, np.uint8)
     size = len(table) // TABLE_PARTS
-    counted = docs.select("text").mapInArrow(_counts, "part int, n long, cells binary, counts binary")
+    counted = docs.select("text").mapInArrow(_counts, "part int, gap_low binary, gap_high binary, count_low binary, count_high binary")
     for row in counted.groupBy("part").applyInArrow(_summed, "part int, coded binary").collect():
         table[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["coded"], np.uint8)
     return table
@@ -115,9 +126,17 @@ def _set_key(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mixed(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(np.uint64))
 
 
+def _set_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches, "text"):
+        values, offsets = shingle_sets(batch.column("text"))
+        sizes = np.diff(offsets).astype(np.int64)
+        arrays = [batch.column("doc_id"), pa.array(sizes), pa.array(_set_key(values, offsets).view(np.int64))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_shingles", "key"])
+
+
 def _prefix_entries(shared, buckets: int):
-    """Entries of the incidence matrix that can show a link, dealt to blocks of n-grams; and for each document
-    its set size (bucket -1)."""
+    """Entries of the incidence matrix that can show a link, dealt to blocks of n-grams. Of equal sets in one
+    piece of input only the smallest document's goes on."""
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -125,21 +144,11 @@ def _prefix_entries(shared, buckets: int):
             values, offsets = shingle_sets(batch.column("text"))
             docs = np.asarray(batch.column("doc_id"))
             sizes = np.diff(offsets)
-            yield _one_row(-1, np.zeros(0, np.uint64), docs, sizes)
-            # of equal sets in this piece only the first goes on; the others are tied to it (bucket -2)
-            keys = _set_key(values, offsets)
-            order = np.lexsort((docs, keys))
-            same = np.zeros(len(docs), bool)
-            same[1:] = (keys[order][1:] == keys[order][:-1]) & (sizes[order][1:] > 0) & (sizes[order][1:] == sizes[order][:-1])
-            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(docs))))
-            if same.any():
-                yield _one_row(-2, docs[order][head][same].astype(np.uint64), docs[order][same], sizes[order][same])
+            _, head = np.unique(_set_key(values, offsets)[np.argsort(docs, kind="stable")], return_index=True)
             kept = np.zeros(len(docs), bool)
-            kept[order[~same]] = True
-            kept &= sizes > 0
+            kept[np.argsort(docs, kind="stable")[head]] = True
             rows = np.repeat(np.arange(len(docs)), sizes)
-            use = kept[rows]
-            rows, grams = rows[use], values[use]
+            rows, grams = rows[kept[rows]], values[kept[rows]]
             if len(grams) == 0:
                 continue
             rank = table[grams >> np.uint64(64 - TABLE_BITS)]
@@ -148,24 +157,35 @@ def _prefix_entries(shared, buckets: int):
             begins = np.searchsorted(rows, rows)
             few = np.arange(len(rows)) - begins <= (sizes - _least_overlap(sizes))[rows]
             rows, grams = rows[few], grams[few]
-            columns = {"grams": grams, "docs": docs[rows], "sizes": sizes[rows].astype(np.int32)}
-            yield bucketed((mixed(grams) % np.uint64(buckets)).astype(np.int64), columns)
+            grams = mixed(grams)
+            bucket = (grams % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((rows, bucket))
+            rows, grams, bucket = rows[order], grams[order], bucket[order]
+            heads = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (bucket[1:] != bucket[:-1])]))
+            found, firsts = np.unique(bucket, return_index=True)
+            ends = np.append(firsts[1:], len(rows))
+            doc_ends = np.searchsorted(heads, ends)
+            # 48 bits of an n-gram's hash, besides the block's number
+            columns = {
+                "high": binaries((grams >> np.uint64(32)).astype(np.uint32), ends),
+                "low": binaries(((grams >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16), ends),
+                "docs": binaries(docs[rows[heads]], doc_ends),
+                "sizes": binaries(sizes[rows[heads]].astype(np.int32), doc_ends),
+                "per_doc": binaries(np.diff(np.append(heads, len(rows))).astype(np.uint32), doc_ends),
+            }
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), *columns.values()], names=["bucket", *columns])
 
     return entries
 
 
-def _one_row(bucket: int, grams: np.ndarray, docs: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-    arrays = [
-        pa.array([bucket], pa.int32()), pa.array([len(docs)], pa.int64()), binaries(grams, np.array([len(grams)])),
-        binaries(docs.astype(np.int64), np.array([len(docs)])), binaries(sizes.astype(np.int32), np.array([len(docs)])),
-    ]
-    return pa.RecordBatch.from_arrays(arrays, names=["bucket", "n", "grams", "docs", "sizes"])
+_ENTRIES = "bucket int, high binary, low binary, docs binary, sizes binary, per_doc binary"
 
 
 def _ties(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Documents that share an n-gram of this block, tied in order of set size while sizes are close enough."""
-    grams, docs = joined(table.column("grams"), np.uint64), joined(table.column("docs"), np.int64)
-    sizes = joined(table.column("sizes"), np.int32).astype(np.int64)
+    grams = (joined(table.column("high"), np.uint32).astype(np.uint64) << np.uint64(16)) | joined(table.column("low"), np.uint16)
+    per_doc = joined(table.column("per_doc"), np.uint32)
+    docs, sizes = (np.repeat(joined(table.column(c), k).astype(np.int64), per_doc) for c, k in (("docs", np.int64), ("sizes", np.int32)))
     order = np.argsort(grams, kind="stable")
     ordered = grams[order]
     same = ordered[1:] == ordered[:-1]
@@ -234,11 +254,39 @@ def _linked(docs: np.ndarray, values: np.ndarray, offsets: np.ndarray, left: np.
     return a[a != b], b[a != b]
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches, "text"):
-        values, offsets = shingle_sets(batch.column("text"))
-        columns = {c: batch.column(c) for c in batch.schema.names if c != "text"} | {"grams": binaries(values, offsets[1:])}
-        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+def _filter_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    for batch in batches:
+        bits[_filter_place(np.asarray(batch.column("node")))] = True
+    parts = np.split(np.packbits(bits), FILTER_PARTS)
+    used = [i for i, x in enumerate(parts) if x.any()]
+    arrays = [pa.array(used, pa.int32()), pa.array([parts[i].tobytes() for i in used], pa.binary())]
+    yield pa.RecordBatch.from_arrays(arrays, names=["part", "bits"])
+
+
+def _filter_place(docs: np.ndarray) -> np.ndarray:
+    return (mixed(docs.astype(np.int64).view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _filter_sum(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    bits = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in table.column("bits")])
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+
+def _candidate_sets(shared):
+    """Sets of the documents that the filter lets through: all candidates, and few others."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            place = _filter_place(np.asarray(batch.column("doc_id")))
+            chosen = batch.filter(pa.array((bits[place >> 3] >> (7 - (place & 7))) & 1 == 1))
+            for piece in sliced([chosen], "text"):
+                values, offsets = shingle_sets(piece.column("text"))
+                arrays = [piece.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), binaries(values, offsets[1:])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "entries", "grams"])
+
+    return sets
 
 
 def _multiply(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -265,9 +313,6 @@ def _multiply(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"a": a, "b": b})
 
 
-_SETS = "doc_id long, component long, place int, side int, grams binary"
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Class of every document under the links of at least PERCENT % Jaccard likeness of word n-gram sets.
 
@@ -282,45 +327,49 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # about one entry in five of a word each six bytes
     buckets = max(8, int(total / 30 // BLOCK_ENTRIES))
     shared = spark.sparkContext.broadcast(frequencies(rows))  # of fixed size
-    entries = rows.mapInArrow(_prefix_entries(shared, buckets), "bucket int, n long, grams binary, docs binary, sizes binary")
-    entries = written(entries, "entries")
-    ties = entries.filter("bucket >= 0").groupBy("bucket").applyInArrow(_ties, "a long, b long")
-    copies = entries.filter("bucket = -2").mapInArrow(_unpacked_pairs, "a long, b long")
-    candidates = connected(ties.unionByName(copies), "candidates")
-    links = _links(rows, candidates)
-    classes = connected(links, "links").withColumnRenamed("node", "doc_id")
-    sizes = entries.filter("bucket = -1").mapInArrow(_unpacked_sizes, "doc_id long, n_shingles long")
+    entries = rows.mapInArrow(_prefix_entries(shared, buckets), _ENTRIES)
+    ties = entries.groupBy("bucket").applyInArrow(_ties, "a long, b long")
+    sizes = written(rows.mapInArrow(_set_sizes, "doc_id long, n_shingles long, key long"), "sizes")
+    # equal sets are linked to their smallest document, which stands for them from here on
+    known = sizes.filter("n_shingles > 0")
+    heads = known.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    copies = known.join(heads, ["key", "n_shingles"]).filter("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+    copies = written(copies.distinct(), "copies")
+    candidates = connected(ties, "candidates")
+    candidates = candidates.join(copies.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
+    # a component of copies of one set has nothing left to multiply
+    several = candidates.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
+    links = _links(rows, written(candidates.join(several, "component").select("node", "component"), "candidates"))
+    classes = connected(links.unionByName(copies), "links").withColumnRenamed("node", "doc_id")
     found = sizes.join(classes, "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _unpacked_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = joined(batch.column("grams"), np.int64), joined(batch.column("docs"), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-
-def _unpacked_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        docs, sizes = joined(batch.column("docs"), np.int64), joined(batch.column("sizes"), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(sizes.astype(np.int64))], names=["doc_id", "n_shingles"])
-
-
 def _links(rows: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Links (a, b) that join all linked documents, found by multiplying out each candidate component."""
-    members = written(rows.join(candidates.withColumnRenamed("node", "doc_id"), "doc_id"), "members")
-    entries = (F.octet_length("text") / 6).cast("long") + 1
-    loads = members.groupBy("component").agg(F.sum(entries).alias("load"))
+    """Links (a, b) that join all linked documents, found by multiplying out each candidate component.
+
+    Sets of candidates are made where the texts are: a filter of fixed size tells which they can be, so that
+    only their sets are shuffled. Should candidates ever fill the filter, all sets are.
+    """
+    spark = rows.sparkSession
+    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    size = len(bits) // FILTER_PARTS
+    parts = candidates.select("node").mapInArrow(_filter_parts, "part int, bits binary")
+    for row in parts.groupBy("part").applyInArrow(_filter_sum, "part int, bits binary").collect():
+        bits[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
+    sets = rows.mapInArrow(_candidate_sets(spark.sparkContext.broadcast(bits)), "doc_id long, entries long, grams binary")
+    # merge joins at any size: a broadcast that only small inputs get would say nothing about large ones
+    members = written(sets.join(candidates.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id"), "members")
+    loads = members.groupBy("component").agg(F.sum("entries").alias("load"), F.count("*").alias("n")).filter("n > 1")
     total = loads.agg(F.sum("load")).first()[0] or 0
     groups = max(1, int(total // TILE_ENTRIES))
     loads = loads.withColumn("blocks", F.ceil(F.col("load") / TILE_ENTRIES).cast("int"))
-    placed = members.join(loads, "component")
-    schema = "doc_id long, component long, side int, at string, grams binary"
-    small = placed.filter("blocks = 1").select(
-        "doc_id", "component", F.lit(0).alias("side"), F.pmod(F.xxhash64("component"), F.lit(groups)).cast("string").alias("at"), "text"
+    placed = members.join(loads.hint("merge"), "component")
+    small = placed.filter("blocks <= 1").select(
+        "doc_id", "component", F.lit(0).alias("side"), F.pmod(F.xxhash64("component"), F.lit(groups)).cast("string").alias("at"), "grams"
     )
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    large = placed.filter("blocks > 1").select("doc_id", "component", "blocks", block.alias("block"), "text")
+    large = placed.filter("blocks > 1").select("doc_id", "component", "blocks", block.alias("block"), "grams")
     # every pair of blocks is a tile; the lower block is one side, the higher the other
     tile = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -329,6 +378,5 @@ def _links(rows: DataFrame, candidates: DataFrame) -> DataFrame:
             F.concat_ws("-", F.lit("tile"), "component", F.least(j, "block"), F.greatest(j, "block")).alias("at"),
         ),
     )
-    large = large.select("doc_id", "component", F.explode(tile).alias("t"), "text").select("doc_id", "component", "t.side", "t.at", "text")
-    sets = small.unionByName(large).mapInArrow(_set_rows, schema)
-    return sets.groupBy("at").applyInArrow(_multiply, "a long, b long")
+    large = large.select("doc_id", "component", F.explode(tile).alias("t"), "grams").select("doc_id", "component", "t.side", "t.at", "grams")
+    return small.unionByName(large).groupBy("at").applyInArrow(_multiply, "a long, b long")
