@@ -28,7 +28,7 @@ WORDS = 5
 PERCENT = 80
 TABLE_BITS = 25
 TABLE_PARTS = 64
-BLOCK_ENTRIES = 2 << 20
+BLOCK_ENTRIES = 4 << 20
 TILE_ENTRIES = 2 << 20
 FILTER_BITS = 26
 FILTER_PARTS = 64
