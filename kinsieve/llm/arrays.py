@@ -85,10 +85,6 @@ def joined(column: pa.ChunkedArray, kind) -> np.ndarray:
     return flat(column)[0].view(kind)
 
 
-def lookups(table: dict, keys) -> list:
-    return [table[k] for k in keys]
-
-
 _WORD_BASE = np.uint64(0x5851F42D4C957F2D)
 
 
