@@ -26,7 +26,7 @@ from kinsieve.session import written
 
 WORDS = 5
 PERCENT = 80
-TABLE_BITS = 25
+TABLE_BITS = 24
 TABLE_PARTS = 64
 BLOCK_ENTRIES = 4 << 20
 TILE_ENTRIES = 2 << 20
@@ -111,7 +111,7 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     table = np.zeros(1 << TABLE_BITS, np.uint8)
     size = len(table) // TABLE_PARTS
     counted = docs.select("text").mapInArrow(_counts, "part int, gap_low binary, gap_high binary, count_low binary, count_high binary")
-    for row in counted.groupBy("part").applyInArrow(_summed, "part int, coded binary").collect():
+    for row in counted.groupBy("part").applyInArrow(_summed, "part int, coded binary").toLocalIterator():
         table[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["coded"], np.uint8)
     return table
 
@@ -355,7 +355,7 @@ def _links(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     size = len(bits) // FILTER_PARTS
     parts = candidates.select("node").mapInArrow(_filter_parts, "part int, bits binary")
-    for row in parts.groupBy("part").applyInArrow(_filter_sum, "part int, bits binary").collect():
+    for row in parts.groupBy("part").applyInArrow(_filter_sum, "part int, bits binary").toLocalIterator():
         bits[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
     sets = rows.mapInArrow(_candidate_sets(spark.sparkContext.broadcast(bits)), "doc_id long, entries long, grams binary")
     # merge joins at any size: a broadcast that only small inputs get would say nothing about large ones

@@ -58,6 +58,14 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         )
 
 
+def _documents_with(texts: list[np.ndarray]) -> np.ndarray:
+    """Number of texts that have each feature, added up some hundred texts at a time."""
+    total = np.zeros(DIMENSIONS, np.int64)
+    for i in range(0, len(texts), 512):
+        total += np.bincount(np.concatenate(texts[i : i + 512]), minlength=DIMENSIONS)
+    return total
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
     """Weights per feature and the intercept.
 
@@ -68,14 +76,12 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     weights = np.zeros(DIMENSIONS, np.float32)
     if not positive or not unlabelled:
         return weights, -20.0
-    seen = np.bincount(np.concatenate(positive), minlength=DIMENSIONS)
-    usual = np.bincount(np.concatenate(unlabelled), minlength=DIMENSIONS)
+    seen, usual = _documents_with(positive), _documents_with(unlabelled)
     lifted = seen / len(positive) >= LEAST_LIFT * usual / len(unlabelled)
     used = np.flatnonzero(lifted & (seen >= min(LEAST_DOCUMENTS, max(3, len(positive) // 16))))
-    place = np.full(DIMENSIONS, -1)
+    place = np.full(DIMENSIONS, -1, np.int32)
     place[used] = np.arange(len(used))
-    words = [place[w] for w in (*positive, *unlabelled)]
-    words = [w[w >= 0] for w in words]
+    words = [w[w >= 0] for w in (place[x] for x in (*positive, *unlabelled))]
     row = np.repeat(np.arange(len(words)), [len(w) for w in words])
     column = np.concatenate(words)
     n_pos, n_all = len(positive), len(words)
@@ -126,7 +132,7 @@ def train(docs: DataFrame, confirmed: DataFrame, prior: float) -> tuple[np.ndarr
     data, offsets = data.view(np.uint32), offsets // 4
     sides: dict[bool, list[np.ndarray]] = {True: [], False: []}
     for i, positive in enumerate(found.column("positive").to_pylist()):
-        sides[positive].append(data[offsets[i] : offsets[i + 1]].astype(np.int64))
+        sides[positive].append(data[offsets[i] : offsets[i + 1]])
     return fit(sides[True], sides[False], prior)
 
 
