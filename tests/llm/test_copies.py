@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinsieve.llm import components, fingerprints, jaccard, suffixes
 
@@ -63,6 +64,27 @@ def test_suffix_dedup_equals_brute_force(spark, texts, monkeypatch, width, block
     assert found == removed(rows, width)
 
 
+@pytest.mark.parametrize("sample", [0, 16 << 20])
+def test_suffix_dedup_spreads_the_strings_of_one_anchor(spark, monkeypatch, sample):
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 4_000)
+    monkeypatch.setattr(suffixes, "SAMPLE_BYTES", sample)
+    rng = random.Random(5)
+    phrase = "the same sixteen and some bytes"
+    rows = [(i, f"{rng.getrandbits(160):040x}{phrase}{rng.getrandbits(160):040x}") for i in range(600)]
+    rows += [(i + 600, rows[i][1][8:] + "x") for i in range(0, 600, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffixes.remove_repeats(df).collect()
+    assert sorted((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))) for r in got) == removed(rows, 50)
+    texts = df.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("mark"))
+    blocks = 23
+    by_text = texts.withColumn("text_block", F.pmod("mark", F.lit(blocks)).cast("int")).groupBy("text_block")
+    hot = suffixes.hot_anchors(texts, 90_000, 50, blocks)
+    assert (len(hot) > 0) == (sample > 0)
+    passages = suffixes._passages(texts, by_text, 50, blocks, hot)
+    sizes = [r.n for r in passages.groupBy("block").agg(F.sum(F.length("passages")).alias("n")).collect()]
+    assert max(sizes) < 4 * sum(sizes) / blocks
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
