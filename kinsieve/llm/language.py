@@ -14,10 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinsieve.llm.arrays import bucketed, joined, mixed, sliced
+from kinsieve.llm.arrays import binaries, bucketed, joined, mixed, sliced
+from kinsieve.session import written
 
 GRAM = 4
-SLOTS = 1 << 22
+LEAST_SLOTS = 1 << 22
+MOST_SLOTS = 1 << 26
+FULLEST = 0.3
 HASHES = 2
 PARTS = 64
 LEAST_SEEN = 3
@@ -57,8 +60,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return rows[:size][whole], mixed(value[whole])
 
 
-def _slots(hashes: np.ndarray) -> list[np.ndarray]:
-    return [((hashes >> np.uint64(32 * i)) % np.uint64(SLOTS)).astype(np.int64) for i in range(HASHES)]
+def _slots(hashes: np.ndarray, size: int) -> list[np.ndarray]:
+    return [((hashes >> np.uint64(32 * i)) % np.uint64(size)).astype(np.int64) for i in range(HASHES)]
 
 
 def _counted(languages: list[str], buckets: int):
@@ -76,9 +79,12 @@ def _counted(languages: list[str], buckets: int):
     return count
 
 
-def _chosen(totals: list[float], width: int):
+LEVELS = 40  # doublings of LEAST_SEEN that are told apart
+
+
+def _chosen(totals: list[float]):
     """Languages of each n-gram: seen often enough, and not much rarer than in the language where it is most
-    common; then its slots, dealt to the parts of the filter."""
+    common. Each has a level: 0 if it has not the n-gram, 1 from LEAST_SEEN on, one more for every doubling."""
 
     def choose(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         found, index = np.unique(joined(table.column("grams"), np.uint64), return_inverse=True)
@@ -86,21 +92,48 @@ def _chosen(totals: list[float], width: int):
         seen = np.bincount(index * len(totals) + langs, counts, len(found) * len(totals)).reshape(-1, len(totals))
         rate = seen / np.maximum(np.array(totals), 1)
         has = (seen >= LEAST_SEEN) & (rate >= LEAST_SHARE * rate.max(axis=1, keepdims=True))
-        masks = np.packbits(has, axis=1, bitorder="little")
+        levels = np.where(has, np.clip(1 + np.floor(np.log2(np.maximum(seen, 1) / LEAST_SEEN)), 1, LEVELS), 0).astype(np.uint8)
         used = has.any(axis=1)
-        slots = np.concatenate(_slots(found[used]))
-        masks = np.concatenate([masks[used]] * HASHES)
-        rows = bucketed(slots // (SLOTS // PARTS), {"slots": slots, "masks": np.ascontiguousarray(masks).view(f"V{width}").ravel()}, "part")
-        return pa.Table.from_batches([rows])
+        sizes = [np.bincount(x, minlength=LEVELS + 1)[1:] for x in levels.T]
+        columns = {"grams": found[used], "levels": levels[used].view(f"V{len(totals)}").ravel(), "sizes": np.concatenate(sizes).astype(np.int64)}
+        return pa.table([binaries(x, [len(x)]) for x in columns.values()], names=list(columns))
 
     return choose
 
 
-def _merged(width: int):
+def _sized(sizes: np.ndarray) -> tuple[int, np.ndarray]:
+    """Slots of the filter, and the least level of each language, from the number of n-grams per language and
+    level: as many slots (a power of two) as keep every language's slice at most FULLEST full. Where MOST_SLOTS
+    would not do, the rarer n-grams of that language are left out, so its least rate rises."""
+    slots, room = LEAST_SLOTS, -np.log(1 - FULLEST) / HASHES
+    above = np.cumsum(sizes[:, ::-1], axis=1)[:, ::-1]  # n-grams of at least each level
+    while slots < MOST_SLOTS and above[:, 0].max() > slots * room:
+        slots *= 2
+    return slots, 1 + (above > slots * room).sum(axis=1)
+
+
+def _placed(slots: int, least: np.ndarray):
+    """Slots and languages of the n-grams, dealt to the parts of the filter."""
+    width = -(-len(least) // 8)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grams, levels in zip(batch.column("grams"), batch.column("levels"), strict=True):
+                found = np.frombuffer(grams.as_py(), np.uint64)
+                has = np.frombuffer(levels.as_py(), np.uint8).reshape(-1, len(least)) >= least
+                used = has.any(axis=1)
+                at = np.concatenate(_slots(found[used], slots))
+                masks = np.concatenate([np.packbits(has[used], axis=1, bitorder="little")] * HASHES)
+                yield bucketed(at // (slots // PARTS), {"slots": at, "masks": np.ascontiguousarray(masks).view(f"V{width}").ravel()}, "part")
+
+    return place
+
+
+def _merged(size: int, width: int):
     def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        slots = joined(table.column("slots"), np.int64) % (SLOTS // PARTS)
+        slots = joined(table.column("slots"), np.int64) % size
         masks = joined(table.column("masks"), np.uint8).reshape(-1, width)
-        part = np.zeros((SLOTS // PARTS, width), np.uint8)
+        part = np.zeros((size, width), np.uint8)
         np.bitwise_or.at(part, slots, masks)
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([part.tobytes()], pa.binary())})
 
@@ -110,21 +143,27 @@ def _merged(width: int):
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """The languages of `docs` (columns text and lang) and their common filter, from all rows with both.
 
-    The filter has SLOTS slots of one bit per language, whatever the size of the corpus; its parts are put
-    together by tasks and only they come to the driver. The list of languages is taken to be short.
+    The n-grams are counted first and the filter is sized from that count, up to MOST_SLOTS slots of one bit
+    per language; its parts are put together by tasks and only they come to the driver. The list of languages
+    is taken to be short.
     """
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
     sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).cast("double").alias("chars")).orderBy("lang").collect()
     languages, totals = [r["lang"] for r in sizes], [r["chars"] for r in sizes]
     width = -(-len(languages) // 8) or 1
-    bits = np.zeros((SLOTS, width), np.uint8)
-    if languages:
-        buckets = max(8, int(sum(totals) // (64 << 20)))
-        counted = rows.mapInArrow(_counted(languages, buckets), "bucket int, n long, grams binary, counts binary, langs binary")
-        chosen = counted.groupBy("bucket").applyInArrow(_chosen(totals, width), "part int, n long, slots binary, masks binary")
-        for row in chosen.groupBy("part").applyInArrow(_merged(width), "part int, bits binary").collect():
-            step = SLOTS // PARTS
-            bits[row["part"] * step : (row["part"] + 1) * step] = np.frombuffer(row["bits"], np.uint8).reshape(-1, width)
+    if not languages:
+        return languages, np.zeros((LEAST_SLOTS, width), np.uint8)
+    buckets = max(8, int(sum(totals) // (64 << 20)))
+    counted = rows.mapInArrow(_counted(languages, buckets), "bucket int, n long, grams binary, counts binary, langs binary")
+    chosen = written(counted.groupBy("bucket").applyInArrow(_chosen(totals), "grams binary, levels binary, sizes binary"), "grams")
+    found = np.zeros((len(languages), LEVELS), np.int64)
+    for row in chosen.select("sizes").toLocalIterator():
+        found += np.frombuffer(row["sizes"], np.int64).reshape(found.shape)
+    slots, least = _sized(found)
+    bits, step = np.zeros((slots, width), np.uint8), slots // PARTS
+    placed = chosen.select("grams", "levels").mapInArrow(_placed(slots, least), "part int, n long, slots binary, masks binary")
+    for row in placed.groupBy("part").applyInArrow(_merged(step, width), "part int, bits binary").toLocalIterator():
+        bits[row["part"] * step : (row["part"] + 1) * step] = np.frombuffer(row["bits"], np.uint8).reshape(-1, width)
     return languages, bits
 
 
@@ -137,7 +176,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     the outputs are replaced. No shuffle.
     """
     languages, bits = model
-    shared = docs.sparkSession.sparkContext.broadcast(bits)  # of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(bits)  # of bounded size
     filled = np.array([((bits[:, i // 8] >> (i % 8)) & 1).mean() for i in range(len(languages))])
     false = filled**HASHES
 
@@ -148,7 +187,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
             lettered = [t is not None and any(map(str.isalpha, t)) for t in texts]
             rows, hashes = grams([t or "" for t in texts])
             size = np.bincount(rows, minlength=len(texts)).astype(float)
-            first, *others = _slots(hashes)
+            first, *others = _slots(hashes, len(bits))
             masks = bits[first]
             for slots in others:
                 masks &= bits[slots]

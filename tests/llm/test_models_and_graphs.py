@@ -5,6 +5,7 @@ import os
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +190,26 @@ def test_language_on_held_out_rows(spark):
     assert named[-1] == named[-2] == named[-3] == "und" and named[None] == "en" and named[-4] in {"de", "en", "es", "fr"}
 
 
+@pytest.mark.parametrize("most", [1 << 26, 1 << 22])
+def test_language_filter_is_sized_for_its_ngrams(spark, monkeypatch, most):
+    monkeypatch.setattr(language, "MOST_SLOTS", most, raising=False)
+    rng = np.random.default_rng(6)
+    # an alphabet of 8,000 signs: about 1.5 million 4-grams, each three times, and 500 of them often
+    signs = ["".join(map(chr, rng.integers(0x4E00, 0x4E00 + 8_000, 1_000))) for _ in range(1_500)]
+    often = [signs[0][:500] * 3] * 40
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    known = [word() for _ in range(200)]
+    latin = [" ".join(rng.choice(known, 40)) for _ in range(400)]
+    rows = [(t, "signs") for t in signs * 3 + often] + [(t, "latin") for t in latin]
+    model = language.learn(spark.createDataFrame(rows, "text string, lang string").repartition(8))
+    assert model[0] == ["latin", "signs"]
+    assert all(0 < ((model[1][:, 0] >> i) & 1).mean() <= 0.3 for i in range(2))
+    texts = [*((t, "latin") for t in latin[:50]), (signs[0][:500], "signs")]
+    texts += [(t[:200], "signs") for t in signs[1:50]] if most > 1 << 22 else []
+    got = language.predict(spark.createDataFrame(texts, "text string, want string"), model).collect()
+    assert all(r.lang_pred == r.want and r.score > 0.9 for r in got)
+
+
 def test_language_without_training_rows(spark):
     df = spark.createDataFrame([(4, "abc", None)], "doc_id long, text string, lang string")
     assert [tuple(r) for r in language.identify(df).select("lang_pred", "score").collect()] == [("und", 0.0)]
