@@ -2,7 +2,7 @@
 
 Toxic documents go, one document of each group of near duplicates stays (that of the smallest doc_id), passages
 that an earlier document has as well are cut out, the rest is laid out in the mix of its sources, and tokens are
-written. Every stage works on all that its predecessor kept. Rows with a missing text pass through all stages
+written in that order. Every stage works on all that its predecessor kept. Rows with a missing text pass through all stages
 (they have no tokens), rows with a missing doc_id are nobody's duplicate, and extra columns are carried along up
 to the last stage.
 """
@@ -10,7 +10,9 @@ to the last stage.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinsieve.llm import bpe, jaccard, mixing, suffixes, toxicity
@@ -49,13 +51,33 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_mixed_order(docs, MIX_WEIGHTS)
 
 
+def placed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """`docs` with `position`, the number of each row in the order of files and of the rows in them. A scan
+    deals out files by size, so that order is lost unless it is read from the files. A frame that is no plain
+    scan is written first."""
+    file = F.col("_metadata.file_name")
+    try:
+        docs.select(file)
+    except AnalysisException:
+        docs = written(docs, "placed")
+    # one row per file comes to the driver
+    counts = sorted(map(tuple, docs.groupBy(file.alias("__file")).agg(F.count("*")).collect()))
+    before = [(name, rows) for (name, _), rows in zip(counts, accumulate((n for _, n in counts), initial=0), strict=False)]
+    before = spark.createDataFrame(before, "__file string, __before long")
+    rows = docs.select("*", file.alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    rows = rows.join(F.broadcast(before), "__file")
+    return rows.withColumn("position", F.col("__before") + F.col("__row")).drop("__file", "__row", "__before")
+
+
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text (packed unsigned 32-bit integers), and whether they decode to it."""
+    """Token ids of every text (packed unsigned 32-bit integers), and whether they decode to it, laid out by the
+    position in the mix."""
     path = tokenizer_path()
-    rows = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
+    rows = placed(spark, docs).select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"), "position")
+    rows = rows.repartitionByRange("position").sortWithinPartitions("position")
     both = bpe.decode(bpe.encode(rows, path), path)
     n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
-    return both.select("doc_id", "lang", "source", n_tokens, "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
+    return both.select("doc_id", "lang", "source", n_tokens, "ids", (F.col("decoded") == F.col("text")).alias("round_trip"), "position")
 
 
 STAGES: list[tuple[str, Stage]] = [

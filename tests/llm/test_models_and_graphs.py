@@ -265,3 +265,25 @@ def test_pipeline_stages(spark):
 def test_pipeline_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 150 and os.path.exists(tokenizer_path())
+
+
+def test_pipeline_run_follows_the_mix(spark, tmp_path):
+    rng = random.Random(9)
+    # src1 runs out after 900 rows; the rest of src0, in the last files, is the largest part if its texts are sorted so
+    docs = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(30)), "en", "src1" if i % 5 == 4 else "src0") for i in range(1_500)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    late = mixing.mix(docs, corpus_pipeline.MIX_WEIGHTS).filter("position > 1400").select(F.col("doc_id").alias("late"))
+    long = F.concat("text", F.repeat(F.concat(F.lit(" "), F.sha2("text", 512)), 1), *[F.concat(F.lit(" "), F.sha2(F.concat("text", F.lit(str(i))), 512)) for i in range(20)])
+    docs = docs.join(late, docs.doc_id == late.late, "left").withColumn("text", F.when(F.col("late").isNotNull(), long).otherwise(F.col("text"))).drop("late")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a file per partition, as with large data
+    try:
+        rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(rows) == 1_500
+    for t in range(32, 900, 32):
+        assert abs(sum(r.source == "src0" for r in rows[:t]) - t * 2 / 3) <= 32
+    assert [r.position for r in rows] == list(range(1_500))
