@@ -6,6 +6,7 @@ link to what the rules block. Both are personalised PageRanks over the edges bet
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -13,8 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kinsieve.session import written
 
 DAMPING = 0.85
-ROUNDS = 20
 SETTLED = 1e-4
+ROUNDS = math.ceil(math.log(SETTLED, DAMPING)) + 1  # after these a seed's mass moves nothing by more than SETTLED
 THRESHOLD = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -56,7 +57,8 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
     `seeds` has the same columns. A host passes DAMPING of its trust on to the hosts it links to, and of its
     distrust to those that link to it, in proportion to the number of links. Every round is one join and one
-    aggregate, written to the shared folder; the rounds end when nothing moves by more than SETTLED.
+    aggregate, written to the shared folder; the rounds end when nothing moves by more than SETTLED. Their
+    bound grows with the logarithm of the mass of all seeds, as one host may gather it.
     """
     forward = edges.join(edges.groupBy("a").agg(F.sum("n").alias("all")), "a")
     back = edges.join(edges.groupBy("b").agg(F.sum("n").alias("all")), "b")
@@ -68,7 +70,8 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     start = seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "mass"))
     start = written(start.filter("mass > 0"), "seeds")
     now = start
-    for _ in range(ROUNDS):
+    mass = start.agg(F.sum("mass")).first()[0] or 0.0
+    for _ in range(ROUNDS + math.ceil(math.log(1 / max(1.0, mass), DAMPING))):
         moved = flows.join(now.withColumnRenamed("host", "source"), ["kind", "source"]).select("kind", "host", (F.col("mass") * F.col("share") * DAMPING).alias("mass"))
         following = moved.unionByName(start.select("kind", "host", "mass")).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
         following = written(following, "ranks")
@@ -77,6 +80,8 @@ def propagate(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         now = following
         if most <= SETTLED:
             break
+    else:
+        raise RuntimeError("ranks did not settle")
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("mass"))), F.lit(0.0)).alias(kind)
     return now.groupBy("host").agg(of("trust"), of("distrust"))
 

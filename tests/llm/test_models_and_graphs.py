@@ -177,6 +177,15 @@ def test_link_graph_against_plain_iteration(spark):
         assert trust == pytest.approx(now[h][0], abs=0.02) and distrust == pytest.approx(now[h][1], abs=0.02)
 
 
+def test_link_graph_reaches_the_end_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(25)], "a string, b string, n long")
+    seeds = spark.createDataFrame([("h0", 1.0, 0.0), ("h25", 0.0, 1.0)], "host string, trust double, distrust double")
+    got = {r.host: (r.trust, r.distrust) for r in urlgraph.propagate(edges, seeds).collect()}
+    assert len(got) == 26
+    for i in range(26):
+        assert got[f"h{i}"] == pytest.approx((urlgraph.DAMPING**i, urlgraph.DAMPING ** (25 - i)))
+
+
 @tables
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
