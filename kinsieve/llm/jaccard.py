@@ -333,10 +333,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # equal sets are linked to their smallest document, which stands for them from here on
     known = sizes.filter("n_shingles > 0")
     heads = known.groupBy("key", "n_shingles").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    copies = known.join(heads, ["key", "n_shingles"]).filter("doc_id <> a").select("a", F.col("doc_id").alias("b"))
-    copies = written(copies.distinct(), "copies")
+    copies = known.join(heads, ["key", "n_shingles"]).filter("doc_id <> a").select("a", "doc_id", "key", "n_shingles")
+    copied = written(copies.distinct(), "copies")
+    copies = copied.select("a", F.col("doc_id").alias("b"))
+    # an id that stands on another text as well is no mere copy
+    only = copied.select("doc_id").distinct()
+    more = known.join(only, "doc_id", "left_semi").join(copied, ["doc_id", "key", "n_shingles"], "left_anti").select("doc_id")
+    only = only.join(more, "doc_id", "left_anti").withColumnRenamed("doc_id", "node")
     candidates = connected(ties, "candidates")
-    candidates = candidates.join(copies.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
+    candidates = candidates.join(only, "node", "left_anti")
     # a component of copies of one set has nothing left to multiply
     several = candidates.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
     links = _links(rows, written(candidates.join(several, "component").select("node", "component"), "candidates"))

@@ -136,6 +136,10 @@ def test_jaccard_edges(spark):
     twice = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (4, "A b c d e f")], "doc_id long, text string")
     assert sorted(map(tuple, jaccard.near_duplicates(twice).collect())) == [(4, 2, 4), (5, 2, 4), (5, 2, 4)]
 
+    x, z = "a b c d e f g h", " ".join(f"z{i}" for i in range(60))
+    rows = spark.createDataFrame([(2, x), (5, x), (5, z), (9, z + " end")], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.near_duplicates(rows).collect())) == [(2, 4, 2), (5, 4, 2), (5, 56, 2), (9, 57, 2)]
+
 
 def test_components(spark):
     rng = random.Random(4)
