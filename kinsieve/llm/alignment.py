@@ -15,24 +15,28 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kinsieve.llm.arrays import binaries, sliced
+from kinsieve.llm.arrays import binaries, sliced, spans
 from kinsieve.operators.joins import salted_join
 from kinsieve.session import written
 
 SLICE_BYTES = 1 << 20
-# a longer text is encoded in parts of about this many bytes, cut where no token can reach across
-PART_CHARS = 1 << 18
+# aligned words that a task keeps: so many, or of so many characters in all
+KEPT_WORDS = 600_000
+KEPT_CHARS = 16 << 20
+WORDS_AT_ONCE = 500
 # a text that stands on at least this share of all rows is joined with salts; there are at most 100 of them
 HOT_SHARE = 0.01
 
 _MEASURES = "key string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 _ALIGNED = f"{_MEASURES}, copies long, pairs binary, seen binary"
-_CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+# a single space within a text: both tokenizers begin a token there
+_SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Tokenizers:
@@ -62,7 +66,7 @@ class Tokenizers:
         self.length_a = np.array([len(t) for t in self.bytes_a], np.int64)
         self.length_b = np.array([len(t) for t in self.bytes_b], np.int64)
         # no piece holds a space behind another sign, so none reaches over a single space within a text
-        self.parts = not any(b" " in t.lstrip(b" ") for t in self.bytes_b)
+        self.apart = not any(b" " in t.lstrip(b" ") for t in self.bytes_b)
         self.pairs = self._possible()
         spelt = lambda n: np.array([f"{i}{end}".encode() for i in range(n) for end in (",", "|", ";")], object)
         self.spelt = spelt(max(len(self.bytes_a), len(self.bytes_b)))
@@ -85,52 +89,64 @@ class Tokenizers:
         pairs |= {(b, a) for b, token in enumerate(self.bytes_b) for i in range(len(token)) for a in of_a.get(token[i:], ())}
         return np.sort(np.array([b << 32 | a for b, a in pairs], np.int64))
 
-    def cut(self, text: str) -> list[str]:
-        """The text in parts that are encoded apart with the same result; the space between two parts is the one that both
-        tokenizers are given before a text."""
-        if len(text) <= PART_CHARS or not self.parts:
-            return [text]
-        parts, begin = [], 0
-        while len(text) - begin > PART_CHARS:
-            place = _CUT.search(text, begin + PART_CHARS)
-            if place is None:
-                break
-            parts.append(text[begin : place.start()])
-            begin = place.end()
-        return [*parts, text[begin:]]
-
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of both tokenizers for each text; none where the joined bytes of either differ from a space and the text."""
-        found_a, found_b = [], []
-        empty = np.zeros(0, np.int64)
-        for text in texts:
-            parts = self.cut(text) if text else []
-            ids_a = [e.ids for e in self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)]
-            ids_b = self.b.encode(parts, num_threads=1) if parts else []
-            whole = (" " + text).encode()
-            same = all(
-                b"".join([tokens[i] for ids in lists for i in ids]) == whole
-                for lists, tokens in ((ids_a, self.bytes_a), (ids_b, self.bytes_b))
-            )
-            same = same and bool(text)
-            found_a.append(np.fromiter((i for ids in ids_a for i in ids), np.int64) if same else empty)
-            found_b.append(np.fromiter((i for ids in ids_b for i in ids), np.int64) if same else empty)
-        return found_a, found_b
-
-    def align(self, texts: list[str]):
-        """Per text: tokens of A, tokens of B, groups and the groups written out; and the pair numbers of all links."""
-        lists_a, lists_b = self.encode(texts)
-        n_a, n_b = (np.array([len(x) for x in lists], np.int64) for lists in (lists_a, lists_b))
-        a, b = np.concatenate(lists_a), np.concatenate(lists_b)
+    def words(self, text: str) -> list[str]:
+        """The text cut at single spaces, where no token reaches across: a word with a space before it has the same tokens
+        by itself. The space is the one that both tokenizers are given before a text."""
+        if not text:
+            return []
+        return _SINGLE_SPACE.split(text) if self.apart else [text]
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of both tokenizers, word after word, and how many each word has; none where the joined bytes of either
+        differ from a space and the word."""
+        found = self._together(words) if self.apart else None
+        if found is None:
+            found = self._one_by_one(words)
+        return found
+
+    def _together(self, words: list[str]):
+        """Many words in one call; only if every word comes back."""
+        some = [" ".join(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+        found_a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in some], add_special_tokens=False)]
+        found_b = self.b.encode(some, num_threads=1)
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        whole = (" " + " ".join(words)).encode()
+        arrays, counts = [], []
+        for lists, tokens, length in ((found_a, self.bytes_a, self.length_a), (found_b, self.bytes_b, self.length_b)):
+            if b"".join(map(tokens.__getitem__, chain(*lists))) != whole:
+                return None
+            ids = np.fromiter(chain(*lists), np.int64, sum(map(len, lists)))
+            token_ends = np.cumsum(length[ids])
+            behind = np.searchsorted(token_ends, ends, "right")
+            if (token_ends[behind - 1] != ends).any():
+                return None
+            arrays.append(ids)
+            counts.append(np.diff(behind, prepend=0))
+        return (*arrays, *counts)
+
+    def _one_by_one(self, words: list[str]):
+        found_a = [e.ids for e in self.a.encode_batch([" " + w for w in words], add_special_tokens=False)]
+        found_b = self.b.encode(words, num_threads=1)
+        for i, word in enumerate(words):
+            spelt_a, spelt_b = b"".join([self.bytes_a[x] for x in found_a[i]]), b"".join([self.bytes_b[x] for x in found_b[i]])
+            if not spelt_a == spelt_b == (" " + word).encode():
+                found_a[i] = found_b[i] = []
+        counts = [np.array([len(x) for x in lists], np.int64) for lists in (found_a, found_b)]
+        arrays = [np.fromiter(chain(*lists), np.int64, int(n.sum())) for lists, n in zip((found_a, found_b), counts, strict=True)]
+        return (*arrays, *counts)
+
+    def align(self, words: list[str]):
+        """Per word: tokens of A, tokens of B, groups and the groups written out; and the pair numbers of all links."""
+        a, b, n_a, n_b = self.encode(words)
         ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
         size = int(ends_a[-1]) if len(a) else 0
         at_a, at_b = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
         at_a[ends_a], at_b[ends_b] = True, True
-        # a text ends with both, so groups never cross texts
+        # a word ends with both, so groups never cross words
         cut_a, cut_b = at_b[ends_a], at_a[ends_b]
         links = np.searchsorted(self.pairs, b[cut_b] << 32 | a[cut_a]).astype(np.int32)
-        text_a = np.repeat(np.arange(len(texts)), n_a)
-        n_groups = np.bincount(text_a[cut_a], minlength=len(texts)).astype(np.int64)
+        word_a = np.repeat(np.arange(len(words)), n_a)
+        n_groups = np.bincount(word_a[cut_a], minlength=len(words)).astype(np.int64)
 
         # groups in a row: the tokens of A, then those of B
         group_a, group_b = (np.cumsum(cut) - cut for cut in (cut_a, cut_b))
@@ -146,6 +162,58 @@ class Tokenizers:
         return n_a, n_b, n_groups, groups, links
 
 
+class AlignedWords:
+    """Words with their alignment, each computed when it first comes up. A text's alignment is that of its words in a row."""
+
+    def __init__(self, both: Tokenizers):
+        self.both = both
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.chars = 0
+        self.groups: list[bytes] = []
+        self.n_a = self.n_b = self.n_groups = np.zeros(0, np.int64)
+        self.links = np.zeros(0, np.int32)
+
+    def learn(self, words: list[str]) -> None:
+        fresh = sorted(set(words).difference(self.number))
+        if not fresh:
+            return
+        n_a, n_b, n_groups, groups, links = self.both.align(fresh)
+        self.number |= {w: i for i, w in enumerate(fresh, start=len(self.number))}
+        self.chars += sum(map(len, fresh))
+        self.groups += groups
+        self.n_a, self.n_b = np.append(self.n_a, n_a), np.append(self.n_b, n_b)
+        self.n_groups, self.links = np.append(self.n_groups, n_groups), np.append(self.links, links)
+
+    def align(self, texts: list[str]):
+        """As `Tokenizers.align`, for whole texts; a text with a word that does not come back has nothing."""
+        if len(self.number) > KEPT_WORDS or self.chars > KEPT_CHARS:
+            self.forget()
+        cut = [self.both.words(t) for t in texts]
+        words = [w for part in cut for w in part]
+        self.learn(words)
+        numbers = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        n_words = np.array([len(part) for part in cut], np.int64)
+        ends = np.cumsum(n_words)
+
+        def summed(values: np.ndarray) -> np.ndarray:
+            upto = np.concatenate([[0], np.cumsum(values)])
+            return upto[ends] - upto[ends - n_words]
+
+        fine = summed(self.n_a[numbers] == 0) == 0
+        kept = numbers[np.repeat(fine, n_words)]
+        begins = np.cumsum(self.n_groups) - self.n_groups
+        links = self.links[spans(begins[kept], self.n_groups[kept])]
+        groups = [
+            b";".join([self.groups[i] for i in numbers[e - n : e].tolist()]) if ok else b""
+            for e, n, ok in zip(ends.tolist(), n_words.tolist(), fine.tolist(), strict=True)
+        ]
+        n_a, n_b, n_groups = (np.where(fine, summed(x[numbers]), 0) for x in (self.n_a, self.n_b, self.n_groups))
+        return n_a, n_b, n_groups, groups, links
+
+
 @lru_cache(maxsize=1)
 def tokenizers(byte_level: str, pieces: str) -> Tokenizers:
     """Read once per Python worker; both files lie at the same paths on every node."""
@@ -156,11 +224,11 @@ def _align(byte_level: str, pieces: str):
     """A row per distinct text with its links; then one row per task with how often each pair was seen."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = tokenizers(byte_level, pieces)
-        seen = np.zeros(len(both.pairs), np.int64)
+        known = AlignedWords(tokenizers(byte_level, pieces))
+        seen = np.zeros(len(known.both.pairs), np.int64)
         names = [part.split(" ")[0] for part in _ALIGNED.split(", ")]
         for batch in sliced(batches, "text", SLICE_BYTES):
-            n_a, n_b, n_groups, groups, links = both.align(batch.column("text").to_pylist())
+            n_a, n_b, n_groups, groups, links = known.align(batch.column("text").to_pylist())
             copies = np.asarray(batch.column("copies"))
             # whole numbers below 2**53 are exact as weights
             seen += np.bincount(links, np.repeat(copies, n_groups), len(seen)).astype(np.int64)
@@ -212,7 +280,8 @@ def align(docs: DataFrame, byte_level: str, pieces: str, text: str = "text") ->
 
     A missing or empty text, or one that either tokenizer does not give back byte by byte, has zeros and an empty digest. Equal
     texts get equal measures. An empty table gives no rows. Extra columns are kept; one that is called like an
-    output column is replaced. Very long texts are encoded in parts cut at single spaces, with the same tokens.
+    output column is replaced. Texts are cut at single spaces, which no token crosses, and each word is encoded and aligned
+    when a task first meets it; a very long text is thus handled word by word.
     """
     spark = docs.sparkSession
     names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

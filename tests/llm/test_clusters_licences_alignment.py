@@ -233,16 +233,21 @@ def test_alignment_query_like_plain_loop(spark):
     assert got == expected
 
 
-def test_long_texts_are_cut_without_a_trace(monkeypatch):
+def test_texts_are_cut_into_words_without_a_trace(monkeypatch):
     both = alignment.tokenizers(tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
-    assert both.parts
-    words = np.random.default_rng(4).choice(["some", "words", "and", "x1", "  ", "don't", "end.\n", "é", "," * 9], 4000)
-    text = " ".join(words)
-    whole = both.align([text, "next one"])
-    monkeypatch.setattr(alignment, "PART_CHARS", 100)
-    assert len(both.cut(text)) > 50 and " ".join(both.cut(text)) == text
-    for x, y in zip(whole, both.align([text, "next one"]), strict=True):
-        assert list(x) == list(y)
+    assert both.apart
+    words = np.random.default_rng(4).choice(["some", "words", "and", "x1", "  ", "don't", "end.\n", "é", "," * 9, "\u0301", "\x1c", "　", "日本"], 4000)
+    texts = [" ".join(words), "", "next one", " ", " ".join(words[:9]), "x" * 5000]
+    assert " ".join(both.words(texts[0])) == texts[0] and len(both.words(texts[0])) > 1000
+    monkeypatch.setattr(both, "apart", False)
+    whole = both.align(texts)
+    monkeypatch.undo()
+    for kept in (10**6, 0):
+        monkeypatch.setattr(alignment, "KEPT_WORDS", kept)
+        known = alignment.AlignedWords(both)
+        known.align(texts[3:])
+        for x, y in zip(whole, known.align(texts), strict=True):
+            assert list(x) == list(y)
 
 
 def test_every_linked_pair_is_possible():
