@@ -220,11 +220,17 @@ def tokenizers(byte_level: str, pieces: str) -> Tokenizers:
     return Tokenizers(byte_level, pieces)
 
 
+@lru_cache(maxsize=1)
+def aligned_words(byte_level: str, pieces: str) -> AlignedWords:
+    """Kept over the tasks of a Python worker; what a text gets does not depend on what is known already."""
+    return AlignedWords(tokenizers(byte_level, pieces))
+
+
 def _align(byte_level: str, pieces: str):
     """A row per distinct text with its links; then one row per task with how often each pair was seen."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = AlignedWords(tokenizers(byte_level, pieces))
+        known = aligned_words(byte_level, pieces)
         seen = np.zeros(len(known.both.pairs), np.int64)
         names = [part.split(" ")[0] for part in _ALIGNED.split(", ")]
         for batch in sliced(batches, "text", SLICE_BYTES):
