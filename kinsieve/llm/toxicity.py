@@ -26,6 +26,8 @@ LEAST_LIFT = 2.0
 STEPS = 300
 RATE = 0.05
 DECAY = 0.35
+# hashing takes some 45 bytes per byte of text, in a worker per core
+PIECE_BYTES = 1 << 20
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -42,15 +44,34 @@ _CODE, _GAP = _tables()
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row and feature of each distinct word and word beginning of each text, ordered by row. Digits and punctuation part words."""
+    """Row and feature of each distinct word and word beginning of each text, ordered by row. Digits and punctuation part words.
+    A text of more than PIECE_BYTES is hashed in pieces, cut between words."""
     data, offsets = flat(column)
-    hashes, rows = word_hashes(data, offsets, _CODE, _GAP, PREFIXES)
-    keys = np.unique((rows.astype(np.uint64) << np.uint64(32)) | (hashes % np.uint64(DIMENSIONS)))
+    found = [np.zeros(0, np.uint64)]
+    begin = 0
+    while begin < len(data):
+        end = _piece_end(data, begin)
+        first, last = np.searchsorted(offsets, begin, "right") - 1, np.searchsorted(offsets, end, "left")
+        hashes, rows = word_hashes(data[begin:end], np.clip(offsets[first : last + 1], begin, end) - begin, _CODE, _GAP, PREFIXES)
+        found.append(np.unique(((rows + first).astype(np.uint64) << np.uint64(32)) | (hashes % np.uint64(DIMENSIONS))))
+        begin = end
+    keys = np.unique(np.concatenate(found))
     return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
+def _piece_end(data: np.ndarray, begin: int) -> int:
+    """The first place between words from PIECE_BYTES behind `begin` on, or the end."""
+    end = begin + PIECE_BYTES
+    while end < len(data):
+        gaps = np.flatnonzero(_GAP[data[end : end + 4096]])
+        if len(gaps):
+            return end + int(gaps[0])
+        end += 4096
+    return len(data)
+
+
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches, "text"):
+    for batch in sliced(batches, "text", PIECE_BYTES):
         rows, found = features(batch.column("text"))
         ends = np.searchsorted(rows, np.arange(batch.num_rows), "right")
         yield pa.RecordBatch.from_arrays(
@@ -144,7 +165,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
-        for batch in sliced(batches, text):
+        for batch in sliced(batches, text, PIECE_BYTES):
             rows, found = features(batch.column(text))
             total = np.bincount(rows, weights[found], batch.num_rows) + base
             chance = 1 / (1 + np.exp(-np.clip(total, -30, 30)))

@@ -296,3 +296,14 @@ def test_pipeline_run_follows_the_mix(spark, tmp_path):
     for t in range(32, 900, 32):
         assert abs(sum(r.source == "src0" for r in rows[:t]) - t * 2 / 3) <= 32
     assert [r.position for r in rows] == list(range(1_500))
+
+
+def test_toxicity_features_of_pieces(monkeypatch):
+    import pyarrow as pa
+
+    words = ["Word", "another", "ünd", "x", "letters1and2digits", "verylongword" * 3]
+    texts = ["", None, " ".join(words * 40), "word", "", "a" * 500, " ".join(reversed(words * 9)), " "]
+    whole = toxicity.features(pa.array(texts))
+    monkeypatch.setattr(toxicity, "PIECE_BYTES", 50)
+    for x, y in zip(whole, toxicity.features(pa.array(texts)), strict=True):
+        assert x.tolist() == y.tolist()
