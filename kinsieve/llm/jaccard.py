@@ -344,7 +344,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     candidates = candidates.join(only, "node", "left_anti")
     # a component of copies of one set has nothing left to multiply
     several = candidates.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
-    links = _links(rows, written(candidates.join(several, "component").select("node", "component"), "candidates"))
+    candidates = candidates.join(several, "component").select(F.col("node").alias("doc_id"), "component")
+    # what is multiplied where follows from the sizes alone, so that sets are shuffled with their place already known
+    loads = known.groupBy("doc_id").agg(F.sum("n_shingles").alias("entries"))
+    links = _links(rows, written(candidates.join(loads, "doc_id"), "candidates"))
     classes = connected(links.unionByName(copies), "links").withColumnRenamed("node", "doc_id")
     found = sizes.join(classes, "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -359,29 +362,27 @@ def _links(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     size = len(bits) // FILTER_PARTS
-    parts = candidates.select("node").mapInArrow(_filter_parts, "part int, bits binary")
+    parts = candidates.select(F.col("doc_id").alias("node")).mapInArrow(_filter_parts, "part int, bits binary")
     for row in parts.groupBy("part").applyInArrow(_filter_sum, "part int, bits binary").toLocalIterator():
         bits[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
     sets = rows.mapInArrow(_candidate_sets(spark.sparkContext.broadcast(bits)), "doc_id long, entries long, grams binary")
-    # merge joins at any size: a broadcast that only small inputs get would say nothing about large ones
-    members = written(sets.join(candidates.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id"), "members")
-    loads = members.groupBy("component").agg(F.sum("entries").alias("load"), F.count("*").alias("n")).filter("n > 1")
+    loads = candidates.groupBy("component").agg(F.sum("entries").alias("load"))
     total = loads.agg(F.sum("load")).first()[0] or 0
     groups = max(1, int(total // TILE_ENTRIES))
     loads = loads.withColumn("blocks", F.ceil(F.col("load") / TILE_ENTRIES).cast("int"))
-    placed = members.join(loads.hint("merge"), "component")
-    small = placed.filter("blocks <= 1").select(
-        "doc_id", "component", F.lit(0).alias("side"), F.pmod(F.xxhash64("component"), F.lit(groups)).cast("string").alias("at"), "grams"
-    )
+    # merge joins at any size: a broadcast that only small inputs get would say nothing about large ones
+    placed = candidates.join(loads.hint("merge"), "component")
+    whole = F.array(F.struct(F.lit(0).alias("side"), F.pmod(F.xxhash64("component"), F.lit(groups)).cast("string").alias("at")))
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    large = placed.filter("blocks > 1").select("doc_id", "component", "blocks", block.alias("block"), "grams")
     # every pair of blocks is a tile; the lower block is one side, the higher the other
-    tile = F.transform(
+    tiles = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda j: F.struct(
-            F.when(j == F.col("block"), 0).when(F.col("block") < j, 1).otherwise(2).alias("side"),
-            F.concat_ws("-", F.lit("tile"), "component", F.least(j, "block"), F.greatest(j, "block")).alias("at"),
+            F.when(j == block, 0).when(block < j, 1).otherwise(2).alias("side"),
+            F.concat_ws("-", F.lit("tile"), "component", F.least(j, block), F.greatest(j, block)).alias("at"),
         ),
     )
-    large = large.select("doc_id", "component", F.explode(tile).alias("t"), "grams").select("doc_id", "component", "t.side", "t.at", "grams")
-    return small.unionByName(large).groupBy("at").applyInArrow(_multiply, "a long, b long")
+    places = placed.select("doc_id", "component", F.when(F.col("blocks") <= 1, whole).otherwise(tiles).alias("places"))
+    found = sets.select("doc_id", "grams").join(places.hint("merge"), "doc_id")
+    found = found.select("doc_id", "component", F.explode("places").alias("t"), "grams").select("doc_id", "component", "t.side", "t.at", "grams")
+    return found.groupBy("at").applyInArrow(_multiply, "a long, b long")
