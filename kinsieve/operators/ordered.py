@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from kinsieve.operators.quantiles import exact_quantiles as exact_quantiles
 from kinsieve.session import written, written_and_counted
 
 ROWS_PER_BUCKET = 100_000
@@ -265,37 +266,6 @@ def average_ranks(
     return ranked.select(*partition_by, column, rank.alias(name))
 
 
-def exact_quantiles(
-    df: DataFrame,
-    column: str,
-    probs: Sequence[float],
-    names: Sequence[str],
-    partition_by: Sequence[str] = (),
-    rows_per_bucket: int | None = None,
-) -> DataFrame:
-    """Exact quantiles (linear interpolation) per group, one row per group with any value.
-
-    Counts are prefix-summed in buckets and the two neighbours of each target position picked by a partial
-    aggregate, so no group has to fit in a task.
-    """
-    counts, size = value_counts(df, column, partition_by)
-    ordered = OrderedFrame(counts, [asc(column)], partition_by, rows_per_bucket, size)
-    cumulated = ordered.running_sum(F.col("__n"), "__upto", "__total").result()
-    picks = [F.max("__total").alias("__total")]
-    for i, p in enumerate(probs):
-        target = (F.col("__total") - 1) * F.lit(float(p))
-        value = F.col(column).cast("double")
-        picks.append(F.min(F.when(F.col("__upto") > F.floor(target), value)).alias(f"__lo{i}"))
-        picks.append(F.min(F.when(F.col("__upto") > F.ceil(target), value)).alias(f"__hi{i}"))
-    picked = cumulated.groupBy(*partition_by).agg(*picks)
-    columns = []
-    for i, (p, name) in enumerate(zip(probs, names)):
-        target = (F.col("__total") - 1) * F.lit(float(p))
-        low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        columns.append((low + (high - low) * (target - F.floor(target))).alias(name))
-    return picked.select(*partition_by, *columns)
-
-
 def step_distribution(
     df: DataFrame, column: str, partition_by: Sequence[str] = (), rows_per_bucket: int | None = None
 ) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kinsieve.functions.numbers import ratio, round_even
 from kinsieve.functions.tails import t_quantile
 from kinsieve.operators.joins import salted_join
-from kinsieve.operators.ordered import exact_quantiles, with_running_sum
-from kinsieve.session import written
+from kinsieve.operators.ordered import with_running_sum
+from kinsieve.operators.quantiles import exact_quantiles, quantiles as quantiles_of
 
 
 def counts_by(df: DataFrame, *keys, name: str = "n") -> DataFrame:
@@ -41,21 +41,17 @@ def group_stats(
     keys: Sequence[str],
     aggregates: Mapping[str, Column],
     quantiles: Mapping[str, tuple[str, float]] | None = None,
-    rows_per_bucket: int | None = None,
+    refinements: int = 1,
 ) -> DataFrame:
     """Named aggregates per group plus exact quantiles given as {name: (column, probability)}."""
     out = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
-    by_column: dict[str, list[tuple[str, float]]] = {}
-    for name, (column, p) in (quantiles or {}).items():
-        by_column.setdefault(column, []).append((name, p))
-    for column, wanted in by_column.items():
-        part = exact_quantiles(df, column, [p for _, p in wanted], [n for n, _ in wanted], keys, rows_per_bucket)
+    if quantiles:
         # both sides hold one row per group, so no key can be hot
-        out = salted_join(out, part, keys, "left", hot=[], null_safe=True)
+        out = salted_join(out, quantiles_of(df, quantiles, keys, refinements), keys, "left", hot=[], null_safe=True)
     return out
 
 
-def column_summary(df: DataFrame, columns: Sequence[str], rows_per_bucket: int | None = None) -> DataFrame:
+def column_summary(df: DataFrame, columns: Sequence[str], refinements: int = 1) -> DataFrame:
     """Minimum, quartiles, mean, maximum and number of missing values of each numeric column."""
     long = df.select([F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "column_name", "value"
@@ -70,7 +66,7 @@ def column_summary(df: DataFrame, columns: Sequence[str], rows_per_bucket: int |
             "missing": F.count("*") - F.count("value"),
         },
         {"q1": ("value", 0.25), "median": ("value", 0.5), "q3": ("value", 0.75)},
-        rows_per_bucket,
+        refinements,
     )
 
 
@@ -137,11 +133,9 @@ def histogram_by_count(df: DataFrame, column: str, bins: int) -> DataFrame:
     return placed.groupBy(number.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def box_stats(df: DataFrame, column: str, keys: Sequence[str], rows_per_bucket: int | None = None) -> DataFrame:
+def box_stats(df: DataFrame, column: str, keys: Sequence[str], refinements: int = 1) -> DataFrame:
     """Quartiles, whiskers (furthest values within 1.5 interquartile ranges) and outliers per group."""
-    boxes = exact_quantiles(df, column, [0.25, 0.5, 0.75], ["q1", "median", "q3"], keys, rows_per_bucket)
-    # written, so that their size is known: a few groups are broadcast, and the rows stay where they are
-    boxes = written(boxes, "boxes")
+    boxes = exact_quantiles(df, column, [0.25, 0.5, 0.75], ["q1", "median", "q3"], keys, refinements)
     rows = salted_join(df.filter(F.col(column).isNotNull()).select(*keys, column), boxes, keys, "inner", null_safe=True)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col(column).between(F.col("q1") - reach, F.col("q3") + reach)

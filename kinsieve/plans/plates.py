@@ -123,7 +123,7 @@ def qc_join(report: DataFrame, sent: DataFrame, calls: Sequence[str]) -> DataFra
     return both.withColumn("rank_diff", F.col("rank_sent") - F.col("rank_qc"))
 
 
-def qc_summary(compared: DataFrame, rows_per_bucket: int | None = None) -> DataFrame:
+def qc_summary(compared: DataFrame) -> DataFrame:
     """Passed or not, by tissue: counts, extremes and percentiles of both concentrations."""
     return group_stats(
         compared,
@@ -139,5 +139,4 @@ def qc_summary(compared: DataFrame, rows_per_bucket: int | None = None) -> DataF
             "p10_qc": ("qc_conc", 0.1),
             "p50_qc": ("qc_conc", 0.5),
         },
-        rows_per_bucket,
     )

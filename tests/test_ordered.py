@@ -97,11 +97,11 @@ def test_average_rank_sum_and_missing_last(frame):
     assert np.allclose(got.set_index("id")["r"].sort_index(), want.set_index("id")["r"].sort_index())
 
 
-@pytest.mark.parametrize("size", SIZES)
-def test_exact_quantiles(frame, size):
+@pytest.mark.parametrize("refinements", [0, 1, 3])
+def test_exact_quantiles(frame, refinements):
     probs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
     names = [f"q{i}" for i in range(len(probs))]
-    got = o.exact_quantiles(frame, "v", probs, names, ["g"], size).toPandas()
+    got = o.exact_quantiles(frame, "v", probs, names, ["g"], refinements).toPandas()
     known = pandas_frame().dropna(subset=["v"])
     for _, row in got.iterrows():
         x = known[known["g"].isna()] if row["g"] is None else known[known["g"] == row["g"]]
@@ -131,3 +131,51 @@ def test_buckets_stay_balanced_with_a_hot_group(frame):
     cut = o.OrderedFrame(frame, ["id"], ["g"], 20)
     sizes = [r["count"] for r in cut.frame.groupBy("__bucket").count().collect()]
     assert len(sizes) > 8 and max(sizes) < 90
+
+
+def test_order_bins_never_fall(spark):
+    from kinsieve.operators.quantiles import order_bin
+
+    tiny = 5e-324
+    values = [float("-inf"), -1e308, -2.0, -1.0000001, -1.0, -0.5, -1e-300, -tiny, -0.0, 0.0, tiny, 1e-300, 0.1, 0.5, 1.0]
+    values += [1.0 + i * 1e-3 for i in range(1, 3000)] + [7.0, 1e15, 1e308, float("inf"), float("nan")]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", order_bin(o.F.col("v")).alias("b"))
+    bins = [r.b for r in rows.orderBy("i").collect()]
+    assert bins == sorted(bins) and bins[-1] > bins[-2]
+
+
+@pytest.mark.parametrize("refinements", [0, 1, 2])
+def test_positions_in_a_hot_group_and_odd_values(spark, refinements):
+    """A third of all rows in one group, another third tied on one value, groups with few or no values, a missing key."""
+    from kinsieve.operators.quantiles import at_positions, quantiles
+
+    rng = np.random.default_rng(8)
+    rows = [("hot", float(x)) for x in rng.normal(100, 1e-3, 4000)] + [("tied", 5.0)] * 4000
+    rows += [(f"g{i % 900}", float(x)) for i, x in enumerate(rng.standard_cauchy(4000) * 1e6)]
+    rows += [(None, 1.0), (None, -1.0), ("none", None), ("hot", None), ("ends", float("inf")), ("ends", float("-inf")), ("ends", 0.0)]
+    df = spark.createDataFrame([(g, v, None if v is None else -v) for g, v in rows], "g string, v double, w double").repartition(5)
+    every = lambda total: o.F.array(o.F.lit(0), total - 1, o.F.floor(total / 3), total)
+    got = at_positions(df, "v", every, ["g"], refinements).collect()
+    by_group = {}
+    for g, v in rows:
+        if v is not None:
+            by_group.setdefault(g, []).append(v)
+    want = set()
+    for g, x in by_group.items():
+        x.sort()
+        want |= {(g, p, len(x), x[p], sum(y < x[p] for y in x)) for p in (0, len(x) - 1, len(x) // 3)}
+    assert {tuple(r) for r in got} == want
+    one = at_positions(df, "w", lambda total: o.F.array(o.F.lit(7)), refinements=refinements).collect()
+    assert [r.value for r in one] == [sorted(-v for _, v in rows if v is not None)[7]]
+    both = quantiles(df.filter("g <> 'ends'"), {"m": ("v", 0.5), "n": ("w", 0.9), "k": ("v", 0.9)}, ["g"], refinements).collect()
+    assert len(both) == len(by_group) - 2
+    for r in both:
+        x = by_group[r.g]
+        assert np.allclose([r.m, r.n, r.k], [np.quantile(x, 0.5), -np.quantile(x, 0.1), np.quantile(x, 0.9)])
+
+
+def test_quantiles_neither_sort_nor_write(frame):
+    from kinsieve.operators.quantiles import quantiles
+
+    plan = quantiles(frame, {"m": ("v", 0.5)}, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" not in plan.lower() and "rangepartitioning" not in plan

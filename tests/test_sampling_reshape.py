@@ -95,3 +95,36 @@ def test_column_names(spark):
     same = schema.schema_diff(df.select("a_b", "ok"), df.select("ok", "X1st"))
     got = {r.column_name: (r.in_left, r.in_right) for r in same.collect()}
     assert got == {"a_b": (True, False), "ok": (True, True), "X1st": (False, True)}
+
+
+def test_large_samples_are_cut_off_at_the_nth_value(spark, monkeypatch):
+    df = spark.range(3000).select("id", (F.col("id") % 7).alias("w"), F.floor(F.col("id") / 3).alias("third")).repartition(5)
+    key = lambda rows: sorted(map(tuple, rows.collect()))
+    draws = {
+        "plain": lambda: sampling.sample_n(df, 700, ["id"], 1),
+        "weighted": lambda: sampling.weighted_sample_n(df, 700, F.col("w"), ["id"], 1),
+        "logarithm": lambda: sampling.weighted_sample_n(df, 700, F.ln(F.col("w") + 1) * 300, ["id"], 1, log_weight=True),
+        # three rows share each draw
+        "ties": lambda: sampling.first_n(df.withColumn("u", F.col("third").cast("double")), 700, "u", ["id"]),
+        "all": lambda: sampling.sample_n(df, 5000, ["id"], 1),
+        "none": lambda: sampling.sample_n(df.filter("id < 0"), 10, ["id"], 1),
+    }
+    small = {name: key(draw()) for name, draw in draws.items()}
+    monkeypatch.setattr(sampling, "MOST_AT_ONCE", 5)
+    for name, draw in draws.items():
+        large = draw()
+        if name not in ("ties", "none"):
+            assert len(small[name]) in (700, 3000)
+        assert key(large) == small[name], name
+
+
+def test_a_tenth_of_lineitem_without_a_top_n(spark, monkeypatch):
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select("l_orderkey", "l_linenumber")
+    keys = ["l_orderkey", "l_linenumber"]
+    n = lines.count() // 10
+    small = sampling.sample_n(lines, n, keys, 3)
+    monkeypatch.setattr(sampling, "MOST_AT_ONCE", 100)
+    large = sampling.sample_n(lines, n, keys, 3)
+    below = large._jdf.queryExecution().executedPlan().toString()
+    assert f"TakeOrderedAndProject(limit={n}" not in below and large.count() == n
+    assert large.exceptAll(small).count() == 0

@@ -41,7 +41,7 @@ def test_summary_of_columns(spark):
     got = {r.column_name: r for r in summaries.column_summary(df, ["a", "b"]).collect()}
     assert (got["a"].min, got["a"].q1, got["a"].median, got["a"].q3, got["a"].max, got["a"].missing) == (1, 1.5, 2, 3, 4, 1)
     assert got["b"].mean == pytest.approx(17 / 3) and got["b"].missing == 1
-    forced = {r.column_name: r for r in summaries.column_summary(df, ["a", "b"], rows_per_bucket=1).collect()}
+    forced = {r.column_name: r for r in summaries.column_summary(df, ["a", "b"], refinements=3).collect()}
     assert forced == got
 
 
