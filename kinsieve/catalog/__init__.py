@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinsieve.session import staged
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -13,11 +15,12 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its (function) name, with the SQL it must agree with."""
+    """Register a query under its (function) name, with the SQL it must agree with. Within a query, equal
+    stages are written once."""
 
     def register(function: Query) -> Query:
         key = name or function.__name__
-        QUERIES[key] = function
+        QUERIES[key] = staged(function)
         if sql is not None:
             ORACLES[key] = sql
         return function

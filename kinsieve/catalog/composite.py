@@ -31,7 +31,7 @@ from kinsieve.operators.joins import first_per_key, salted_join
 from kinsieve.operators.ordered import asc, desc
 from kinsieve.operators.sampling import sample_n
 from kinsieve.plans import cohort, integrity, plates, report, selection
-from kinsieve.session import written
+from kinsieve.session import shared
 
 C = F.col
 
@@ -237,8 +237,8 @@ def _summary_rows(column):
     UNION ALL {' UNION ALL '.join(_flag_row(f) for f in report.FLAGS)} UNION ALL {' UNION ALL '.join(_summary_rows(c) for c in report.MEASURES)}"""
 )
 def cohort_report(spark, d):
-    people = written(people_of(spark, d), "people")
-    affected = written(report.without_prefixes(affected_once(spark, d, people), EXCLUDED_FAMILIES), "affected")
+    people = shared(people_of(spark, d), "people")
+    affected = shared(report.without_prefixes(affected_once(spark, d, people), EXCLUDED_FAMILIES), "affected")
     return report.cohort_report(affected, report.without_prefixes(people, EXCLUDED_FAMILIES))
 
 
@@ -268,8 +268,8 @@ def cohort_report(spark, d):
 def integrity_report(spark, d):
     log = patient_log(spark, d)
     logged = log.filter(C("site_code") != "HOUSEHOLD")
-    # five checks read the specimen view: it is joined once, written, and read back
-    view = written(cohort.specimen_view(log, specimens(spark, d)), "specimen-view")
+    # five checks read the specimen view: it is joined once
+    view = shared(cohort.specimen_view(log, specimens(spark, d)), "specimen-view")
     dated = view.withColumn("dob", F.coalesce("dob", "subj_dob"))
     return integrity.integrity_report(
         specimens(spark, d), view, dated, logged, log, clinical_updates(spark, d), study_codes(spark, d), ("MAIN", "MAIN-REL"), "MACHINERY"
@@ -332,7 +332,7 @@ scored AS (SELECT c2.*, coalesce(sc, {signif_sql('q', 2)}) AS score FROM c2, cq)
 
 
 def scored_stocks(spark, d):
-    return score_with(spark, d, qualified(spark, d))
+    return score_with(spark, d, shared(qualified(spark, d), "quality"))
 
 
 def score_with(spark, d, quality):
@@ -371,9 +371,9 @@ cohort AS (SELECT stock_id, string_agg(stratum, ',' ORDER BY stratum) AS strata
 
 
 def chosen(spark, d):
-    # the draws read the scores: they are computed once, written, and read back
-    quality = written(qualified(spark, d), "quality")
-    scored = written(score_with(spark, d, quality), "scored")
+    # the draws read the scores: they are computed once
+    quality = shared(qualified(spark, d), "quality")
+    scored = score_with(spark, d, quality)
     keep = specimens(spark, d).filter((C("tissue") != "LRNXP") & C("subject_code").isin(*MULTIPLEX))
     parents = quality.filter(C("relationship").isin(*codes.PARENTS))
     return selection.select_cohort(scored, keep, SEED, parents=parents, excluded_families=EXCLUDED_FAMILIES, n_parents=4)
@@ -392,8 +392,8 @@ def select_cohort(spark, d):
 )
 def replacement_draw(spark, d):
     """A fresh stock for each drawn one that holds too little, none of them drawn before."""
-    scored = written(scored_stocks(spark, d), "scored")
-    cohort_rows = written(chosen(spark, d), "cohort")
+    scored = scored_stocks(spark, d)
+    cohort_rows = shared(chosen(spark, d), "chosen")
     weak = stocks(spark, d).filter(C("conc") < 60).select(C("specimen_id").alias("stock_id"))
     failed = cohort_rows.join(weak, "stock_id", "left_semi")
     return selection.replacements(scored, cohort_rows, failed, SEED + 9).select("stock_id", "specimen_id")
@@ -428,7 +428,7 @@ fd AS (SELECT family, log_score FROM fs WHERE log_score IS NOT NULL ORDER BY ln(
 
 
 def trio_stocks(spark, d):
-    quality = written(qualified(spark, d), "quality")
+    quality = shared(qualified(spark, d), "quality")
     scored = score_with(spark, d, quality)
     excluded = specimens(spark, d).select(codes.family_of(C("subject_code")).alias("family")).filter(C("family").isin(*EXCLUDED_FAMILIES)).distinct()
     done = specimens(spark, d).filter(C("status") == "O")
@@ -491,14 +491,14 @@ def plate_stats(spark, d):
     {round_sql('conc * dna_to_add / (dna_to_add + water_to_add)', 6)} AS diluted_conc FROM plating p JOIN volumes v ON p.plate = v.plate"""
 )
 def dilution_plan(spark, d):
-    layout = written(germline_plates(spark, d), "plates")
+    layout = shared(germline_plates(spark, d), "plates")
     planned = plates.dilution_plan(layout, plates.dilution_volumes(plates.plate_stats(layout)))
     return planned.select("plate", "well", "stock_id", "total_ng", "total_ul", round_even(C("diluted_conc"), 6).alias("diluted_conc"))
 
 
 @query(f"WITH {_COHORT_CTE}, {_PLATES_CTE.replace(STOCKS_CTE + ',', '')} SELECT c.stock_id, p.plate, p.well FROM cohort c LEFT JOIN plating p ON c.stock_id = p.stock_id")
 def locate_samples(spark, d):
-    return selection.locate_samples(written(chosen(spark, d), "chosen"), germline_plates(spark, d))
+    return selection.locate_samples(shared(chosen(spark, d), "chosen"), germline_plates(spark, d))
 
 
 _SENT = uniform_sql(106, "specimen_id")

@@ -156,3 +156,17 @@ def with_average_rank(
             joined = joined.withColumn("__behind", sizes.select(behind.alias("b")).scalar())
         joined = joined.withColumn(name, F.coalesce(name, "__behind"))
     return joined.select(*df.columns, name)
+
+
+def with_level_rank(df: DataFrame, column: str, name: str, levels: Sequence[str]) -> DataFrame:
+    """Add the average rank of a column of stated levels, in their order; another or a missing value has none.
+
+    The counts of the levels are one aggregate, read as a scalar: nothing is joined, sorted or written.
+    """
+    counts = df.agg(F.array(*[F.count(F.when(F.col(column) == level, 1)) for level in levels]).alias("counts")).scalar()
+    ranked, rank, before = df.withColumn("__counts", counts), F.lit(None).cast("double"), F.lit(0)
+    for i, level in enumerate(levels):
+        n = F.col("__counts")[i]
+        rank = F.when(F.col(column) == level, before + (n + 1) / F.lit(2.0)).otherwise(rank)
+        before = before + n
+    return ranked.withColumn(name, rank).drop("__counts")

@@ -15,7 +15,7 @@ from kinsieve.operators.joins import first_per_key, inherit_from_relative, looku
 from kinsieve.operators.ordered import asc, fill_missing
 from kinsieve.operators.reshape import pivot_wide, union_fill, union_tagged
 from kinsieve.operators.rules import Rule, apply_rules
-from kinsieve.session import written
+from kinsieve.session import shared
 
 # Typing levels, adult age, clinical thresholds.
 TYPE_LEVELS = ("6", "11", "16", "611", "retest")
@@ -84,8 +84,8 @@ def person_view(by_specimen: DataFrame, adult_families: Sequence[str] = (), rows
         "collect_date", "recd_date", "enroll_date", "subj_sex", "subj_dob", "stock_id", "specimen_id",
     )
     order = [asc("enroll_date"), asc("stock_id"), asc("specimen_id")]
-    # read again for hot families, sizes and cuts, so it is written once
-    people = written(first_per_key(kept, ["subject_code"], order).drop("stock_id", "specimen_id"), "people")
+    # read again for hot families, sizes and cuts, so it is a shared stage
+    people = shared(first_per_key(kept, ["subject_code"], order).drop("stock_id", "specimen_id"), "people")
 
     code = F.col("subject_code")
     suffix = codes.suffix_of(code)

@@ -13,7 +13,7 @@ from kinsieve.operators.ordered import asc, with_index
 from kinsieve.operators.rules import Rule, apply_rules
 from kinsieve.operators.sampling import random_integer
 from kinsieve.operators.summaries import group_stats
-from kinsieve.session import written
+from kinsieve.session import shared
 
 # Samples per plate, dilution target, pipetting limits, copies per nanogram.
 SAMPLES_PER_PLATE = codes.PLATE_WELLS - 1
@@ -30,7 +30,7 @@ def plate_layout(stocks: DataFrame, seed: int, rows_per_bucket: int | None = Non
     sample, so no plate is gathered anywhere.
     """
     order = [asc("conc", nulls_first=False), asc("stock_id"), asc("specimen_id")]
-    placed = with_index(written(stocks, "to-plate"), order, name="__i", rows_per_bucket=rows_per_bucket)
+    placed = with_index(shared(stocks, "to-plate"), order, name="__i", rows_per_bucket=rows_per_bucket)
     zero = F.col("__i") - 1
     placed = placed.withColumns(
         {
@@ -117,7 +117,7 @@ def qc_join(report: DataFrame, sent: DataFrame, calls: Sequence[str]) -> DataFra
             "missing_calls": null_count(*[F.col(c) for c in calls]),
         }
     )
-    both = written(both, "qc")
+    both = shared(both, "qc")
     both = with_average_rank(both, "conc", "rank_sent")
     both = with_average_rank(both, "copies", "rank_qc")
     return both.withColumn("rank_diff", F.col("rank_sent") - F.col("rank_qc"))

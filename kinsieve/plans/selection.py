@@ -9,27 +9,29 @@ from pyspark.sql import DataFrame, functions as F
 from kinsieve.functions import codes
 from kinsieve.functions.numbers import ratio, signif
 from kinsieve.functions.recoding import recode
-from kinsieve.operators.joins import salted_join, with_average_rank
-from kinsieve.operators.ordered import exact_quantiles
+from kinsieve.operators.joins import salted_join, with_level_rank
+from kinsieve.operators.quantiles import exact_quantiles
 from kinsieve.operators.reshape import string_agg, union_distinct, union_fill
 from kinsieve.operators.sampling import weighted_sample_n
 from kinsieve.operators.summaries import z_score
 from kinsieve.plans.plates import pipette_plan
-from kinsieve.session import written
+from kinsieve.session import shared
 
-# Absorbance ratio target, tissue scores, trio labels.
+# Absorbance ratio target, tissue scores, trio labels, levels in their order.
 GOOD_RATIO = 1.8
 NO_YIELD_RANK = 0.0001
 TISSUE_SCORES = {"WB": 10, "MW": 4, "BUC": 3, "LRNXP": 5}
 TRIO_LABELS = {1: "solo", 2: "duo", 3: "trio"}
+TRACHEOSTOMY = ("Never", "trached")
+DISTAL = ("cleardist", "involvdist")
 
 
 def impute_low(df: DataFrame, column: str, p: float = 0.1, digits: int = 2) -> DataFrame:
     """A missing score takes the p-quantile of the known ones, cut to significant digits.
 
-    The scores are read twice, so they are written once: a score stands on many joins and ranks.
+    The scores are read more than once and stand on many joins and ranks, so they are a shared stage.
     """
-    df = written(df, f"{column}-scores")
+    df = shared(df, "scores")
     low = exact_quantiles(df, column, [p], ["q"]).select(signif(F.col("q"), digits).alias("q")).scalar()
     return df.withColumn("__low", low).withColumn(column, F.coalesce(column, "__low")).drop("__low")
 
@@ -39,9 +41,9 @@ def expression_score(affected: DataFrame) -> DataFrame:
 
     An age of zero gives no finite score and is imputed like a missing one.
     """
-    affected = written(affected, "affected")
-    ranked = with_average_rank(affected, "tracheostomy", "rank_trach")
-    ranked = with_average_rank(ranked, "distal", "rank_distal")
+    affected = shared(affected, "affected")
+    ranked = with_level_rank(affected, "tracheostomy", "rank_trach", TRACHEOSTOMY)
+    ranked = with_level_rank(ranked, "distal", "rank_distal", DISTAL)
     c = F.col
     strength = c("max_freq") * (1 + c("annual_freq")) * (1 + c("surgeries")) * c("rank_trach") * c("rank_distal")
     return impute_low(ranked.withColumn("express", ratio(strength, c("dx_age"))), "express")
@@ -60,7 +62,6 @@ def quality_score(measured: DataFrame) -> DataFrame:
 
     Blood is judged by how far its log yield falls short of the average, mouthwash by its yield.
     """
-    measured = written(measured, "measured")
     blood = measured.filter(F.col("tissue") == "WB")
     blood = z_score(blood.withColumn("__log", F.ln(F.when(F.col("yield_ug") > 0, F.col("yield_ug")))), "__log", "__z")
     shortfall = F.when(-F.col("__z") < 1, F.lit(1.0)).otherwise(-F.col("__z"))
@@ -70,7 +71,7 @@ def quality_score(measured: DataFrame) -> DataFrame:
         ratio(F.col("yield_ug"), F.col("ratio_low") + 0.1)
     )
     both = union_fill(blood, wash.withColumn("quality", wash_quality))
-    ranked = with_average_rank(both, "tissue", "rank_tissue")
+    ranked = with_level_rank(both, "tissue", "rank_tissue", ("MW", "WB"))
     return ranked.withColumn("quality", F.col("quality") * F.pow("rank_tissue", F.lit(2.0))).drop("rank_tissue")
 
 
@@ -97,9 +98,9 @@ def selection_score(
     )
     scored = salted_join(patients, wanted, ["subject_code"], "inner")
     done = on_chip.select("stock_id").distinct().withColumn("__chip", F.lit(True))
-    scored = written(salted_join(scored, done, ["stock_id"], "left", hot=[]), "chip-status")
+    scored = salted_join(scored, done, ["stock_id"], "left", hot=[])
     scored = scored.withColumn("chip", F.when(F.col("__chip"), "haveillumina").otherwise("noillumina")).drop("__chip")
-    scored = with_average_rank(scored, "chip", "rank_chip")
+    scored = with_level_rank(scored, "chip", "rank_chip", ("haveillumina", "noillumina"))
     scored = scored.withColumn("family", codes.family_of(F.col("subject_code")))
     scored = salted_join(scored, trios.select("family", "trio_number", "trio"), ["family"], "left")
     typed = F.when(F.col("type").isin("6", "11"), 4).when(F.col("type").isNotNull(), 2).otherwise(1)
@@ -226,7 +227,7 @@ def select_trios(
     rows = salted_join(rows, done.select("stock_id").distinct(), ["stock_id"], "left_anti", hot=[])
     rows = rows.filter(~c("relationship").isin(codes.SIBLING, *codes.GRANDPARENTS))
     complete = rows.filter(c("trio") == "trio").select("family").distinct()
-    rows = written(salted_join(rows, complete, ["family"], "left_semi").filter(c("conc") >= least_conc), "trio-members")
+    rows = shared(salted_join(rows, complete, ["family"], "left_semi").filter(c("conc") >= least_conc), "trio-members")
     drawn = weighted_sample_n(family_scores(rows), n, c("log_score"), ["family"], seed, log_weight=True)
     return rows.select("family", "subject_code", "relationship", "stock_id", "specimen_id", "conc").join(
         drawn, "family"
@@ -250,7 +251,7 @@ def trio_worklist(chosen: DataFrame, people: DataFrame, measured: DataFrame, pla
 
     The chosen list is short, so it cuts down people and stocks before anything is joined.
     """
-    ids = written(chosen.select("family", "subject_code", "relationship", "stock_id", "specimen_id"), "chosen")
+    ids = shared(chosen.select("family", "subject_code", "relationship", "stock_id", "specimen_id"), "chosen")
     persons = people.join(ids.select("subject_code").distinct(), "subject_code", "left_semi")
     stock = measured.join(ids.select("specimen_id").distinct(), "specimen_id", "left_semi")
     located = locate_samples(ids, plating)

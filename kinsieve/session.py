@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -21,6 +24,9 @@ RECOMMENDED = {
 }
 
 
+_FOLDERS: set[str] = set()
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, **extra: str) -> SparkSession:
     """A session with the recommended settings; on a cluster leave `master` to spark-submit."""
     builder = SparkSession.builder.appName("kinsieve")
@@ -46,8 +52,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; two calls never collide."""
-    return os.path.join(shared_dir(spark), "kinsieve", f"{label}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder; two calls never collide. All paths of an application lie in one folder,
+    which goes when the application ends."""
+    folder = os.path.join(shared_dir(spark), "kinsieve", spark.sparkContext.applicationId)
+    if folder not in _FOLDERS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _FOLDERS.add(folder)
+    return os.path.join(folder, f"{label}-{uuid.uuid4().hex}")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -64,3 +78,37 @@ def written_and_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     seen = Observation()
     frame = written(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
     return frame, seen.get["rows"]
+
+
+# the stages of the result under construction, by the hash of their plan
+_STAGES: ContextVar[dict[int, list[tuple[DataFrame, DataFrame]]] | None] = ContextVar("stages", default=None)
+
+
+def shared(df: DataFrame, label: str) -> DataFrame:
+    """`written`, but only once per plan: within a function marked `staged`, a frame built anew with the same plan is the stage
+    that is there already. Outside, inputs may have changed since, so each call writes."""
+    stages = _STAGES.get()
+    if stages is None:
+        return written(df, label)
+    same = stages.setdefault(df.semanticHash(), [])
+    for plan, stage in same:
+        if plan.sameSemantics(df):
+            return stage
+    same.append((df, written(df, label)))
+    return same[-1][1]
+
+
+def staged(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let all that is built within the function, at any depth, share its stages."""
+
+    @functools.wraps(function)
+    def call(*args, **options) -> DataFrame:
+        if _STAGES.get() is not None:
+            return function(*args, **options)
+        token = _STAGES.set({})
+        try:
+            return function(*args, **options)
+        finally:
+            _STAGES.reset(token)
+
+    return call

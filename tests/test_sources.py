@@ -101,3 +101,35 @@ def test_written_frames_go_to_the_shared_folder(spark, frame):
 
 def test_literal_table(spark):
     assert tables.literal_table(spark, [(0, "a"), (1, "b")], "code int, text string").count() == 2
+
+
+def test_equal_stages_are_written_once_within_a_result(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from kinsieve import session
+
+    calls = []
+    plain = session.written
+    monkeypatch.setattr(session, "written", lambda df, label: calls.append(label) or plain(df, label))
+    build = lambda n: session.shared(spark.range(n).select((F.col("id") * 2).alias("x")), "twos")
+
+    @session.staged
+    def both():
+        inner = session.staged(lambda: build(5))()
+        return build(5).unionByName(inner).unionByName(build(6))
+
+    assert both().count() == 16 and calls == ["twos", "twos"]
+    both()
+    assert len(calls) == 4  # a new result writes anew, as its inputs may have changed
+    build(5), build(5)
+    assert len(calls) == 6
+
+
+def test_level_ranks_like_average_ranks(spark):
+    from kinsieve.operators.joins import with_average_rank, with_level_rank
+
+    df = spark.createDataFrame([(i, (["b", "a", "c", None, "z"] * 9)[i]) for i in range(40)], "id int, v string")
+    kept = df.filter("v <> 'z' OR v IS NULL")
+    got = {r.id: r.r for r in with_level_rank(kept, "v", "r", ("a", "b", "c")).collect()}
+    assert got == {r.id: r.r for r in with_average_rank(kept, "v", "r").collect()}
+    assert {r.r for r in with_level_rank(df, "v", "r", ("a", "b", "c")).filter("v = 'z' OR v IS NULL").collect()} == {None}
