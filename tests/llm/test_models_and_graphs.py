@@ -307,3 +307,36 @@ def test_toxicity_features_of_pieces(monkeypatch):
     monkeypatch.setattr(toxicity, "PIECE_BYTES", 50)
     for x, y in zip(whole, toxicity.features(pa.array(texts)), strict=True):
         assert x.tolist() == y.tolist()
+
+
+def _words(seed, n=60):
+    rng = random.Random(seed)
+    return [f"w{rng.getrandbits(30):x}" for _ in range(n)]
+
+
+@pytest.mark.parametrize("shift", [0, 2**63 - 20])
+def test_near_copies_go_by_id_and_text(spark, shift):
+    x, y, z = (" ".join(_words(i)) for i in range(3))
+    near = " ".join([*_words(2)[:-1], "other"])
+    given = [(2, x), (5, x), (5, z), (7, near), (9, y), (9, y), (9, z), (None, x), (None, x), (11, None), (11, None), (11, "")]
+    given += [(12, " ".join(_words(12))), (12, " ".join(_words(13)))]
+    docs = spark.createDataFrame([(None if i is None else i + shift, t, "en") for i, t in given], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id is None, r.doc_id and r.doc_id - shift, r.text) for r in kept.collect()), key=str)
+    want = [(2, x), (5, z), (9, y), (None, x), (None, x), (11, None), (11, ""), (12, given[-2][1]), (12, given[-1][1])]
+    assert got == sorted(((i is None, i, t) for i, t in want), key=str)
+
+
+def test_stages_leave_extra_columns_alone(spark):
+    names = ["slot", "block", "release", "deadline", "position", "n_bytes", "kept", "n_removed", "n_spans", "ids", "score", "n_chars"]
+    passage = " ".join(_words(50))
+    rows = [(i, " ".join(_words(i)) + " " + passage, "en", f"s{i % 2}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    docs = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names[:-1]}).withColumn("n_chars", F.length("text").cast("long"))
+    for stage in (corpus_pipeline.keep_one_of_near_copies, corpus_pipeline.cut_repeated_passages, corpus_pipeline.mix_sources):
+        after = stage(spark, docs, "")
+        assert after.columns == docs.columns
+        got = after.collect()
+        assert len(got) == 30 and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names[:-1])
+        assert all(r.n_chars == len(r.text) for r in got)
