@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
+# words are hashed in pieces, as that takes some 45 bytes per byte of text in a worker per core
+PIECE_BYTES = 1 << 20
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -88,11 +90,40 @@ def joined(column: pa.ChunkedArray, kind) -> np.ndarray:
 _WORD_BASE = np.uint64(0x5851F42D4C957F2D)
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The rows in pieces of about `most` bytes, cut between words: bytes, offsets within the piece, number of its first row."""
+    begin = 0
+    while begin < len(data):
+        end = begin + most
+        while end < len(data):
+            gaps = np.flatnonzero(gap[data[end : end + 4096]])
+            if len(gaps):
+                end += int(gaps[0])
+                break
+            end += 4096
+        end = min(end, len(data))
+        first, last = np.searchsorted(offsets, begin, "right") - 1, np.searchsorted(offsets, end, "left")
+        yield data[begin:end], np.clip(offsets[first : last + 1], begin, end) - begin, int(first)
+        begin = end
+
+
 def word_hashes(
     data: np.ndarray, offsets: np.ndarray, code: np.ndarray, gap: np.ndarray, prefixes: tuple[int, ...] = ()
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every word of the rows, in text order; then those of its prefixes of the given lengths
-    in bytes, where the word is longer.
+    """Hash and row of every word of the rows, in text order, and those of its prefixes of the given lengths in bytes, where
+    the word is longer (behind the words of each piece)."""
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for part, ends, first in pieces(data, offsets, gap, PIECE_BYTES):
+        hashes, rows = _piece_hashes(part, ends, code, gap, prefixes)
+        found.append((hashes, rows + first))
+    hashes, rows = zip(*found, strict=True)
+    return np.concatenate(hashes), np.concatenate(rows)
+
+
+def _piece_hashes(
+    data: np.ndarray, offsets: np.ndarray, code: np.ndarray, gap: np.ndarray, prefixes: tuple[int, ...]
+) -> tuple[np.ndarray, np.ndarray]:
+    """The words of one piece, then their prefixes.
 
     `code` maps each byte to its value in the hash (lower-casing), `gap` tells which bytes part words. A word's
     hash is a difference of two running sums, brought to the word's own start by an inverse power.

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinsieve.llm.arrays import binaries, flat, sliced, word_hashes
+from kinsieve.llm.arrays import binaries, flat, pieces, sliced, word_hashes
 
 # bounds of the sample that the model is fitted on; everything else covers all rows
 MOST_POSITIVE = 4_000
@@ -48,28 +48,13 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     A text of more than PIECE_BYTES is hashed in pieces, cut between words."""
     data, offsets = flat(column)
     found = [np.zeros(0, np.uint64)]
-    begin = 0
-    while begin < len(data):
-        end = _piece_end(data, begin)
-        first, last = np.searchsorted(offsets, begin, "right") - 1, np.searchsorted(offsets, end, "left")
-        hashes, rows = word_hashes(data[begin:end], np.clip(offsets[first : last + 1], begin, end) - begin, _CODE, _GAP, PREFIXES)
+    for part, ends, first in pieces(data, offsets, _GAP, PIECE_BYTES):
+        hashes, rows = word_hashes(part, ends, _CODE, _GAP, PREFIXES)
         found.append(np.unique(((rows + first).astype(np.uint64) << np.uint64(32)) | (hashes % np.uint64(DIMENSIONS))))
-        begin = end
     keys = np.unique(np.concatenate(found))
     return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def _piece_end(data: np.ndarray, begin: int) -> int:
-    """The first place between words from PIECE_BYTES behind `begin` on, or the end."""
-    end = begin + PIECE_BYTES
-    while end < len(data):
-        gaps = np.flatnonzero(_GAP[data[end : end + 4096]])
-        if len(gaps):
-            return end + int(gaps[0])
-        end += 4096
-    return len(data)
-
-
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, "text", PIECE_BYTES):
         rows, found = features(batch.column("text"))

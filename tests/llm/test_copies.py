@@ -200,3 +200,16 @@ def test_fingerprint_edges(spark):
     assert one.near_next == 1.0
     assert fingerprints.compare_with_next(df.limit(0)).count() == 0
     assert hashlib.sha256(one.edited.encode()).hexdigest()
+
+
+def test_words_hashed_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    from kinsieve.llm import arrays
+
+    texts = ["", None, " ".join(f"word{i % 37}" for i in range(900)), "", "x" * 700, "a b", " ", "one two three four five six " * 30]
+    whole = jaccard.shingle_sets(pa.array(texts))
+    for size in (1, 50, 333):
+        monkeypatch.setattr(arrays, "PIECE_BYTES", size)
+        for x, y in zip(whole, jaccard.shingle_sets(pa.array(texts)), strict=True):
+            assert x.tolist() == y.tolist()
