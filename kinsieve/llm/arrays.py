@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,9 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a binary column and the offsets of its rows; a missing value is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = pc.fill_null(column, b"")
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     if len(column) == 0 or data is None:
@@ -53,6 +56,16 @@ def sliced(batches, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBat
             end = min(max(end, begin + 1), batch.num_rows)
             yield batch.slice(begin, end - begin)
             begin = end
+        del batch
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers stay for later stages, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:

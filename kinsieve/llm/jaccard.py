@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kinsieve.llm.arrays import binaries, flat, joined, mixed, sliced, spans, word_hashes
+from kinsieve.llm.arrays import binaries, flat, give_back, joined, mixed, sliced, spans, word_hashes
 from kinsieve.llm.components import connected
 from kinsieve.session import written
 
@@ -91,6 +91,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     columns = list(zip(*rows, strict=True)) or [()] * 5
     arrays = [pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(columns)]
     yield pa.RecordBatch.from_arrays(arrays, names=["part", "gap_low", "gap_high", "count_low", "count_high"])
+    del cells, rows, columns, arrays
+    give_back()
 
 
 def _summed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
