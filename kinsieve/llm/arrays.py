@@ -68,6 +68,30 @@ def give_back() -> None:
         trim(0)
 
 
+def grouped(function):
+    """A function of a group whose memory is returned before the next group comes."""
+
+    def call(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        try:
+            return function(key, table)
+        finally:
+            give_back()
+
+    return call
+
+
+def cogrouped(function):
+    """As `grouped`, for two sides."""
+
+    def call(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return function(key, left, right)
+        finally:
+            give_back()
+
+    return call
+
+
 def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     """A binary column of consecutive pieces of `data` that end at `ends` (in items)."""
     data = np.ascontiguousarray(data)

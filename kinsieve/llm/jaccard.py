@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kinsieve.llm.arrays import binaries, flat, give_back, joined, mixed, sliced, spans, word_hashes
+from kinsieve.llm.arrays import binaries, flat, give_back, grouped, joined, mixed, sliced, spans, word_hashes
 from kinsieve.llm.components import connected
 from kinsieve.session import written
 
@@ -113,7 +113,7 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     table = np.zeros(1 << TABLE_BITS, np.uint8)
     size = len(table) // TABLE_PARTS
     counted = docs.select("text").mapInArrow(_counts, "part int, gap_low binary, gap_high binary, count_low binary, count_high binary")
-    for row in counted.groupBy("part").applyInArrow(_summed, "part int, coded binary").toLocalIterator():
+    for row in counted.groupBy("part").applyInArrow(grouped(_summed), "part int, coded binary").toLocalIterator():
         table[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["coded"], np.uint8)
     return table
 
@@ -330,7 +330,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = max(8, int(total / 30 // BLOCK_ENTRIES))
     shared = spark.sparkContext.broadcast(frequencies(rows))  # of fixed size
     entries = rows.mapInArrow(_prefix_entries(shared, buckets), _ENTRIES)
-    ties = entries.groupBy("bucket").applyInArrow(_ties, "a long, b long")
+    ties = entries.groupBy("bucket").applyInArrow(grouped(_ties), "a long, b long")
     sizes = written(rows.mapInArrow(_set_sizes, "doc_id long, n_shingles long, key long"), "sizes")
     # equal sets are linked to their smallest document, which stands for them from here on
     known = sizes.filter("n_shingles > 0")
@@ -365,7 +365,7 @@ def _links(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     size = len(bits) // FILTER_PARTS
     parts = candidates.select(F.col("doc_id").alias("node")).mapInArrow(_filter_parts, "part int, bits binary")
-    for row in parts.groupBy("part").applyInArrow(_filter_sum, "part int, bits binary").toLocalIterator():
+    for row in parts.groupBy("part").applyInArrow(grouped(_filter_sum), "part int, bits binary").toLocalIterator():
         bits[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
     sets = rows.mapInArrow(_candidate_sets(spark.sparkContext.broadcast(bits)), "doc_id long, entries long, grams binary")
     loads = candidates.groupBy("component").agg(F.sum("entries").alias("load"))
@@ -387,4 +387,4 @@ def _links(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     places = placed.select("doc_id", "component", F.when(F.col("blocks") <= 1, whole).otherwise(tiles).alias("places"))
     found = sets.select("doc_id", "grams").join(places.hint("merge"), "doc_id")
     found = found.select("doc_id", "component", F.explode("places").alias("t"), "grams").select("doc_id", "component", "t.side", "t.at", "grams")
-    return found.groupBy("at").applyInArrow(_multiply, "a long, b long")
+    return found.groupBy("at").applyInArrow(grouped(_multiply), "a long, b long")
