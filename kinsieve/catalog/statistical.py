@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from kinsieve.catalog import query
 from kinsieve.catalog.standins import STOCKS_CTE, round_sql, signif_sql, stocks, table
 from kinsieve.functions.numbers import bin_label, round_even, signif
+from kinsieve.functions.tails import HART_ABOVE, HART_BELOW
 from kinsieve.operators import statistics
+from kinsieve.operators.reshape import union_fill
 
 C = F.col
 
@@ -119,15 +121,56 @@ def tukey_pairs(spark, d):
     return significant(out, 5, "difference", "q")
 
 
-@query()
+def _horner_sql(coefficients, x):
+    sql = repr(coefficients[0]) + "::DOUBLE"
+    for c in coefficients[1:]:
+        sql = f"({sql} * {x} + {c!r}::DOUBLE)"
+    return sql
+
+
+def normal_sql(x):
+    """The normal distribution function of an expression of SQL."""
+    tail = f"CASE WHEN abs({x}) < 7 THEN exp(-({x}) * ({x}) / 2) * {_horner_sql(HART_ABOVE, f'abs({x})')} / {_horner_sql(HART_BELOW, f'abs({x})')} ELSE 0 END"
+    return f"(CASE WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
+# F and t: with x = sin² the beta integral is one of powers of sine and cosine. Studentised range: a plain grid.
+@query(
+    f"""WITH {_LEVELS}, y AS (SELECT 'yield' AS what, log2(yield_ug) AS y, extract_date > DATE '1998-01-01' AS s FROM stocks WHERE yield_ug > 0
+      UNION ALL SELECT 'quantity', l_quantity, l_linestatus = 'O' FROM lineitem),
+    m AS (SELECT what, count(*) FILTER (NOT s) AS n0, count(*) FILTER (s) AS n1, avg(y) FILTER (NOT s) AS m0, avg(y) FILTER (s) AS m1,
+      var_samp(y) FILTER (NOT s) / count(*) FILTER (NOT s) AS v0, var_samp(y) FILTER (s) / count(*) FILTER (s) AS v1 FROM y GROUP BY what),
+    o AS (SELECT 'conc' AS what, * FROM g
+      UNION ALL SELECT 'quantity', l_linenumber::VARCHAR, count(*), avg(l_quantity), var_pop(l_quantity) * count(*) FROM lineitem GROUP BY l_linenumber),
+    s AS (SELECT what, count(*)::DOUBLE AS levels, sum(n)::DOUBLE AS total, sum(w) AS sw, sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n) AS sb FROM o GROUP BY what),
+    f AS (SELECT 'welch ' || what AS test, (m0 - m1) * (m0 - m1) / (v0 + v1) AS f, 1.0::DOUBLE AS d1, (v0 + v1) * (v0 + v1) / (v0 * v0 / (n0 - 1) + v1 * v1 / (n1 - 1)) AS d2 FROM m
+      UNION ALL SELECT 'anova ' || what, (sb / (levels - 1)) / (sw / (total - levels)), levels - 1, total - levels FROM s),
+    a AS (SELECT test, d1, d2, atan(sqrt(d1 * f / d2)) AS least FROM f),
+    angles AS (SELECT *, least + (i + 0.5) / 200000 * (pi() / 2 - least) AS upper, (i + 0.5) / 200000 * pi() / 2 AS every FROM a, range(200000) r(i)),
+    beta AS (SELECT test, sum(pow(sin(upper), d1 - 1) * pow(cos(upper), d2 - 1) * (pi() / 2 - least)) / sum(pow(sin(every), d1 - 1) * pow(cos(every), d2 - 1) * pi() / 2) AS p
+      FROM angles GROUP BY test),
+    pairs AS (SELECT s.what || ' ' || a.level || ' / ' || b.level AS test, levels, total - levels AS df,
+      abs(b.m - a.m) / sqrt(sw / (total - levels) / 2 * (1.0::DOUBLE / a.n + 1.0::DOUBLE / b.n)) AS q FROM o a JOIN o b ON a.what = b.what AND a.level < b.level JOIN s ON s.what = a.what),
+    deviations AS (SELECT *, greatest(1e-6, 1 - 8 / sqrt(2 * df)) + (j + 0.5) / 300 * (1 + 8 / sqrt(2 * df) - greatest(1e-6, 1 - 8 / sqrt(2 * df))) AS d FROM pairs, range(300) r(j)),
+    grid AS (SELECT test, levels, exp((df - 1) * ln(d) - df * (d * d - 1) / 2) AS h, (i + 0.5) / 400 * 16 - 8 AS z, q * d AS width FROM deviations, range(400) r(i)),
+    edges AS (SELECT *, z - width AS z0 FROM grid),
+    spread AS (SELECT test, levels, h, exp(-z * z / 2) / sqrt(2 * pi()) AS density, greatest(0, {normal_sql('z')} - {normal_sql('z0')}) AS between_them FROM edges),
+    ranges AS (SELECT test, 1 - sum(h * density * levels * pow(between_them, levels - 1)) * 16 / sum(h) AS p FROM spread GROUP BY test)
+    SELECT test, CASE WHEN p < 1e-16 THEN 0 ELSE {signif_sql('p', 5)} END AS p FROM beta
+    UNION ALL SELECT test, {round_sql('least(1, greatest(0, p))', 6)} FROM ranges"""
+)
 def test_p_values(spark, d):
-    """Tail areas of the t test, the analysis of variance and the pairwise differences."""
-    known = stocks(spark, d).filter(C("yield_ug") > 0)
-    welch = statistics.welch_test(
-        known, F.log2("yield_ug"), C("extract_date") > F.lit("1998-01-01").cast("date"), p_values=True
-    ).select(F.lit("welch").alias("test"), "p")
-    anova = statistics.one_way_anova(_binned(spark, d), C("conc"), C("level"), p_values=True).select(F.lit("anova").alias("test"), "p")
-    pairs = statistics.honest_differences(_binned(spark, d), C("conc"), C("level"), p_values=True)
-    return welch.unionByName(anova).unionByName(
-        pairs.select(F.concat_ws(" / ", F.lit("pair"), "level_a", "level_b").alias("test"), "p")
-    )
+    """Tail areas of t tests, analyses of variance and pairwise differences (those below 1e-16 as 0)."""
+    known, lines = stocks(spark, d).filter(C("yield_ug") > 0), table(spark, d, "lineitem")
+    tests, pairs = [], []
+    for what, df, y, split in (
+        ("yield", known, F.log2("yield_ug"), C("extract_date") > F.lit("1998-01-01").cast("date")),
+        ("quantity", lines, C("l_quantity"), C("l_linestatus") == "O"),
+    ):
+        tests.append(statistics.welch_test(df, y, split, p_values=True).select(F.lit(f"welch {what}").alias("test"), "p"))
+    for what, df, y, level in (("conc", _binned(spark, d), "conc", "level"), ("quantity", lines.withColumn("line", C("l_linenumber").cast("string")), "l_quantity", "line")):
+        tests.append(statistics.one_way_anova(df, C(y), C(level), p_values=True).select(F.lit(f"anova {what}").alias("test"), "p"))
+        found = statistics.honest_differences(df, C(y), C(level), p_values=True)
+        pairs.append(found.select(F.concat(F.lit(f"{what} "), "level_a", F.lit(" / "), "level_b").alias("test"), round_even(C("p"), 6).alias("p")))
+    tests = union_fill(*tests).withColumn("p", F.when(C("p") < 1e-16, 0.0).otherwise(signif(C("p"), 5)))
+    return union_fill(tests, *pairs)

@@ -155,7 +155,7 @@ def group_means(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
 
 def group_means_interval(df: DataFrame, column: str, keys: Sequence[str], level: float = 0.95) -> DataFrame:
     """Group means with a t interval."""
-    half = t_quantile(F.lit(level), (F.col("n") - 1).cast("double")) * F.col("se")
+    half = t_quantile(level, F.col("n") - 1) * F.col("se")
     return group_means(df, column, keys).withColumns({"low": F.col("mean") - half, "high": F.col("mean") + half})
 
 

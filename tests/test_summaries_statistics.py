@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinsieve.functions import tails
+from plain_tails import f_upper, range_upper, t_critical, t_two_sided
 from kinsieve.operators import statistics, summaries
 from kinsieve.operators.ordered import asc
 
@@ -84,19 +85,63 @@ def test_means_with_interval(points):
     pdf = points.toPandas()
     for r in summaries.group_means_interval(points, "y", ["t"]).collect():
         y = pdf[pdf.t == r.t]["y"]
-        half = tails.t_critical(0.95, len(y) - 1) * y.std(ddof=1) / math.sqrt(len(y))
+        half = t_critical(0.95, len(y) - 1) * y.std(ddof=1) / math.sqrt(len(y))
         assert (r.n, r.mean, r.low, r.high) == (len(y), pytest.approx(y.mean()), pytest.approx(y.mean() - half), pytest.approx(y.mean() + half))
 
 
-def test_tail_areas():
+def test_plain_tail_areas():
     # published table values
-    assert tails.t_critical(0.95, 1) == pytest.approx(12.7062, abs=1e-4)
-    assert tails.t_critical(0.95, 10) == pytest.approx(2.22814, abs=1e-5)
-    assert tails.t_critical(0.95, 1000) == pytest.approx(1.96234, abs=1e-5)
-    assert tails.f_upper(4.10282, 2, 10) == pytest.approx(0.05, abs=1e-6)
-    assert tails.range_upper(3.877, 3, 10) == pytest.approx(0.05, abs=2e-4)
-    assert tails.range_upper(4.327, 4, 10) == pytest.approx(0.05, abs=2e-4)
-    assert tails.t_two_sided(0.0, 5) == pytest.approx(1.0)
+    assert t_critical(0.95, 1) == pytest.approx(12.7062, abs=1e-4)
+    assert t_critical(0.95, 10) == pytest.approx(2.22814, abs=1e-5)
+    assert t_critical(0.95, 1000) == pytest.approx(1.96234, abs=1e-5)
+    assert f_upper(4.10282, 2, 10) == pytest.approx(0.05, abs=1e-6)
+    assert range_upper(3.877, 3, 10) == pytest.approx(0.05, abs=2e-4)
+    assert range_upper(4.327, 4, 10) == pytest.approx(0.05, abs=2e-4)
+    assert t_two_sided(0.0, 5) == pytest.approx(1.0)
+
+
+def test_f_and_t_tails_agree_with_the_continued_fraction(spark):
+    rows = [(f, a, b) for f in (1e-6, 0.3, 0.99, 1.0, 1.02, 4.1, 60.0) for a in (1.0, 2.0, 7.5, 400.0) for b in (1.0, 3.0, 30.0, 5000.0)]
+    df = spark.createDataFrame(rows, "f double, a double, b double")
+    got = df.select("*", tails.f_p_value(F.col("f"), F.col("a"), F.col("b")).alias("p"), tails.t_p_value(-F.col("f"), F.col("b")).alias("t"))
+    for r in got.collect():
+        assert r.p == pytest.approx(f_upper(r.f, r.a, r.b), rel=1e-8, abs=1e-12), r
+        assert r.t == pytest.approx(t_two_sided(r.f, r.b), rel=1e-8, abs=1e-12), r
+
+
+def test_f_tail_with_very_many_degrees(spark):
+    # two degrees above have a closed form, and so many below that t is normal
+    df = spark.createDataFrame([(x, b) for x in (0.5, 1.0, 3.0) for b in (1e3, 1e6, 1e9)], "x double, b double")
+    for r in df.select("*", tails.f_p_value(F.col("x"), F.lit(2.0), F.col("b")).alias("f"), tails.t_p_value(F.col("x"), F.col("b")).alias("t")).collect():
+        assert r.f == pytest.approx(math.exp(-r.b / 2 * math.log1p(2 * r.x / r.b)), rel=1e-7)
+        if r.b > 1e8:
+            assert r.t == pytest.approx(math.erfc(r.x / math.sqrt(2)), rel=1e-6)
+
+
+def test_tails_without_degrees_or_values(spark):
+    df = spark.createDataFrame([(None, 3.0), (2.0, None), (2.0, 0.0), (0.0, 3.0)], "x double, b double")
+    x, b = F.col("x"), F.col("b")
+    got = df.select(tails.f_p_value(x, F.lit(1.0), b), tails.t_p_value(x, b), tails.range_p_value(x, F.lit(3), b)).collect()
+    assert [tuple(r) for r in got[:3]] == [(None, None, None)] * 3
+    assert tuple(got[3]) == (1.0, 1.0, pytest.approx(1.0))
+
+
+def test_t_quantile_agrees_with_bisection(spark):
+    df = spark.createDataFrame([(x,) for x in (1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 10.0, 333.0, 100000.0)] + [(0.0,)], "b double")
+    for level in (0.5, 0.95, 0.999):
+        for r in df.select("b", tails.t_quantile(level, F.col("b")).alias("t")).collect():
+            want = t_critical(level, r.b) if r.b else None
+            assert r.t == (want if want is None else pytest.approx(want, rel=1e-7)), (level, r)
+
+
+def test_normal_and_studentised_range(spark):
+    df = spark.range(-380, 381).select((F.col("id") / 47.0).alias("x"))
+    for r in df.select("x", tails.normal_below(F.col("x")).alias("p")).collect():
+        assert r.p == pytest.approx(0.5 * math.erfc(-r.x / math.sqrt(2)), rel=1e-11 if r.x > -7 else 1, abs=2e-12)
+    rows = [(q, k, b) for q in (0.2, 3.877, 9.0) for k in (2, 3, 12) for b in (1.0, 10.0, 2500.0)]
+    df = spark.createDataFrame(rows, "q double, k int, b double")
+    for r in df.select("*", tails.range_p_value(F.col("q"), F.col("k"), F.col("b")).alias("p")).collect():
+        assert r.p == pytest.approx(range_upper(r.q, r.k, r.b), abs=2e-4 if r.b < 2 else 1e-8), r
 
 
 def test_simple_regression(points):
