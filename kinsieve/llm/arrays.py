@@ -55,9 +55,9 @@ def sliced(batches, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBat
             end = int(np.searchsorted(offsets, offsets[begin] + most, "right")) - 1
             end = min(max(end, begin + 1), batch.num_rows)
             yield batch.slice(begin, end - begin)
+            give_back()
             begin = end
         del batch
-        give_back()
 
 
 def give_back() -> None:

@@ -89,6 +89,31 @@ def test_suffix_dedup_of_nothing(spark):
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 7, 64, 1000])
+def test_anchors_in_pieces_are_those_of_the_whole(piece):
+    rng = np.random.default_rng(7)
+    lengths = np.array([0, 3, 49, 50, 0, 51, 400, 0, 1300, 20])
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    data = rng.integers(97, 99, offsets[-1]).astype(np.uint8)
+
+    def strings(runs):
+        return {(r, s + i, h) for r, s, n, h in zip(*(x.tolist() for x in runs), strict=True) for i in range(n)}
+
+    whole = strings(suffixes.anchors(data, offsets, 50, len(data)))
+    assert len(whole) == (lengths - 49).clip(0).sum()
+    assert strings(suffixes.anchors(data, offsets, 50, piece)) == whole
+
+
+def test_string_hashes_in_pieces(monkeypatch):
+    data = np.frombuffer(b"abcabcabc" * 30, np.uint8)
+    at = np.array([200, 0, 3, 1, 64, 67])
+    whole = suffixes.string_hashes(data, at, 50)
+    monkeypatch.setattr(suffixes, "PIECE_BYTES", 10)
+    assert (suffixes.string_hashes(data, at, 50) == whole).all()
+    # every third string is the same
+    assert whole[1] == whole[2] and whole[3] == whole[4] == whole[5] != whole[1]
+
+
 def test_interval_starts_on_a_random_text():
     rng = np.random.default_rng(3)
     text = np.append(rng.integers(1, 4, 3_000).astype(np.uint16), 0).astype(np.uint16)
