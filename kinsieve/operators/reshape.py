@@ -30,12 +30,14 @@ def missing_items(lists: DataFrame, known: DataFrame, list_column: str, item: st
     return salted_join(lists.select(list_column, item), known.select(item).distinct(), [item], "left_anti")
 
 
-def pivot_wide(df: DataFrame, ids: Sequence[str], names: str, values: Sequence, value: Column) -> DataFrame:
+def pivot_wide(df: DataFrame, ids: Sequence[str], names: str, values: Sequence | None, value: Column) -> DataFrame:
     """Long to wide over a stated list of names; an absent cell is NULL.
 
-    `value` is an aggregate, so several rows per cell are settled explicitly.
+    `value` is an aggregate, so several rows per cell are settled explicitly. Without a list (None) one more job
+    finds the names, in ascending order; more than `spark.sql.pivotMaxValues` of them are an error, as each is a column.
     """
-    return df.groupBy(*ids).pivot(names, list(values)).agg(value)
+    grouped = df.groupBy(*ids)
+    return (grouped.pivot(names) if values is None else grouped.pivot(names, list(values))).agg(value)
 
 
 def unpivot_long(

@@ -32,18 +32,31 @@ def read_delimited(
     sep: str = ",",
     missing: str = "NA",
     header: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Delimited text with a declared schema; only the selected columns are parsed."""
+    """Delimited text with a declared schema; only the selected columns are parsed.
+
+    `multi_line` lets quoted fields hold line breaks. A file is then read by one task, as a cut anywhere in it could lie within
+    a field: hand over several files where the text is large. Quotes are escaped by doubling them there.
+    """
     reader = spark.read.schema(schema).option("header", header).option("sep", sep).option("nullValue", missing)
-    df = reader.option("multiLine", False).csv(path)
+    if multi_line:
+        reader = reader.option("escape", '"')
+    df = reader.option("multiLine", multi_line).csv(path)
     return df.select(*columns) if columns else df
 
 
 def read_sheet(
-    spark: SparkSession, folder: str, workbook: str, worksheet: str, schema: StructType | str, missing: str = "NA"
+    spark: SparkSession,
+    folder: str,
+    workbook: str,
+    worksheet: str,
+    schema: StructType | str,
+    missing: str = "NA",
+    multi_line: bool = False,
 ) -> DataFrame:
     """A worksheet exported as delimited text under folder/workbook/worksheet."""
-    return read_delimited(spark, os.path.join(folder, workbook, worksheet), schema, missing=missing)
+    return read_delimited(spark, os.path.join(folder, workbook, worksheet), schema, missing=missing, multi_line=multi_line)
 
 
 def read_before_trailer(

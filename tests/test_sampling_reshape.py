@@ -57,6 +57,13 @@ def test_pivot_undoes_unpivot(spark):
     assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_wide_over_found_names(spark):
+    df = spark.createDataFrame([(1, "b", 0.1), (1, "a", 0.2), (2, "b", 0.3), (2, "b", 0.4), (3, None, 0.5)], "id int, name string, v double")
+    wide = reshape.pivot_wide(df.filter("name is not null"), ["id"], "name", None, F.max("v"))
+    assert wide.columns == ["id", "a", "b"]
+    assert sorted(map(tuple, wide.collect())) == [(1, 0.2, 0.1), (2, None, 0.4)]
+
+
 def test_paired_columns_to_rows(spark):
     df = spark.createDataFrame([("x", "work", "a@x", "old home", None)], "n string, k1 string, m1 string, k2 string, m2 string")
     got = reshape.unpivot_groups(df, ["n"], {"kind": ["k1", "k2"], "mail": ["m1", "m2"]}).collect()

@@ -32,6 +32,15 @@ def test_sheet_export(spark, frame, tmp_path):
     assert got.count() == 3 and got.filter("s is null").count() == 1
 
 
+def test_quoted_fields_with_line_breaks(spark, tmp_path):
+    folder = tmp_path / "book" / "Notes"
+    folder.mkdir(parents=True)
+    (folder / "part.csv").write_text('id,note\n1,"first line\nsecond, ""quoted"" line"\n2,NA\n3,plain\n')
+    got = tables.read_sheet(spark, str(tmp_path), "book", "Notes", "id int, note string", multi_line=True)
+    assert sorted(map(tuple, got.collect())) == [(1, 'first line\nsecond, "quoted" line'), (2, None), (3, "plain")]
+    assert got.filter("id = 1").select("note").collect()[0].note.count("\n") == 1
+
+
 def test_snapshot_round_trip(spark, frame, tmp_path):
     folder = str(tmp_path / "snap")
     writers.write_snapshot({"first": frame, "second": frame.select("id")}, folder)
