@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from kinsieve.operators.joins import salted_join
+from kinsieve.operators.ordered import asc, with_running_sum
 
 
 def union_tagged(parts: Mapping[str, DataFrame], tag: str = "source") -> DataFrame:
@@ -71,3 +72,32 @@ def string_agg(df: DataFrame, keys: Sequence[str], item: str, name: str, separat
     bags = counted.groupBy(*keys).agg(F.sort_array(F.collect_list(known)).alias("__bag"))
     spelled = F.flatten(F.transform("__bag", lambda p: F.array_repeat(p["v"], p["n"])))
     return bags.select(*keys, F.when(F.size("__bag") > 0, F.array_join(spelled, separator)).alias(name))
+
+
+def string_agg_chunks(
+    df: DataFrame, keys: Sequence[str], item: str, name: str, separator: str = ", ", most: int = 1 << 20, rows_per_bucket: int | None = None
+) -> DataFrame:
+    """`string_agg` for groups of any size: the string in chunks of about `most` characters, numbered from 0 by `chunk`.
+
+    Joined in order with the separator, a group's chunks are its cell. A running sum of lengths over the ordered (item, count)
+    pairs tells the chunk of every copy, so neither a group nor an item with very many copies meets in one task. A
+    number is left out where one item is longer than a chunk; a group without items has no rows.
+    """
+    text = F.col(item).cast("string")
+    counted = df.filter(F.col(item).isNotNull()).groupBy(*keys, text.alias("__item")).agg(F.count("*").alias("__n"))
+    counted = counted.withColumn("__unit", (F.length("__item") + len(separator)).cast("long"))
+    if not separator:
+        counted = counted.filter(F.col("__unit") > 0)
+    placed = with_running_sum(
+        counted.withColumn("__size", F.col("__unit") * F.col("__n")), "__size", [asc("__item")], keys, "__end", rows_per_bucket=rows_per_bucket
+    ).withColumn("__begin", (F.col("__end") - F.col("__size")).cast("long"))
+    begin, unit, n = F.col("__begin"), F.col("__unit"), F.col("__n")
+    number = lambda at: F.floor(at / F.lit(most)).cast("long")
+    spread = placed.select(*keys, "__item", unit, n, begin, F.explode(F.sequence(number(begin), number(begin + (n - 1) * unit))).alias("chunk"))
+    # the first copy at or behind a place
+    copy = lambda place: F.greatest(F.lit(0), F.least(n, F.ceil((place - begin) / unit)))
+    copies = (copy((F.col("chunk") + 1) * most) - copy(F.col("chunk") * most)).cast("int")
+    held = spread.select(*keys, "chunk", F.struct(F.col("__item").alias("v"), copies.alias("n")).alias("__part")).filter("__part.n > 0")
+    bags = held.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list("__part")).alias("__bag"))
+    spelled = F.flatten(F.transform("__bag", lambda p: F.array_repeat(p["v"], p["n"])))
+    return bags.select(*keys, "chunk", F.array_join(spelled, separator).alias(name))

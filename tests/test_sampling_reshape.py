@@ -78,6 +78,22 @@ def test_string_aggregation_keeps_repeats_in_order(spark):
     assert got == {"f": "FA, PT, SI, SI", "g": None, "h": "a"}
 
 
+@pytest.mark.parametrize(("most", "separator"), [(7, ", "), (40, ","), (1 << 20, ", "), (9, "")])
+def test_string_aggregation_in_chunks_is_the_cell(spark, most, separator):
+    # one group with most of the rows, an item with very many copies, items longer than a chunk, groups without items
+    rows = [("hot", f"i{i % 90:03d}") for i in range(400)] + [("hot", "again")] * 500 + [("hot", "much longer than a chunk")] * 3
+    rows += [("b", "x"), ("b", None), ("c", None), (None, "n"), (None, "n")]
+    df = spark.createDataFrame(rows, "g string, r string").repartition(5)
+    want = {r.g: r.s for r in reshape.string_agg(df, ["g"], "r", "s", separator).collect() if r.s is not None}
+    chunks = reshape.string_agg_chunks(df, ["g"], "r", "s", separator, most, rows_per_bucket=20).collect()
+    got = {}
+    for r in sorted(chunks, key=lambda r: r.chunk):
+        got.setdefault(r.g, []).append(r.s)
+        assert len(r.s) <= most + 24
+    assert {g: separator.join(parts) for g, parts in got.items()} == want
+    assert most > 1000 or len(got["hot"]) > 50
+
+
 def test_unions_and_coverage(spark):
     a = spark.createDataFrame([(1, "x")], "id int, p string")
     b = spark.createDataFrame([(2, 5)], "id int, q int")
