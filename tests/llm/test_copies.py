@@ -52,9 +52,10 @@ def removed(rows, width):
     return sorted((i, x) for i, v in out.items() for x in v)
 
 
-@pytest.mark.parametrize("width,block", [(50, 12 << 20), (20, 2_000)])
-def test_suffix_dedup_equals_brute_force(spark, texts, monkeypatch, width, block):
+@pytest.mark.parametrize("width,block,part", [(50, 12 << 20, 2 << 20), (20, 2_000, 2 << 20), (50, 12 << 20, 500), (12, 2_000, 100)])
+def test_suffix_dedup_equals_brute_force(spark, texts, monkeypatch, width, block, part):
     monkeypatch.setattr(suffixes, "BLOCK_BYTES", block)
+    monkeypatch.setattr(suffixes, "PART_BYTES", part)
     rows = [(3 * i + 1, t) for i, t in enumerate(texts)]
     # repeated rows, a repeated id with another text, missing ids
     rows += [rows[4], (rows[5][0], texts[30]), (None, texts[2]), (None, texts[3])]
@@ -114,6 +115,31 @@ def test_string_hashes_in_pieces(monkeypatch):
     assert whole[1] == whole[2] and whole[3] == whole[4] == whole[5] != whole[1]
 
 
+@pytest.mark.parametrize("width", [12, 20, 50])
+def test_least_grams_in_pieces(monkeypatch, width):
+    rng = np.random.default_rng(11)
+    lengths = rng.integers(width, width + 35, 40)
+    ends = np.cumsum(lengths)
+    raw = rng.integers(97, 123, ends[-1]).astype(np.uint8)
+    gram = min(suffixes.ANCHOR, width)
+    one = lambda p: suffixes.mixed(suffixes._rolled(p, gram)).min()
+    want = [one(raw[e - n : e]) for e, n in zip(ends, lengths, strict=True)]
+    for most in (1, 200, 1 << 20):
+        monkeypatch.setattr(suffixes, "PIECE_BYTES", most)
+        assert suffixes._least_grams(raw, ends, lengths, width).tolist() == want
+
+
+def test_occurrences_some_at_a_time(monkeypatch):
+    passages = [b"a" * 30 + b"b" * 25, b"b" * 25 + b"c" * 30, b"a" * 30 + b"b" * 25, b"a" * 5 + b"b" * 25 + b"c" * 30]
+    raw, sizes = np.frombuffer(b"".join(passages), np.uint8), np.array([len(p) for p in passages])
+    passage, docs, starts = np.array([0, 1, 2, 3, 0, 1]), np.array([5, 4, 3, 9, 3, 8]), np.array([0, 7, 7, 2, 50, 1])
+    every = [x.tolist() for x in suffixes._lost(raw, np.cumsum(sizes), sizes, passage, docs, starts, 50)]
+    # the copy in document 3 stays, as do both of its own; 9 and 8 share with 4
+    assert every == [[0, 3, 5], [0, 7, 1], [6, 6, 6]]
+    monkeypatch.setattr(suffixes, "OCCURRENCES", 2)
+    assert [x.tolist() for x in suffixes._lost(raw, np.cumsum(sizes), sizes, passage, docs, starts, 50)] == every
+
+
 def test_interval_starts_on_a_random_text():
     rng = np.random.default_rng(3)
     text = np.append(rng.integers(1, 4, 3_000).astype(np.uint16), 0).astype(np.uint16)
