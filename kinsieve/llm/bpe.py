@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame, functions as F
 from kinsieve.llm.arrays import sliced
 
 # an executor runs an encoder and a decoder per core, so working sets are kept small
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 KEPT_WORDS = 150_000
+KEPT_PAIRS = 500_000
 
 SPACE, LETTER, DIGIT, OTHER = range(4)
 # fixed values: endings that are words of their own after an apostrophe
@@ -137,6 +138,8 @@ class Vocabulary:
         """Each distinct word with its tokens, in one depth-first walk over the trie of the words."""
         tail_of, size = self.tails.get, len(self.tokens) + 1
         stands = self._stands
+        if len(stands) > KEPT_PAIRS:
+            stands.clear()
         last, since = [-1], [0]  # last token of every prefix on the current path, and where it begins
         path = b""
         for word in sorted(words):
