@@ -29,8 +29,12 @@ def problem(arguments: str | None, schema: Mapping | None) -> tuple[object, str
         return None, "unknown tool"
     try:
         value = json.loads(arguments or "", parse_constant=lambda x: 1 / 0)
-    except (ValueError, ZeroDivisionError, RecursionError):
+        canonical(value).encode()
+    except (json.JSONDecodeError, ZeroDivisionError):
         return None, "arguments are not JSON"
+    except (ValueError, RecursionError):
+        # JSON, but too deep, or with numbers or lone surrogates that cannot be written again
+        return None, "arguments have no canonical form"
     if not isinstance(value, dict):
         return value, "arguments are not an object"
     kinds, needed = schema.get("properties", {}), schema.get("required", [])
@@ -111,7 +115,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping]) -
     call), cycle, no result, the first schema violation, or ok. The earliest of several results counts; ties
     go to the smaller content. Calls in order of (level, turn, call_id) never come before what they depend on.
     Exact repeats of a call are one call. Rows with a missing conv_id or call_id are left out; missing dependencies are none; an empty table gives
-    no rows, and extra columns are ignored. `message` is canonical JSON of the call and its result.
+    no rows, and extra columns are ignored. `message` is canonical JSON of the call and its result; arguments that
+    violate their schema, are not JSON or have no canonical form (numbers out of range, lone surrogates, too deep) are
+    kept in it as text.
     """
     calls = calls.dropna(subset=["conv_id", "call_id"]).select(
         "conv_id", "turn", "call_id", "name", "arguments", F.coalesce("depends_on", F.array().cast("array<string>")).alias("depends_on")

@@ -105,6 +105,17 @@ def test_tool_calls(spark):
 
 
 @tables
+def test_arguments_without_a_canonical_form(spark):
+    odd = ['{"words":1,"ratio":1e400}', '{"words":' + "9" * 5_000 + "}", '{"words":' + "[" * 100_000 + "]" * 100_000 + "}"]
+    odd += ['{"words":1,"x":"\\ud800"}', '{"words":NaN}', '{"words":1']
+    rows = [(1, i, f"c{i}", "measure", a, []) for i, a in enumerate(odd)]
+    calls = spark.createDataFrame(rows, "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>")
+    answers = spark.createDataFrame([(1, i, f"c{i}", "done") for i in range(len(odd))], "conv_id long, turn long, call_id string, content string")
+    got = {r.turn: r for r in toolcalls.link(calls, answers, toolcalls.SCHEMAS).collect()}
+    assert [got[i].status for i in range(6)] == ["arguments have no canonical form"] * 4 + ["arguments are not JSON"] * 2
+    assert [json.loads(got[i].message)["call"]["arguments"] for i in range(6)] == odd
+
+
 def test_derived_calls_against_plain_python(spark):
     chats = spark.read.parquet(f"{FOLDER}/conversations.parquet")
     calls, results = toolcalls.from_conversations(chats)
