@@ -118,9 +118,8 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     path = tokenizer_path()
     rows = placed(spark, docs).select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"), "position")
     rows = rows.repartitionByRange("position").sortWithinPartitions("position")
-    # decoded texts are compared by checksum, so that the second pass of Python workers is not handed the texts as well
-    encoded = bpe.encode(rows.withColumn("digest", F.sha2("text", 256)), path).drop("text")
-    both = bpe.decode(encoded, path)
+    # decoded texts are compared by checksum, so that texts need not come back from the Python workers
+    both = bpe.encode_and_decode(rows.withColumn("digest", F.sha2("text", 256)), path)
     n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     return both.select("doc_id", "lang", "source", n_tokens, "ids", (F.sha2("decoded", 256) == F.col("digest")).alias("round_trip"), "position")
 

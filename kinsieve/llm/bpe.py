@@ -271,3 +271,16 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded
     ids give an empty text. An input column called like the output is replaced; an unknown id fails."""
     rest = df.drop(text)
     return rest.mapInArrow(_decoder(tokenizer, ids, text), rest.withColumn(text, F.lit("")).schema)
+
+
+def encode_and_decode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """The results of `encode` and `decode` in place of the text. Both run in the same Python worker: as steps of their own they
+    take two workers a core, and each keeps its vocabulary for as long as the executor is busy."""
+    rest = df.drop(ids, decoded)
+    names = [c for c in rest.columns if c != text]
+    encoding, decoding = _encoder(tokenizer, text, ids), _decoder(tokenizer, ids, decoded)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return decoding(batch.select([*names, ids]) for batch in encoding(batches))
+
+    return rest.mapInArrow(both, rest.select(*names).withColumn(ids, F.lit(b"")).withColumn(decoded, F.lit("")).schema)

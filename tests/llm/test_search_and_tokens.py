@@ -76,3 +76,25 @@ def test_bpe_of_every_token_and_bad_bytes(spark):
     df = spark.createDataFrame([(bytearray(half),), (None,)], "ids binary")
     assert [r.decoded for r in bpe.decode(df, tokenizer_path()).collect()] == ["�", ""]
     assert bpe.encode(spark.createDataFrame([], "text string"), tokenizer_path()).count() == 0
+
+
+def test_bpe_round_trip_takes_one_worker(spark):
+    texts = ["".join(PIECES) * i for i in range(5)] + ["", None]
+    df = spark.createDataFrame([(i, t, "old", "old") for i, t in enumerate(texts)], "doc_id int, text string, ids string, decoded string")
+    both = bpe.encode_and_decode(df, tokenizer_path())
+    want = bpe.decode(bpe.encode(df, tokenizer_path()).drop("text"), tokenizer_path())
+    assert both.columns == ["doc_id", "ids", "decoded"]
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, want.select(*both.columns).collect()))
+    assert bpe.encode_and_decode(df.limit(0), tokenizer_path()).count() == 0
+
+
+def test_queries_encode_and_decode_in_one_worker(spark, tmp_path):
+    from corpus_pipeline import write_tokens
+    from kinsieve.llm.queries import QUERIES
+
+    docs = spark.createDataFrame([(1, "a b", "en", "web")], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    placed = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for df in (QUERIES["op2_bpe"](spark, str(tmp_path)), write_tokens(spark, placed, str(tmp_path))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1
