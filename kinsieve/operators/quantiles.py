@@ -1,6 +1,6 @@
 """Exact order statistics by selection: histograms that are refined around the wanted positions.
 
-Nothing is sorted or written. A first aggregate counts values in bins whose order is that of the values (a fixed
+No values are sorted, shuffled or written. A first aggregate counts values in bins whose order is that of the values (a fixed
 number of bins per power of two), so its state does not grow with the rows. The bin that holds a wanted position is cut
 into equal parts between its least and its greatest value, and what is left in the one part that holds the position is
 told apart by value. Each step is one pass with a partial aggregate: a group with a third of all rows is no burden
@@ -13,8 +13,12 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from kinsieve.session import written_and_counted
+
 BINS_PER_OCTAVE = 32
 PARTS = 1 << 16
+# so many wanted positions of all groups are sent to where the rows are, at some 100 bytes each
+BROADCAST_TARGETS = 100_000
 # below the logarithm of the least positive double
 _FLOOR = 1100
 
@@ -38,7 +42,8 @@ def at_positions(
 
     `positions` turns the number of values of a group into an array of positions (from 0); one that is out of range gives no
     row. Returns the keys, position, total (values of the group), value (double) and below (values that are smaller).
-    Missing keys form a group. Each refinement is one more pass that cuts the rows left per position by up to PARTS.
+    Missing keys form a group. Each refinement is one more pass that cuts the rows left per position by up to PARTS. With
+    keys the positions of the first pass are written and counted: only where groups are very many are rows joined to them by a shuffle.
     """
     names = {k: f"__k{i}" for i, k in enumerate(keys)}
     rows = df.select(*[F.col(k).alias(n) for k, n in names.items()], F.col(column).cast("double").alias("__x"))
@@ -51,10 +56,15 @@ def at_positions(
     inside = F.filter(positions(F.col("total")), lambda p: (p >= F.col("below")) & (p < F.col("below") + F.col("__n")))
     position = F.explode(inside.cast("array<long>")).alias("position")
     targets = counts.select(*group, "__bin", "total", "below", "__low", "__high", position)
+    # without keys there is a row per position; estimates of the plan follow the rows, and would have all of them shuffled
+    few = not group
+    if group:
+        targets, wanted = written_and_counted(targets, "positions")
+        few = wanted <= BROADCAST_TARGETS
     for _ in range(refinements):
-        targets = _refined(rows, targets, group, _part(F.col("__x"), F.col("__low"), F.col("__high")))
+        targets = _refined(rows, targets, group, few, _part(F.col("__x"), F.col("__low"), F.col("__high")))
     # told apart by value: the bins are the values
-    targets = _refined(rows, targets, group, F.col("__x"))
+    targets = _refined(rows, targets, group, few, F.col("__x"))
     return targets.select(
         *[F.col(n).alias(k) for k, n in names.items()], "position", "total", F.col("__low").alias("value"), "below"
     )
@@ -64,13 +74,14 @@ def _bin_aggregates() -> list[Column]:
     return [F.count("*").alias("__n"), F.min("__x").alias("__low"), F.max("__x").alias("__high")]
 
 
-def _refined(rows: DataFrame, targets: DataFrame, group: list[str], part: Column) -> DataFrame:
+def _refined(rows: DataFrame, targets: DataFrame, group: list[str], few: bool, part: Column) -> DataFrame:
     """Each target cut down to the part of its bin that holds its position; where one value is left it stays as it is."""
     open_ones = targets.filter(F.col("__low") < F.col("__high"))
-    # at most a row per group and position; its size decides how it is joined, and few rows lie in its bins
+    # at most a row per group and position, and few rows lie in its bins
     renamed = {c: f"{c}_r" for c in [*group, "__bin"]}
     same = [F.col(c).eqNullSafe(F.col(r)) for c, r in renamed.items()]
-    found = rows.join(open_ones.withColumnsRenamed(renamed), same).filter(F.col("__x").between(F.col("__low"), F.col("__high")))
+    open_ones = open_ones.withColumnsRenamed(renamed)
+    found = rows.join(F.broadcast(open_ones) if few else open_ones, same).filter(F.col("__x").between(F.col("__low"), F.col("__high")))
     held = [*group, "__bin", "position", "total", "below"]
     parts = found.groupBy(*held, part.alias("__part")).agg(*_bin_aggregates())
     upto = F.sum("__n").over(Window.partitionBy(*group, "position").orderBy("__part"))

@@ -11,6 +11,7 @@ from kinsieve.functions import tails
 from plain_tails import f_upper, range_upper, t_critical, t_two_sided
 from kinsieve.operators import statistics, summaries
 from kinsieve.operators.ordered import asc
+from kinsieve.operators.quantiles import quantiles
 
 
 @pytest.fixture(scope="module")
@@ -197,3 +198,17 @@ def test_anova_and_pairs(points):
         error = math.sqrt(within / (len(pdf) - 3) / 2 * (1 / len(a) + 1 / len(b)))
         assert p.difference == pytest.approx(b.mean() - a.mean())
         assert p.q == pytest.approx(abs(b.mean() - a.mean()) / error) and 0 <= p.p <= 1
+
+
+def test_quantiles_do_not_shuffle_the_values(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    rows = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for keys in ([], ["k"]):
+            out = quantiles(rows, {"m": ("v", 0.5)}, keys)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+            assert sorted(r.m for r in out.collect()) == ([499.0, 499.5, 500.0] if keys else [499.5])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
