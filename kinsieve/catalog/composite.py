@@ -27,8 +27,7 @@ from kinsieve.catalog.standins import (
 from kinsieve.catalog.columns import _STUDY, study_codes
 from kinsieve.functions import codes
 from kinsieve.functions.numbers import round_even, signif
-from kinsieve.operators.joins import first_per_key, salted_join
-from kinsieve.operators.ordered import asc, desc
+from kinsieve.operators.joins import salted_join
 from kinsieve.operators.sampling import sample_n
 from kinsieve.plans import cohort, integrity, plates, report, selection
 from kinsieve.session import shared
@@ -195,7 +194,7 @@ def severity_composite(spark, d):
 def affected_once(spark, d, people=None):
     """One row per patient, with the latest update, severity and durations; with `people`, the enrolment date
     is that of the person view."""
-    latest = first_per_key(clinical_updates(spark, d), ["subject_code"], [desc("update_id")])
+    latest = clinical_updates(spark, d, latest=True)
     # one row per subject on both sides
     affected = cohort.severity(patient_log(spark, d).join(latest, "subject_code", "left"))
     if people is None:
@@ -304,14 +303,20 @@ q0 AS (SELECT wb.* EXCLUDE (lg), 1 / ((CASE WHEN -((lg - a) / s) < 1 THEN 1.0::D
 quality AS (SELECT * EXCLUDE (q), q * pow(rank() OVER (ORDER BY tissue) + (count(*) OVER (PARTITION BY tissue) - 1) / 2.0::DOUBLE, 2) AS quality FROM q0)"""
 
 
-def measured(spark, d):
+def stocks_once(spark, d):
+    """The measures of all stocks as a stage, for queries that need them in several places."""
+    return shared(stocks(spark, d), "stocks")
+
+
+def measured(spark, d, known=None):
     rows = specimens(spark, d).select("specimen_id", "stock_id", "subject_code", "tissue")
     rows = rows.withColumn("relationship", codes.relationship_of(C("subject_code")))
-    return rows.join(stocks(spark, d).select("specimen_id", "conc", "volume", "yield_ug", "ratio_low"), "specimen_id")
+    known = stocks(spark, d) if known is None else known
+    return rows.join(known.select("specimen_id", "conc", "volume", "yield_ug", "ratio_low"), "specimen_id")
 
 
-def qualified(spark, d):
-    return selection.quality_score(measured(spark, d))
+def qualified(spark, d, known=None):
+    return selection.quality_score(measured(spark, d, known))
 
 
 @query(f"WITH {BY_SPECIMEN_CTE}, {_QUALITY_CTE} SELECT specimen_id, {signif_sql('quality', 8)} AS quality FROM quality")
@@ -370,9 +375,9 @@ drawn AS (SELECT stock_id, 'keep' AS stratum FROM keep UNION SELECT stock_id, 'm
 cohort AS (SELECT stock_id, string_agg(stratum, ',' ORDER BY stratum) AS strata FROM drawn GROUP BY 1)"""
 
 
-def chosen(spark, d):
+def chosen(spark, d, known=None):
     # the draws read the scores: they are computed once
-    quality = shared(qualified(spark, d), "quality")
+    quality = shared(qualified(spark, d, known), "quality")
     scored = score_with(spark, d, quality)
     keep = specimens(spark, d).filter((C("tissue") != "LRNXP") & C("subject_code").isin(*MULTIPLEX))
     parents = quality.filter(C("relationship").isin(*codes.PARENTS))
@@ -468,11 +473,12 @@ pvol AS (SELECT *, CASE WHEN median_conc <= 20 THEN 6 WHEN median_conc > 20 THEN
 volumes AS (SELECT *, CASE WHEN round_even(median_conc * dna_to_add / 20 - dna_to_add, 0) < 0 THEN 0.0::DOUBLE ELSE round_even(median_conc * dna_to_add / 20 - dna_to_add, 0) END AS water_to_add FROM pvol)"""
 
 
-def germline_plates(spark, d, sent=None):
+def germline_plates(spark, d, sent=None, known=None):
     rows = specimens(spark, d).filter(C("tissue") != "LRNXP").select("specimen_id", "stock_id", "tissue")
     if sent is not None:
         rows = salted_join(rows, sent, ["stock_id"], "left_anti", hot=[])
-    with_conc = rows.join(stocks(spark, d).select("specimen_id", "conc"), "specimen_id", "left")
+    known = stocks(spark, d) if known is None else known
+    with_conc = rows.join(known.select("specimen_id", "conc"), "specimen_id", "left")
     return plates.plate_layout(with_conc, SEED)
 
 
@@ -498,7 +504,8 @@ def dilution_plan(spark, d):
 
 @query(f"WITH {_COHORT_CTE}, {_PLATES_CTE.replace(STOCKS_CTE + ',', '')} SELECT c.stock_id, p.plate, p.well FROM cohort c LEFT JOIN plating p ON c.stock_id = p.stock_id")
 def locate_samples(spark, d):
-    return selection.locate_samples(shared(chosen(spark, d), "chosen"), germline_plates(spark, d))
+    known = stocks_once(spark, d)
+    return selection.locate_samples(shared(chosen(spark, d, known), "chosen"), germline_plates(spark, d, known=known))
 
 
 _SENT = uniform_sql(106, "specimen_id")

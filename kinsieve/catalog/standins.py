@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from kinsieve.functions import codes
 from kinsieve.functions.dates import partial_date
 from kinsieve.functions.recoding import without_sentinel
+from kinsieve.operators.joins import first_per_key
+from kinsieve.operators.ordered import desc
 from kinsieve.plans.selection import stock_measures
 from kinsieve.sources.tables import read_parquet_table
 
@@ -131,10 +133,14 @@ patient_log AS (SELECT subject_code, c_mktsegment AS site_code,
 # -- clinical updates: one row per event ---------------------------------------------------------
 
 
-def clinical_updates(spark: SparkSession, folder: str) -> DataFrame:
+def clinical_updates(spark: SparkSession, folder: str, latest: bool = False) -> DataFrame:
+    """All updates, or the latest of each patient: cut down before codes and dates are derived, as rows are sorted for that."""
     c = cents(F.col("value"))
     kind = F.col("event_type")
-    return table(spark, folder, "events").select(
+    events = table(spark, folder, "events").select("user_id", "event_id", "ts", "event_type", "value")
+    if latest:
+        events = first_per_key(events, ["user_id"], [desc("event_id")])
+    return events.select(
         subject_code(F.col("user_id") * 4).alias("subject_code"),
         F.col("event_id").alias("update_id"),
         F.date_sub(F.to_date("ts"), F.lit(8000)).alias("update_date"),

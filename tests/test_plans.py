@@ -273,3 +273,30 @@ def test_family_composition_counts_families(spark):
     rows = ["AAA00001PT", "AAA00001MO", "BBB00002PT", "BBB00002MO", "CCC00003PT", "DDD00004S1", "DDD00004S2"]
     got = {r.relationships: (r.n, r.share) for r in report.family_composition(spark.createDataFrame([(r,) for r in rows], "subject_code string")).collect()}
     assert got == {"MO, PT": (2, 0.5), "PT": (1, 0.25), "SI, SI": (1, 0.25)}
+
+
+# -- stages of the worklists ----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["locate_samples"])
+def test_stocks_are_measured_once(spark, monkeypatch, name):
+    from kinsieve import catalog
+    from kinsieve.catalog import composite
+
+    catalog.load_all()
+    calls, plain = [], composite.stocks
+    monkeypatch.setattr(composite, "stocks", lambda *args: calls.append(args) or plain(*args))
+    catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
+
+
+def test_latest_updates_are_those_of_all_updates(spark):
+    from kinsieve.catalog.standins import clinical_updates
+    from kinsieve.operators.joins import first_per_key
+    from kinsieve.operators.ordered import desc
+
+    folder = "/root/testdata/sf0.001"
+    want = first_per_key(clinical_updates(spark, folder), ["subject_code"], [desc("update_id")])
+    got = clinical_updates(spark, folder, latest=True)
+    assert got.columns == want.columns
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
