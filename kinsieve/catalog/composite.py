@@ -432,8 +432,8 @@ fs AS (SELECT family, CASE WHEN count(quality) = count(*) THEN sum(ln(quality))
 fd AS (SELECT family, log_score FROM fs WHERE log_score IS NOT NULL ORDER BY ln(-ln({_KEY})) - log_score, family LIMIT 67)"""
 
 
-def trio_stocks(spark, d):
-    quality = shared(qualified(spark, d), "quality")
+def trio_stocks(spark, d, known=None):
+    quality = shared(qualified(spark, d, known), "quality")
     scored = score_with(spark, d, quality)
     excluded = specimens(spark, d).select(codes.family_of(C("subject_code")).alias("family")).filter(C("family").isin(*EXCLUDED_FAMILIES)).distinct()
     done = specimens(spark, d).filter(C("status") == "O")
@@ -534,7 +534,8 @@ def plate_layout_minus_sent(spark, d):
 )
 def trio_worklist(spark, d):
     """Trio selection end to end: draw, demographics, position, volumes."""
-    worklist = selection.trio_worklist(trio_stocks(spark, d), people_of(spark, d), stocks(spark, d), germline_plates(spark, d))
+    known = stocks_once(spark, d)
+    worklist = selection.trio_worklist(trio_stocks(spark, d, known), people_of(spark, d), known, germline_plates(spark, d, known=known))
     return _rounded(worklist, 6, "abs_ratio", "yield_ug")
 
 

@@ -278,7 +278,7 @@ def test_family_composition_counts_families(spark):
 # -- stages of the worklists ----------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name", ["locate_samples"])
+@pytest.mark.parametrize("name", ["locate_samples", "trio_worklist"])
 def test_stocks_are_measured_once(spark, monkeypatch, name):
     from kinsieve import catalog
     from kinsieve.catalog import composite
