@@ -14,17 +14,18 @@ def _smaller_first(edges: DataFrame) -> DataFrame:
     return edges.select(high.alias("a"), low.alias("b")).filter(F.col("a") != F.col("b"))
 
 
-def _to_least(edges: DataFrame, upward_only: bool) -> DataFrame:
-    """Each node's neighbours (all larger ones, or all smaller ones) are tied to its least neighbour instead.
-    Only a minimum is kept per node, so a node with very many neighbours is no burden for one task."""
-    if upward_only:
-        around = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-        moved = around.filter(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        return moved.distinct()
+def _upward(edges: DataFrame) -> DataFrame:
+    """Each node's larger neighbours are tied to its least neighbour, or to itself if that is smaller."""
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")
+    least = edges.select(ends).groupBy(F.col("e.a").alias("b")).agg(F.least(F.min("e.b"), F.col("b")).alias("least"))
+    return edges.join(least, "b").select("a", F.col("least").alias("b"))
+
+
+def _downward(edges: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours are tied to the least of these."""
     least = edges.groupBy("a").agg(F.min("b").alias("least"))
-    moved = edges.join(least, "a").filter(F.col("b") != F.col("least")).select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return moved.unionByName(least.select("a", F.col("least").alias("b"))).distinct()
+    node = F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b"))
+    return edges.join(least, "a").select(node.alias("a"), F.col("least").alias("b")).distinct()
 
 
 def connected(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -32,14 +33,16 @@ def connected(edges: DataFrame, label: str = "components") -> DataFrame:
 
     `edges` has the long columns a and b; direction, repeats and loops do not matter, rows with a missing end
     are left out. Large and small steps alternate until only stars are left, which takes a number of rounds
-    that grows with the logarithm of the longest path. Each round is written to the shared folder.
+    that grows with the logarithm of the longest path. Only a minimum is kept per node, so a node with very many
+    neighbours is no burden for one task. Each step is written to the shared folder: plans that hold a step several
+    times over cost the driver memory and time.
     """
     edges = _smaller_first(edges.dropna(subset=["a", "b"]).select("a", "b")).distinct()
     edges = written(edges, label)
     before = None
     for _ in range(ROUNDS):
-        edges = _smaller_first(_to_least(edges, upward_only=True))
-        edges = written(_to_least(edges, upward_only=False), label)
+        edges = written(_upward(edges), label)
+        edges = written(_downward(edges), label)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 31))).first()
         if tuple(state) == before:
             break

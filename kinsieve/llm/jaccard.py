@@ -342,8 +342,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     only = copied.select("doc_id").distinct()
     more = known.join(only, "doc_id", "left_semi").join(copied, ["doc_id", "key", "n_shingles"], "left_anti").select("doc_id")
     only = only.join(more, "doc_id", "left_anti").withColumnRenamed("doc_id", "node")
-    candidates = connected(ties, "candidates")
-    candidates = candidates.join(only, "node", "left_anti")
+    # written once, as it is used twice
+    candidates = written(connected(ties, "candidates").join(only, "node", "left_anti"), "candidates")
     # a component of copies of one set has nothing left to multiply
     several = candidates.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
     candidates = candidates.join(several, "component").select(F.col("node").alias("doc_id"), "component")

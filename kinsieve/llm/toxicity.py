@@ -14,12 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kinsieve.llm.arrays import binaries, flat, pieces, sliced, word_hashes
+from kinsieve.llm.arrays import binaries, bucketed, flat, give_back, grouped, joined, pieces, sliced, word_hashes
+from kinsieve.session import written
 
 # bounds of the sample that the model is fitted on; everything else covers all rows
 MOST_POSITIVE = 4_000
 MOST_UNLABELLED = 12_000
 DIMENSIONS = 1 << 21
+PARTS = 16
 PREFIXES = (4, 5, 6, 7)
 LEAST_DOCUMENTS = 8
 LEAST_LIFT = 2.0
@@ -60,41 +62,70 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         rows, found = features(batch.column("text"))
         ends = np.searchsorted(rows, np.arange(batch.num_rows), "right")
         yield pa.RecordBatch.from_arrays(
-            [batch.column("positive"), binaries(found.astype(np.uint32), ends)], names=["positive", "words"]
+            [batch.column("key"), batch.column("positive"), binaries(found.astype(np.uint32), ends)], names=["key", "positive", "words"]
         )
 
 
-def _documents_with(texts: list[np.ndarray]) -> np.ndarray:
-    """Number of texts that have each feature, added up some hundred texts at a time."""
-    total = np.zeros(DIMENSIONS, np.int64)
-    for i in range(0, len(texts), 512):
-        total += np.bincount(np.concatenate(texts[i : i + 512]), minlength=DIMENSIONS)
-    return total
+def _by_text(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Side of each text, row and feature of its words."""
+    data, offsets = flat(batch.column("words"))
+    positive = batch.column("positive").to_numpy(zero_copy_only=False).astype(bool)
+    return positive, np.repeat(np.arange(len(positive)), np.diff(offsets) // 4), data.view(np.uint32)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
-    """Weights per feature and the intercept.
+def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of texts of each side that have each feature, for one task, by ranges of features."""
+    counts = np.zeros((2, DIMENSIONS), np.int32)
+    for batch in sliced(batches, "words"):
+        positive, rows, found = _by_text(batch)
+        for side in (0, 1):
+            counts[side] += np.bincount(found[positive[rows] == side], minlength=DIMENSIONS).astype(np.int32)
+    used = np.flatnonzero(counts.any(0))
+    usual, seen = counts[:, used]
+    yield bucketed(used // (DIMENSIONS // PARTS), {"feature": used.astype(np.uint32), "seen": seen, "usual": usual}, "part")
+    del counts
+    give_back()
 
-    Features in fewer than LEAST_DOCUMENTS positives (a word seen once would only name its text), or not
-    LEAST_LIFT times as frequent there as in unlabelled texts, have weight 0. The decay of the weights is
-    DECAY over the number of positives.
-    """
-    weights = np.zeros(DIMENSIONS, np.float32)
-    if not positive or not unlabelled:
-        return weights, -20.0
-    seen, usual = _documents_with(positive), _documents_with(unlabelled)
-    lifted = seen / len(positive) >= LEAST_LIFT * usual / len(unlabelled)
-    used = np.flatnonzero(lifted & (seen >= min(LEAST_DOCUMENTS, max(3, len(positive) // 16))))
-    place = np.full(DIMENSIONS, -1, np.int32)
-    place[used] = np.arange(len(used))
-    words = [w[w >= 0] for w in (place[x] for x in (*positive, *unlabelled))]
-    row = np.repeat(np.arange(len(words)), [len(w) for w in words])
-    column = np.concatenate(words)
-    n_pos, n_all = len(positive), len(words)
-    is_pos = np.arange(n_all) < n_pos
+
+def _lifted(n_positive: int, n_unlabelled: int):
+    """Features in at least LEAST_DOCUMENTS positives (a word seen once would only name its text), and LEAST_LIFT
+    times as frequent there as in unlabelled texts."""
+    least = min(LEAST_DOCUMENTS, max(3, n_positive // 16))
+
+    def chosen(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        first = key[0].as_py() * (DIMENSIONS // PARTS)
+        place = joined(table.column("feature"), np.uint32) - np.uint32(first)
+        seen, usual = (np.bincount(place, joined(table.column(c), np.int32), DIMENSIONS // PARTS) for c in ("seen", "usual"))
+        found = np.flatnonzero((seen / n_positive >= LEAST_LIFT * usual / n_unlabelled) & (seen >= least)) + first
+        return pa.table({"feature": pa.array([found.astype(np.uint32).tobytes()], pa.binary())})
+
+    return chosen
+
+
+def _places(shared):
+    """Of each text's features those in use, by their place among them."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(DIMENSIONS, -1, np.int32)
+        place[shared.value] = np.arange(len(shared.value))
+        for batch in sliced(batches, "words"):
+            _, rows, found = _by_text(batch)
+            found = place[found]
+            ends = np.searchsorted(rows[found >= 0], np.arange(batch.num_rows), "right")
+            words = binaries(found[found >= 0].astype(np.uint32), ends)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("positive"), words], names=["key", "positive", "words"])
+
+    return places
+
+
+def fit(is_pos: np.ndarray, row: np.ndarray, column: np.ndarray, size: int, prior: float) -> tuple[np.ndarray, float]:
+    """Weights of the `size` features in use and the intercept, from the side of each text and the row and feature of
+    each entry. The decay of the weights is DECAY over the number of positives."""
+    n_all = len(is_pos)
+    n_pos = int(is_pos.sum())
     share = np.where(is_pos, 1 / n_pos, 1 / (n_all - n_pos))
-    w, b = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
-    moments = np.zeros((2, len(used) + 1))
+    w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
+    moments = np.zeros((2, size + 1))
     for step in range(1, STEPS + 1):
         score = np.bincount(row, w[column], n_all) + b
         chance = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
@@ -106,21 +137,21 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
             slope = -slope  # step back from a negative risk that has gone below zero
         else:
             slope += np.where(is_pos, prior * (chance - 1) * share, 0)
-        gradient = np.append(np.bincount(column, slope[row], len(used)) + DECAY / n_pos * w, slope.sum())
+        gradient = np.append(np.bincount(column, slope[row], size) + DECAY / n_pos * w, slope.sum())
         moments[0] += 0.1 * (gradient - moments[0])
         moments[1] += 0.001 * (gradient**2 - moments[1])
         move = RATE * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-8)
         w -= move[:-1]
         b -= move[-1]
-    weights[used] = w
-    return weights, float(b)
+    return w, float(b)
 
 
 def train(docs: DataFrame, confirmed: DataFrame, prior: float) -> tuple[np.ndarray, float]:
-    """Fit on at most MOST_POSITIVE confirmed texts and about MOST_UNLABELLED of all texts.
+    """Fit on at most MOST_POSITIVE confirmed texts and about MOST_UNLABELLED of all texts: weights per feature and the
+    intercept. Features that are too rare or not lifted have weight 0.
 
     Both are chosen by a hash of doc_id; `confirmed` holds the doc_id of confirmed toxic documents. Words are
-    extracted where the texts are; only their features come to the driver.
+    extracted where the texts are and counted by Spark; only entries of features in use come to the driver.
     """
     order = F.xxhash64(F.col("doc_id").cast("long"), F.lit("sample"))
     confirmed = confirmed.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct()
@@ -128,18 +159,27 @@ def train(docs: DataFrame, confirmed: DataFrame, prior: float) -> tuple[np.ndarr
     total = max(1, docs.count())
     share = min(1.0, MOST_UNLABELLED / total)
     drawn = F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", drawn.alias("drawn"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", drawn.alias("drawn"), order.alias("key"))
     rows = rows.join(chosen, "doc_id", "left").filter(F.col("positive") | F.col("drawn"))
     # a confirmed text that is drawn as well stands on both sides
     side = F.explode(F.array_compact(F.array(F.when(F.col("positive"), True), F.when(F.col("drawn"), False))))
-    rows = rows.select(side.alias("positive"), "text").mapInArrow(_sample_features, "positive boolean, words binary")
-    found = rows.toArrow()
-    data, offsets = flat(found.column("words"))
-    data, offsets = data.view(np.uint32), offsets // 4
-    sides: dict[bool, list[np.ndarray]] = {True: [], False: []}
-    for i, positive in enumerate(found.column("positive").to_pylist()):
-        sides[positive].append(data[offsets[i] : offsets[i + 1]])
-    return fit(sides[True], sides[False], prior)
+    schema = "key long, positive boolean, words binary"
+    rows = written(rows.select("key", side.alias("positive"), "text").mapInArrow(_sample_features, schema), "sample")
+    sides = dict(map(tuple, rows.groupBy("positive").count().collect()))
+    weights = np.zeros(DIMENSIONS, np.float32)
+    if len(sides) < 2:
+        return weights, -20.0
+    counted = rows.mapInArrow(_feature_counts, "part int, n long, feature binary, seen binary, usual binary")
+    lifted = counted.groupBy("part").applyInArrow(grouped(_lifted(sides[True], sides[False])), "feature binary").collect()
+    used = np.sort(np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(r["feature"], np.uint32) for r in lifted]]))
+    found = rows.mapInArrow(_places(docs.sparkSession.sparkContext.broadcast(used)), schema).toArrow()
+    # sums over texts are taken in the same order whatever the layout of the files
+    found = found.sort_by([("positive", "descending"), ("key", "ascending"), ("words", "ascending")]).combine_chunks()
+    w, b = fit(*_by_text(found), len(used), prior)
+    weights[used] = w
+    del found
+    give_back()
+    return weights, b
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", name: str = "score") -> DataFrame:

@@ -209,6 +209,21 @@ def test_components(spark):
     assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_component_steps_have_small_plans(spark, monkeypatch):
+    plans, write = [], components.written
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(components, "written", seen)
+    edges = [(i, i + 1) for i in range(30)]
+    got = components.connected(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [(i, 0) for i in range(31)]
+    # edges are read for their least neighbours and for the join with them, no more often
+    assert max(p.count("Relation ") for p in plans) == 2
+
+
 def test_fingerprints(spark, texts):
     rows = [(10 * i, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, fingerprint string")

@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,6 +253,33 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(n >= 0.5 for n in negative) <= 0.03 * len(negative)
 
 
+def test_toxicity_training_brings_used_features_only(spark, monkeypatch):
+    def words(i: int) -> str:
+        rare = " ".join("".join(chr(97 + int(d)) for d in str(1000 * i + j)) + f" {chr(97 + i % 26)}" for j in range(300))
+        return f"{rare} awful rotten" if i < 40 else f"{rare} lovely"
+
+    docs = spark.createDataFrame([(i, words(i)) for i in range(120)], "doc_id long, text string").repartition(5)
+    brought, collect = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: brought.append(collect(df)) or brought[-1])
+    known = docs.filter("doc_id < 40").select("doc_id")
+    weights, base = toxicity.train(docs, known, 0.3)
+    # counts by hand
+    texts = sorted(docs.collect())
+    seen, usual = np.zeros(toxicity.DIMENSIONS), np.zeros(toxicity.DIMENSIONS)
+    for r in texts:
+        found = toxicity.features(pa.array([r.text]))[1]
+        usual[found] += 1
+        if r.doc_id < 40:
+            seen[found] += 1
+    used = (seen >= 3) & (seen / 40 >= toxicity.LEAST_LIFT * usual / 120)
+    assert used.sum() > 4 and not weights[~used].any() and (weights[used] != 0).all()
+    entries = sum(used[toxicity.features(pa.array([r.text]))[1]].sum() * (1 + (r.doc_id < 40)) for r in texts)
+    assert sum(len(x) for t in brought for x in t.column("words").to_pylist()) == 4 * entries
+    # the layout of the rows changes nothing
+    again = toxicity.train(docs.repartition(2, "doc_id"), known, 0.3)
+    assert (again[0] == weights).all() and again[1] == base
+
+
 def test_toxicity_without_examples(spark):
     docs = spark.createDataFrame([(1, "abc"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (2, None)], "doc_id long, toxic int")
