@@ -4,9 +4,11 @@ The matrix has a row per document and a column per n-gram. Its product with its
 overlap counts of all pairs, of which only those matter that can reach the threshold:
 
 1. A fixed-size table of approximate document frequencies puts all n-grams in one order, rare ones first.
-2. Two sets of the wanted likeness share an n-gram among the first few of each (as many as their sizes allow
-   to miss, and one). Only these entries are dealt to blocks of n-grams; within a block, documents that share
-   an n-gram and whose sizes are close enough are tied. The components of these ties hold all links.
+2. Two sets of the wanted likeness share some n-grams among the first few of each: one, if each gives as many as its
+   size allows to miss, and one; a few more, if each gives a few more. Only these entries are dealt to blocks of
+   n-grams. Within a block, documents that share an n-gram and whose sizes are close enough are paired and counted;
+   pairs that share too few n-grams over all blocks can not be linked. Where very many share one, they are tied in a chain
+   instead. The components of these ties hold all links.
 3. Each component, in blocks of bounded size, is multiplied out on whole sets: overlaps are accumulated per
    row of the product, pairs below the bound are discarded, and rows whose links would join nothing new are
    skipped. Equal sets are one row. The links' components are the result.
@@ -28,7 +30,13 @@ WORDS = 5
 PERCENT = 80
 TABLE_BITS = 24
 TABLE_PARTS = 64
+# n-grams that a pair has to share among the first ones of its sets: a number, and one more for so many n-grams of the set
+MATCHES = 3
+MATCH_SHARE = 50
 BLOCK_ENTRIES = 4 << 20
+# documents of one n-gram are paired up to so many pairs a document, beyond that tied in a chain
+PAIRS = 16
+ENOUGH = 1 << 30
 TILE_ENTRIES = 2 << 20
 FILTER_BITS = 26
 FILTER_PARTS = 64
@@ -122,6 +130,12 @@ def _least_overlap(size: np.ndarray) -> np.ndarray:
     return -(-PERCENT * size // 100)
 
 
+def _needed(size: np.ndarray) -> np.ndarray:
+    """How many n-grams a linked set of this size or more shares with it among the first ones of both. Each set gives as many
+    as it may miss and these; the first common ones, in the order of all n-grams, then lie among those of both."""
+    return np.minimum(_least_overlap(size), MATCHES + size // MATCH_SHARE)
+
+
 def _set_key(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One hash per set."""
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(values ^ np.uint64(0x5555)), dtype=np.uint64)])
@@ -157,7 +171,7 @@ def _prefix_entries(shared, buckets: int):
             order = np.lexsort((grams, rank, rows))
             rows, grams = rows[order], grams[order]
             begins = np.searchsorted(rows, rows)
-            few = np.arange(len(rows)) - begins <= (sizes - _least_overlap(sizes))[rows]
+            few = np.arange(len(rows)) - begins < (sizes - _least_overlap(sizes) + _needed(sizes))[rows]
             rows, grams = rows[few], grams[few]
             grams = mixed(grams)
             bucket = (grams % np.uint64(buckets)).astype(np.int64)
@@ -184,10 +198,16 @@ _ENTRIES = "bucket int, high binary, low binary, docs binary, sizes binary, per_
 
 
 def _ties(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Documents that share an n-gram of this block, tied in order of set size while sizes are close enough."""
+    """Pairs of documents of close set sizes that share n-grams of this block, how many (`n`), and how many a linked pair
+    shares in all blocks (`needed`).
+
+    A block makes about as many pairs as it has entries: documents of an n-gram that very many share are tied in
+    order of set size instead, which counts as all that is needed.
+    """
     grams = (joined(table.column("high"), np.uint32).astype(np.uint64) << np.uint64(16)) | joined(table.column("low"), np.uint16)
     per_doc = joined(table.column("per_doc"), np.uint32)
     docs, sizes = (np.repeat(joined(table.column(c), k).astype(np.int64), per_doc) for c, k in (("docs", np.int64), ("sizes", np.int32)))
+    most = len(grams)
     order = np.argsort(grams, kind="stable")
     ordered = grams[order]
     same = ordered[1:] == ordered[:-1]
@@ -197,9 +217,33 @@ def _ties(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     order = order[shared]
     order = order[np.lexsort((docs[order], sizes[order], grams[order]))]
     grams, docs, sizes = grams[order], docs[order], sizes[order]
-    near = (grams[1:] == grams[:-1]) & (100 * sizes[:-1] >= PERCENT * sizes[1:]) & (docs[1:] != docs[:-1])
-    pairs = np.unique(np.stack([docs[:-1][near], docs[1:][near]], 1), axis=0).reshape(-1, 2)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    del ordered, same, shared, order, per_doc
+    # runs of neighbours of one n-gram and close sizes, and the last row that is close to each row
+    heads = np.ones(len(grams), bool)
+    heads[1:] = (grams[1:] != grams[:-1]) | (100 * sizes[:-1] < PERCENT * sizes[1:])
+    run = np.cumsum(heads) - 1
+    reach = np.searchsorted(run << 32 | sizes, run << 32 | 100 * sizes // PERCENT, "right") - np.arange(len(grams)) - 1
+    lengths, pairs = np.bincount(run), np.bincount(run, reach).astype(np.int64)
+    narrow = pairs <= PAIRS * lengths
+    by_width = np.argsort(np.where(narrow, pairs / np.maximum(lengths, 1), np.inf), kind="stable")
+    narrow[by_width] &= np.cumsum(pairs[by_width]) <= most
+    counted, chained = np.flatnonzero(narrow[run]), np.flatnonzero(~narrow[run] & (reach > 0))
+    left = np.concatenate([np.repeat(counted, reach[counted]), chained])
+    right = np.concatenate([spans(counted + 1, reach[counted]), chained + 1])
+    n = np.ones(len(left), np.int64)
+    n[len(left) - len(chained) :] = ENOUGH
+    needed = _needed(sizes[left])
+    names, place = np.unique(docs, return_inverse=True)
+    left, right = place[left], place[right]
+    pair = np.minimum(left, right) << 32 | np.maximum(left, right)
+    order = np.argsort(pair, kind="stable")
+    order = order[(left != right)[order]]
+    pair = pair[order]
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    n, needed = (f.reduceat(x[order], first) if len(first) else x[:0] for f, x in ((np.add, n), (np.minimum, needed)))
+    pair = pair[first]
+    columns = {"a": names[pair >> 32], "b": names[pair & 0xFFFFFFFF], "n": np.minimum(n, ENOUGH).astype(np.int32), "needed": needed.astype(np.int32)}
+    return pa.table(columns)
 
 
 class _Tile:
@@ -330,7 +374,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = max(8, int(total / 30 // BLOCK_ENTRIES))
     shared = spark.sparkContext.broadcast(frequencies(rows))  # of fixed size
     entries = rows.mapInArrow(_prefix_entries(shared, buckets), _ENTRIES)
-    ties = entries.groupBy("bucket").applyInArrow(grouped(_ties), "a long, b long")
+    ties = entries.groupBy("bucket").applyInArrow(grouped(_ties), "a long, b long, n int, needed int")
+    # an id may stand on several texts: the least that one of them needs
+    ties = ties.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("needed").alias("needed")).filter("n >= needed")
     sizes = written(rows.mapInArrow(_set_sizes, "doc_id long, n_shingles long, key long"), "sizes")
     # equal sets are linked to their smallest document, which stands for them from here on
     known = sizes.filter("n_shingles > 0")

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +193,62 @@ def test_jaccard_edges(spark):
     assert sorted(map(tuple, jaccard.near_duplicates(rows).collect())) == [(2, 4, 2), (5, 4, 2), (5, 56, 2), (9, 57, 2)]
 
 
+class _Shared:
+    def __init__(self, value):
+        self.value = value
+
+
+@pytest.mark.parametrize("most", [16, 1, 0])
+def test_linked_sets_share_the_needed_ngrams(monkeypatch, most):
+    monkeypatch.setattr(jaccard, "PAIRS", most)
+    rng = random.Random(5)
+    base = [words(rng, rng.choice([1, 4, 5, 6, 9, 30, 150, 700]), 12) for _ in range(60)] + [words(rng, 150, 12)]
+    copies = [edited(rng, t, 1 + i % 8) for i, t in enumerate(base)] + [edited(rng, base[-1], 1 + i % 2) for i in range(40)]
+    rows = list(enumerate(base + [t + " end" for t in base] + copies))
+    table = np.asarray(np.random.default_rng(2).integers(0, 9, 1 << jaccard.TABLE_BITS), np.uint8)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+    counts = {}
+    for block in pa.Table.from_batches(jaccard._prefix_entries(_Shared(table), 3)([batch])).to_batches():
+        for i in range(block.num_rows):
+            for x in jaccard._ties((block["bucket"][i],), pa.Table.from_batches([block.slice(i, 1)])).to_pylist():
+                n, needed = counts.get((x["a"], x["b"]), (0, 1 << 30))
+                counts[x["a"], x["b"]] = n + x["n"], min(needed, x["needed"])
+    root = list(range(len(rows)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for (a, b), (n, needed) in counts.items():
+        if n >= needed:
+            root[find(b)] = find(a)
+    sets = [set(jaccard.shingle_sets(pa.array([t]))[0].tolist()) for _, t in rows]
+    linked = [(a, b) for a in range(len(rows)) for b in range(a) if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(linked) > 500
+    assert all(find(a) == find(b) for a, b in linked)
+
+
+def test_one_shared_ngram_makes_no_candidates(spark, monkeypatch):
+    """Texts that share one rare n-gram each with the next one are no component of candidates; near copies are."""
+    seen, links = [], jaccard._links
+
+    def kept(rows, candidates):
+        seen.extend(map(tuple, candidates.select("doc_id").collect()))
+        return links(rows, candidates)
+
+    monkeypatch.setattr(jaccard, "_links", kept)
+    rng = random.Random(9)
+    shared = [" ".join(f"s{i}x{k}" for k in range(5)) for i in range(81)]
+    own = [words(rng, 60, 10**9) for _ in range(80)]
+    rows = [(i, f"{shared[i]} {t} {shared[i + 1]}") for i, t in enumerate(own)]
+    # longer texts make all other n-grams more frequent
+    rows += [(200 + 3 * i + k, f"{t} {words(rng, 200, 10**9)}") for i, t in enumerate(own) for k in range(3)]
+    near = words(rng, 200, 10**9)
+    rows += [(100, near), (101, edited(rng, near, 2))]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == classes(rows)
+    assert sorted(seen) == [(100,), (101,)]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(50)] + [(300, 300), (None, 1)]
