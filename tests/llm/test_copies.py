@@ -227,15 +227,21 @@ def test_linked_sets_share_the_needed_ngrams(monkeypatch, most):
     assert all(find(a) == find(b) for a, b in linked)
 
 
-def test_one_shared_ngram_makes_no_candidates(spark, monkeypatch):
-    """Texts that share one rare n-gram each with the next one are no component of candidates; near copies are."""
+@pytest.fixture
+def candidate_ids(monkeypatch):
+    """The ids of all candidates that are multiplied out."""
     seen, links = [], jaccard._links
 
     def kept(rows, candidates):
-        seen.extend(map(tuple, candidates.select("doc_id").collect()))
+        seen.extend(r["doc_id"] for r in candidates.select("doc_id").collect())
         return links(rows, candidates)
 
     monkeypatch.setattr(jaccard, "_links", kept)
+    return seen
+
+
+def chained_texts():
+    """Texts that share one rare n-gram each with the next one, and two near copies (100, 101)."""
     rng = random.Random(9)
     shared = [" ".join(f"s{i}x{k}" for k in range(5)) for i in range(81)]
     own = [words(rng, 60, 10**9) for _ in range(80)]
@@ -243,10 +249,23 @@ def test_one_shared_ngram_makes_no_candidates(spark, monkeypatch):
     # longer texts make all other n-grams more frequent
     rows += [(200 + 3 * i + k, f"{t} {words(rng, 200, 10**9)}") for i, t in enumerate(own) for k in range(3)]
     near = words(rng, 200, 10**9)
-    rows += [(100, near), (101, edited(rng, near, 2))]
+    return [*rows, (100, near), (101, edited(rng, near, 2))]
+
+
+def test_one_shared_ngram_makes_no_candidates(spark, candidate_ids):
+    rows = chained_texts()
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, got)) == classes(rows)
-    assert sorted(seen) == [(100,), (101,)]
+    assert sorted(candidate_ids) == [100, 101]
+
+
+def test_pipeline_stage_has_no_candidates_by_one_ngram(spark, candidate_ids):
+    from corpus_pipeline import keep_one_of_near_copies
+
+    rows = chained_texts()
+    got = keep_one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, got)) == sorted(r for r in rows if r[0] != 101)
+    assert sorted(candidate_ids) == [100, 101]
 
 
 def test_components(spark):
