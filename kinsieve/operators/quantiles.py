@@ -13,8 +13,6 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from kinsieve.session import written_and_counted
-
 BINS_PER_OCTAVE = 32
 PARTS = 1 << 16
 # so many wanted positions of all groups are sent to where the rows are, at some 100 bytes each
@@ -43,7 +41,8 @@ def at_positions(
     `positions` turns the number of values of a group into an array of positions (from 0); one that is out of range gives no
     row. Returns the keys, position, total (values of the group), value (double) and below (values that are smaller).
     Missing keys form a group. Each refinement is one more pass that cuts the rows left per position by up to PARTS. With
-    keys the positions of the first pass are written and counted: only where groups are very many are rows joined to them by a shuffle.
+    keys the positions of the first pass are counted, in a pass of its own: only where groups are very many are rows joined to
+    them by a shuffle.
     """
     names = {k: f"__k{i}" for i, k in enumerate(keys)}
     rows = df.select(*[F.col(k).alias(n) for k, n in names.items()], F.col(column).cast("double").alias("__x"))
@@ -57,10 +56,7 @@ def at_positions(
     position = F.explode(inside.cast("array<long>")).alias("position")
     targets = counts.select(*group, "__bin", "total", "below", "__low", "__high", position)
     # without keys there is a row per position; estimates of the plan follow the rows, and would have all of them shuffled
-    few = not group
-    if group:
-        targets, wanted = written_and_counted(targets, "positions")
-        few = wanted <= BROADCAST_TARGETS
+    few = not group or targets.count() <= BROADCAST_TARGETS
     for _ in range(refinements):
         targets = _refined(rows, targets, group, few, _part(F.col("__x"), F.col("__low"), F.col("__high")))
     # told apart by value: the bins are the values
